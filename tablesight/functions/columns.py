@@ -83,6 +83,8 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def epoch_micros(c: Column) -> Column:
-    """Timestamp (LTZ or NTZ) as microseconds since epoch, UTC wall clock."""
-    return F.unix_micros(c.cast("timestamp"))
+def ntz_micros(name: str) -> Column:
+    """A TIMESTAMP_NTZ column as microseconds since 1970-01-01 00:00 (wall clock,
+    independent of the session time zone)."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                  f"CAST({q(name)} AS TIMESTAMP_NTZ))")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import col, is_datetime, is_numeric
+from .columns import col, is_datetime, is_numeric, ntz_micros
 
 BUCKET = "__range_bucket"
 
@@ -29,8 +29,12 @@ def _sort_key(df: DataFrame, name: str) -> Column:
     dt = df.schema[name].dataType
     if is_numeric(dt):
         return col(name).cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        return ntz_micros(name).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(col(name)).cast("double")
     if is_datetime(dt):
-        return F.unix_micros(col(name).cast("timestamp")).cast("double")
+        return F.unix_micros(col(name)).cast("double")
     if isinstance(dt, T.BooleanType):
         return col(name).cast("double")
     raise TypeError(f"range bucketing needs a numeric or datetime first key, got {dt}")

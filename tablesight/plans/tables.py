@@ -56,3 +56,56 @@ def gappy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gappy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, GAPPY_DOCUMENTS_SQL, ("documents",))
+
+
+# Domain-flavoured tables derived from the driver's tables (same shape of data as
+# the reference's finance / logistics / strategy samples). Each entry holds the
+# Spark SQL and the DuckDB SQL of the same derivation (date arithmetic differs).
+_LEAD_SPARK = "datediff(CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE))"
+_LEAD_DUCK = "datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))"
+
+_FINANZAS = (
+    "SELECT o_orderkey AS transaccion_id, o_custkey AS cliente_id, "
+    "o_totalprice AS monto_transaccion, c_acctbal AS saldo_cuenta, "
+    "c_mktsegment AS segmento_cliente, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS churn "
+    "FROM orders JOIN customer ON o_custkey = c_custkey")
+
+_LOGISTICA = (
+    "SELECT l_orderkey AS pedido_id, l_linenumber AS linea, l_extendedprice / 100.0 AS distancia_km, "
+    "l_quantity AS peso_kg, {lead} AS lead_time_dias, CAST(l_quantity * 10 AS DOUBLE) AS stock_disponible, "
+    "lower(r_name) AS ruta, CASE WHEN {lead} > 90 THEN 1 ELSE 0 END AS retraso_entrega "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
+    "JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+
+_ESTRATEGIA = (
+    "SELECT o_orderkey AS registro_id, o_totalprice AS ventas_trimestre, "
+    "c_acctbal AS inversion_marketing, CAST(c_nationkey AS DOUBLE) AS antiguedad_meses, "
+    "r_name AS region, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS segmento_alto_valor "
+    "FROM orders JOIN customer ON o_custkey = c_custkey "
+    "JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+
+DERIVED = {
+    "finanzas": {"spark": _FINANZAS, "duckdb": _FINANZAS},
+    "logistica": {"spark": _LOGISTICA.format(lead=_LEAD_SPARK), "duckdb": _LOGISTICA.format(lead=_LEAD_DUCK)},
+    "estrategia": {"spark": _ESTRATEGIA, "duckdb": _ESTRATEGIA},
+}
+
+# Column type classes of the derived tables (for generated oracle SQL).
+DERIVED_COLUMNS = {
+    "finanzas": [("transaccion_id", "numeric"), ("cliente_id", "numeric"), ("monto_transaccion", "numeric"),
+                 ("saldo_cuenta", "numeric"), ("segmento_cliente", "string"), ("churn", "numeric")],
+    "logistica": [("pedido_id", "numeric"), ("linea", "numeric"), ("distancia_km", "numeric"),
+                  ("peso_kg", "numeric"), ("lead_time_dias", "numeric"), ("stock_disponible", "numeric"),
+                  ("ruta", "string"), ("retraso_entrega", "numeric")],
+    "estrategia": [("registro_id", "numeric"), ("ventas_trimestre", "numeric"),
+                   ("inversion_marketing", "numeric"), ("antiguedad_meses", "numeric"),
+                   ("region", "string"), ("segmento_alto_valor", "numeric")],
+}
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return sql(spark, sf_dir, DERIVED[name]["spark"])
+
+
+def derived_duck(name: str) -> str:
+    return DERIVED[name]["duckdb"]

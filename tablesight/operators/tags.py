@@ -102,16 +102,11 @@ def applicable_analyses(catalog: DataFrame, targets: DataFrame) -> DataFrame:
                     (F.col("n_datetime") >= 1).alias("has_temporal"), applicable.alias("applicable"))
 
 
-def _domains(spark) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in V.DOMAIN_KEYWORDS], "domain string")
-
-
 def domain_match(catalog: DataFrame, rules: DataFrame) -> DataFrame:
     """(table_name, domain, domain_match): any column name contains a domain keyword;
     a domain without keywords always matches."""
-    spark = catalog.sparkSession
     tables = catalog.select("table_name").distinct()
-    grid = tables.crossJoin(F.broadcast(_domains(spark)))
+    grid = tables.withColumn("domain", F.explode(F.array(*[F.lit(d) for d in V.DOMAIN_KEYWORDS])))
     hits = (rule_matches(catalog, rules, "domain", exact_short=False)
             .select("table_name", F.col("r_domain").alias("domain")).distinct()
             .withColumn("hit", F.lit(True)))
@@ -125,9 +120,8 @@ def domain_match(catalog: DataFrame, rules: DataFrame) -> DataFrame:
 def target_frame(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """(table_name, domain, target_frame): first frame whose keyword is in the target name,
     else the domain's default target phrase."""
-    spark = targets.sparkSession
-    phrases = spark.createDataFrame(list(V.TARGET_PHRASE.items()), "domain string, phrase string")
-    grid = targets.crossJoin(F.broadcast(phrases))
+    grid = targets.select("*", F.inline(F.array(*[
+        F.struct(F.lit(d).alias("domain"), F.lit(ph).alias("phrase")) for d, ph in V.TARGET_PHRASE.items()])))
     fr = F.broadcast(rules.filter(F.col("rule") == "frame").select(
         F.col("domain"), "keyword", "priority", "frame"))
     hits = (grid.join(fr, ["domain"]).filter(F.contains(F.lower("target_column"), F.col("keyword")))

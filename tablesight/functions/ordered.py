@@ -66,47 +66,47 @@ def _order_cols(order_by: Sequence[str]) -> list[Column]:
     return [col(c).asc_nulls_first() for c in order_by]
 
 
+def _carry(b: DataFrame, parts: list, sums: dict[str, Column]) -> DataFrame:
+    """Per (group, range) totals turned into exclusive prefix sums over the ranges of
+    each group. One row per (group, range): broadcast when there are no groups."""
+    tot = b.groupBy(*parts, BUCKET).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    prev = Window.partitionBy(*parts).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*parts, BUCKET, *[F.coalesce(F.sum(n).over(prev), F.lit(0)).alias(n + "_off")
+                                        for n in sums])
+    return F.broadcast(off) if not parts else off
+
+
 def global_row_number(df: DataFrame, order_by: Sequence[str], name: str = "row_idx",
                       partition_by: Sequence[str] = (), n_buckets: int | None = None,
                       start: int = 0) -> DataFrame:
-    """0-based (or ``start``-based) row number over ``order_by``."""
-    if partition_by:
-        w = Window.partitionBy(*[col(c) for c in partition_by]).orderBy(*_order_cols(order_by))
-        return df.withColumn(name, F.row_number().over(w) - 1 + start)
+    """0-based (or ``start``-based) row number over ``order_by`` (within ``partition_by``).
+
+    Windows run per (group, key range); the counts of the earlier ranges of the
+    group are added back, so no single task holds a whole group."""
+    parts = [col(c) for c in partition_by]
+    pnames = list(partition_by)
     b = with_range_bucket(df, order_by, n_buckets)
-    w = Window.partitionBy(BUCKET).orderBy(*_order_cols(order_by))
+    w = Window.partitionBy(*parts, F.col(BUCKET)).orderBy(*_order_cols(order_by))
     local = b.withColumn("__local_rn", F.row_number().over(w))
-    sizes = b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    off = sizes.withColumn(
-        "__off",
-        F.coalesce(F.sum("__n").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)),
-    ).select(BUCKET, "__off")
-    out = local.join(F.broadcast(off), BUCKET, "left")
-    return out.withColumn(name, (F.col("__off") + F.col("__local_rn") - 1 + start).cast("long")) \
-              .drop("__off", "__local_rn", BUCKET)
+    off = _carry(b, pnames, {"__n": F.lit(1)})
+    out = local.join(off, [*pnames, BUCKET], "left")
+    return out.withColumn(name, (F.col("__n_off") + F.col("__local_rn") - 1 + start).cast("long")) \
+              .drop("__n_off", "__local_rn", BUCKET)
 
 
 def running_sums(df: DataFrame, order_by: Sequence[str], sums: dict[str, Column],
                  partition_by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
-    """Inclusive running sums ``{out_name: expr}`` in ``order_by`` order."""
-    if partition_by:
-        w = (Window.partitionBy(*[col(c) for c in partition_by]).orderBy(*_order_cols(order_by))
-             .rowsBetween(Window.unboundedPreceding, 0))
-        for name, e in sums.items():
-            df = df.withColumn(name, F.sum(e).over(w))
-        return df
+    """Inclusive running sums ``{out_name: expr}`` in ``order_by`` order (within groups)."""
+    parts = [col(c) for c in partition_by]
+    pnames = list(partition_by)
     b = with_range_bucket(df, order_by, n_buckets)
-    w = (Window.partitionBy(BUCKET).orderBy(*_order_cols(order_by))
-         .rowsBetween(Window.unboundedPreceding, 0))
     tmp = {name: f"__t_{i}" for i, name in enumerate(sums)}
     for name, e in sums.items():
         b = b.withColumn(tmp[name], e)
-    totals = b.groupBy(BUCKET).agg(*[F.sum(tmp[n]).alias(tmp[n] + "_tot") for n in sums])
-    prev = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    off = totals.select(BUCKET, *[F.coalesce(F.sum(tmp[n] + "_tot").over(prev), F.lit(0))
-                                  .alias(tmp[n] + "_off") for n in sums])
-    b = b.join(F.broadcast(off), BUCKET, "left")
+    off = _carry(b, pnames, {tmp[n]: F.col(tmp[n]) for n in sums})
+    b = b.join(off, [*pnames, BUCKET], "left")
+    w = (Window.partitionBy(*parts, F.col(BUCKET)).orderBy(*_order_cols(order_by))
+         .rowsBetween(Window.unboundedPreceding, 0))
     for name in sums:
         b = b.withColumn(name, F.sum(tmp[name]).over(w) + F.col(tmp[name] + "_off"))
     drop = [BUCKET] + list(tmp.values()) + [t + "_off" for t in tmp.values()]

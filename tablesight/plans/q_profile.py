@@ -134,3 +134,11 @@ FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(
 def q_iqr_outliers(spark, sf):
     out = P.iqr_outliers(load(spark, sf, "lineitem"), LINEITEM_NUM)
     return round_doubles(out.withColumn("ordinal", F.col("ordinal").cast("long")))
+
+
+@register("preview_topk", """
+SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer
+ORDER BY c_custkey LIMIT 10""")
+def q_preview_topk(spark, sf):
+    from ..sources.readers import preview
+    return round_doubles(preview(load(spark, sf, "customer"), ["c_custkey"]))

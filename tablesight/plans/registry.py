@@ -26,6 +26,7 @@ _MODULES = (
     "tablesight.plans.q_cashflow",
     "tablesight.plans.q_logistics",
     "tablesight.plans.q_scenario",
+    "tablesight.plans.q_analysis",
 )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.columns import col
 
 SEPARATORS = (",", ";", "\t", "|")   # fixed values of the reference, in its order
-ENCODINGS = ("utf-8", "latin-1")
+ENCODINGS = ("utf-8", "iso-8859-1")  # utf-8, then latin-1
 SNIFF_LINES = 50
 PREVIEW_ROWS = 10
 READERS = ("csv", "parquet", "json", "orc")
@@ -26,9 +26,8 @@ def sniff_csv(spark: SparkSession, path: str, lines: int = SNIFF_LINES) -> tuple
     with the same count on every sampled line (reference order on ties); latin-1 when
     the bytes are not valid UTF-8."""
     sample = [r[0] for r in spark.read.text(path).limit(lines).collect()]
-    encoding = "latin-1" if any("�" in s for s in sample) else "utf-8"
-    if encoding == "latin-1":
-        sample = [r[0] for r in spark.read.option("encoding", "latin-1").text(path).limit(lines).collect()]
+    # Undecodable UTF-8 shows up as replacement characters; separators are ASCII either way.
+    encoding = ENCODINGS[1] if any("\ufffd" in s for s in sample) else ENCODINGS[0]
     best, best_n = ",", 0
     for sep in SEPARATORS:
         counts = {s.count(sep) for s in sample if s.strip()}

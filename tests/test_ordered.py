@@ -1,0 +1,36 @@
+import random
+
+import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tablesight.functions.ordered import fill_forward_backward, global_row_number, running_sums
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-50, 50)), min_size=1, max_size=60))
+def test_ffill_bfill_matches_pandas(spark, values):
+    rows = [(i, v) for i, v in enumerate(values)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, v long")
+    got = {r["k"]: r["v"] for r in fill_forward_backward(df, ["v"], ["k"], n_buckets=4).collect()}
+    exp = pd.Series(values, dtype="float").ffill().bfill()
+    for i, e in enumerate(exp):
+        assert (got[i] is None and pd.isna(e)) or got[i] == e
+
+
+def test_row_number_and_running_sum_with_skewed_groups(spark):
+    # one group holds most rows
+    rows = [(0 if i % 10 else 1 + i % 3, i, float(i % 7)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, k long, x double")
+    rn = global_row_number(df, ["k"], name="r", partition_by=["g"], n_buckets=5)
+    rs = running_sums(df, ["k"], {"s": F.col("x")}, partition_by=["g"], n_buckets=5)
+    pdf = pd.DataFrame(rows, columns=["g", "k", "x"]).sort_values(["g", "k"])
+    pdf["r"] = pdf.groupby("g").cumcount()
+    pdf["s"] = pdf.groupby("g")["x"].cumsum()
+    got_r = {(r["g"], r["k"]): r["r"] for r in rn.collect()}
+    got_s = {(r["g"], r["k"]): r["s"] for r in rs.collect()}
+    for t in pdf.itertuples():
+        assert got_r[(t.g, t.k)] == t.r
+        assert abs(got_s[(t.g, t.k)] - t.s) < 1e-9

@@ -66,6 +66,13 @@ def _order_cols(order_by: Sequence[str]) -> list[Column]:
     return [col(c).asc_nulls_first() for c in order_by]
 
 
+def _reverse_cols(order_by: Sequence[str]) -> list[Column]:
+    # The exact reverse of ``_order_cols``: "first non-null at or after the row" is
+    # "last non-null at or before it" in this order - a growing frame, linear time
+    # (a frame ending at UNBOUNDED FOLLOWING is re-evaluated per row).
+    return [col(c).desc_nulls_last() for c in order_by]
+
+
 def _carry(b: DataFrame, parts: list, sums: dict[str, Column]) -> DataFrame:
     """Per (group, range) totals turned into exclusive prefix sums over the ranges of
     each group. One row per (group, range): broadcast when there are no groups."""
@@ -128,10 +135,10 @@ def fill_forward_backward(df: DataFrame, cols: Sequence[str], order_by: Sequence
     if partition_by:
         parts = [col(c) for c in partition_by]
         wf = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        wb = Window.partitionBy(*parts).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+        wb = Window.partitionBy(*parts).orderBy(*_reverse_cols(order_by)).rowsBetween(Window.unboundedPreceding, 0)
         for c in cols:
             df = df.withColumn(c, F.coalesce(F.last(col(c), True).over(wf),
-                                             F.first(col(c), True).over(wb)))
+                                             F.last(col(c), True).over(wb)))
         return df
     b = with_range_bucket(df, order_by, n_buckets)
     okey = F.struct(*[col(c) for c in order_by])
@@ -149,9 +156,15 @@ def fill_forward_backward(df: DataFrame, cols: Sequence[str], order_by: Sequence
     )
     b = b.join(F.broadcast(carry), BUCKET, "left")
     wf = Window.partitionBy(BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    wb = Window.partitionBy(BUCKET).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    wb = Window.partitionBy(BUCKET).orderBy(*_reverse_cols(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+    for i, c in enumerate(cols):
+        # Both windows share the partitioning, so Spark sorts once per direction.
+        b = b.withColumn(f"__ff_{i}", F.last(col(c), True).over(wf))
+    for i, c in enumerate(cols):
+        b = b.withColumn(f"__bf_{i}", F.last(col(c), True).over(wb))
     for i, c in enumerate(cols):
-        b = b.withColumn(c, F.coalesce(F.last(col(c), True).over(wf), F.col(f"__cf_{i}"),
-                                       F.first(col(c), True).over(wb), F.col(f"__cb_{i}")))
+        b = b.withColumn(c, F.coalesce(F.col(f"__ff_{i}"), F.col(f"__cf_{i}"), F.col(f"__bf_{i}"),
+                                       F.col(f"__cb_{i}")))
+    b = b.drop(*[f"__ff_{i}" for i in range(len(cols))], *[f"__bf_{i}" for i in range(len(cols))])
     return b.drop(BUCKET, *[f"__cf_{i}" for i in range(len(cols))],
                   *[f"__cb_{i}" for i in range(len(cols))])

@@ -176,24 +176,30 @@ def quartile_bounds(df: DataFrame, columns: Sequence[str], accuracy: int | None
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None,
                  accuracy: int | None = None) -> DataFrame:
-    """(column, q1, q3, lower, upper, n_outliers) per numeric column; 0 when iqr = 0."""
+    """(ordinal, column_name, q1, q3, lower, upper, n_outliers) per numeric column;
+    0 outliers when iqr = 0. Two aggregate passes; the quartiles travel to the
+    counting pass as literals (one number pair per column)."""
     df = normalize_missing(df)
     columns = list(columns) if columns is not None else numeric_columns(df)
-    bounds = quartile_bounds(df, columns, accuracy)
-    joined = df.select(*[col(c).cast("double").alias(c) for c in columns]).crossJoin(F.broadcast(bounds))
+    b = quartile_bounds(df, columns, accuracy).first()
+    q = {c: (b[f"{c}__q1"], b[f"{c}__q3"]) for c in columns}
     aggs = []
     for c in columns:
-        q1, q3 = F.col(f"`{c}__q1`"), F.col(f"`{c}__q3`")
-        iqr = q3 - q1
-        lo, hi = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-        flag = (iqr != 0) & ((col(c) < lo) | (col(c) > hi))
-        aggs.append(F.coalesce(F.sum(F.when(flag, 1).otherwise(0)), F.lit(0)).cast("long").alias(c))
-    counts = joined.agg(*aggs)
+        q1, q3 = q[c]
+        if q1 is None or q3 == q1:
+            aggs.append(F.lit(0).cast("long").alias(c))
+            continue
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        x = col(c).cast("double")
+        aggs.append(F.count(F.when((x < F.lit(lo)) | (x > F.lit(hi)), 1)).cast("long").alias(c))
+    counts = df.agg(*aggs)
     rows = []
     for i, c in enumerate(columns):
-        q1, q3 = F.col(f"`{c}__q1`"), F.col(f"`{c}__q3`")
+        q1, q3 = q[c]
+        lo = None if q1 is None else q1 - 1.5 * (q3 - q1)
+        hi = None if q1 is None else q3 + 1.5 * (q3 - q1)
         rows.append(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"),
-                             q1.alias("q1"), q3.alias("q3"),
-                             (q1 - 1.5 * (q3 - q1)).alias("lower"), (q3 + 1.5 * (q3 - q1)).alias("upper"),
+                             F.lit(q1).cast("double").alias("q1"), F.lit(q3).cast("double").alias("q3"),
+                             F.lit(lo).cast("double").alias("lower"), F.lit(hi).cast("double").alias("upper"),
                              col(c).alias("n_outliers")))
-    return counts.crossJoin(bounds).select(F.inline(F.array(*rows)))
+    return counts.select(F.inline(F.array(*rows)))

@@ -78,3 +78,66 @@ def q_ranking(spark, sf):
 @register("ranking_text")
 def q_ranking_text(spark, sf):
     return R.ranking_text(_weighted(spark, sf))
+
+
+# ---- J6: the deterministic report built from each (case, goal) recommendation ----
+from ..operators import report_text as RT  # noqa: E402
+
+
+def _report_facts(spark, sf):
+    s = _scores(spark, sf)
+    rec = R.recommendation(R.weighted_scores(s, _requests(s)))
+    sc = s.filter(F.col("status") == "ok").groupBy("case_id").pivot("approach", list(V.APPROACHES)).agg(
+        F.first("score_norm"))
+    return (rec.join(sc, "case_id").select(
+        F.concat_ws(":", "case_id", "goal").alias("case_id"), "winner", F.lit("churn").alias("target"),
+        F.lit("clasificacion").alias("task"), F.col("supervised").alias("accuracy"),
+        F.lit(None).cast("double").alias("r2"), F.lit("saldo_cuenta").alias("top_feature"),
+        F.lit(3).alias("best_k"), F.lit("").alias("distinctive"), F.col("reinforcement").alias("final_reward"),
+        F.lit(0.2).alias("baseline")))
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _report_sql() -> str:
+    tgt = "replace(coalesce(target, 'la variable de interes'), '_', ' ')"
+    top = "replace(coalesce(top_feature, 'el factor mas influyente'), '_', ' ')"
+    imp = ("CASE WHEN task = 'clasificacion' THEN 'Anticipar casos de ''' || " + tgt + " || ''' con ' || "
+           "CASE WHEN accuracy IS NOT NULL THEN printf('%.0f', accuracy * 100) || '% de aciertos' "
+           "ELSE 'un desempeno solido' END || ' permite actuar antes de que ocurran, en lugar de reaccionar tarde.' "
+           "ELSE 'Estimar ''' || " + tgt + " || ''' por adelantado ' || CASE WHEN r2 IS NOT NULL THEN "
+           "'explicando el ' || printf('%.0f', r2 * 100) || '% de la variacion' ELSE 'con buena precision' END "
+           "|| ' da margen para planificar con datos y no por intuicion.' END")
+    perf = ("CASE WHEN final_reward IS NOT NULL AND baseline IS NOT NULL THEN 'acierta ' || "
+            "printf('%.0f', final_reward * 100) || '% de las decisiones frente a ' || printf('%.0f', baseline * 100) "
+            "|| '% al azar' ELSE 'supera a la decision al azar' END")
+    vals = {"target": tgt, "top": top, "impacto_supervisado": imp, "k": "coalesce(CAST(best_k AS VARCHAR), 'varios')",
+            "rasgos": "CASE WHEN coalesce(distinctive, '') <> '' THEN ' Rasgos que distinguen los grupos: ' || "
+                      "distinctive || '.' ELSE '' END", "perf_refuerzo": perf}
+
+    def fill(t: str) -> str:
+        e = _q(t)
+        for k, v in vals.items():
+            e = f"replace({e}, '{{{k}}}', coalesce({v}, ''))"
+        return e
+    rows = []
+    for w, recs in RT.TEMPLATES.items():
+        for i, t in enumerate(recs):
+            rows.append(f"SELECT case_id, {i + 1} AS position, " + ", ".join(
+                f"{fill(x)} AS {f}" for x, f in zip(t, RT.FIELDS)) +
+                f" FROM f WHERE (CASE WHEN winner IN ('unsupervised', 'reinforcement') THEN winner "
+                f"ELSE 'supervised' END) = '{w}'")
+    facts = """, f AS (SELECT r.case_id || ':' || r.goal AS case_id, r.approach AS winner, 'churn' AS target,
+      'clasificacion' AS task, (SELECT score_norm FROM scores s WHERE s.case_id = r.case_id
+        AND s.approach = 'supervised' AND s.status = 'ok') AS accuracy, CAST(NULL AS DOUBLE) AS r2,
+      'saldo_cuenta' AS top_feature, 3 AS best_k, '' AS distinctive,
+      (SELECT score_norm FROM scores s WHERE s.case_id = r.case_id AND s.approach = 'reinforcement'
+        AND s.status = 'ok') AS final_reward, 0.2 AS baseline FROM rk r WHERE rank = 1) """
+    return _CTES + facts + " UNION ALL ".join(rows)
+
+
+@register("report_recommendations", _report_sql())
+def q_report_recommendations(spark, sf):
+    return RT.report_recommendations(_report_facts(spark, sf))

@@ -164,8 +164,8 @@ def with_steps(rewards: DataFrame, order_by: Sequence[str]) -> DataFrame:
 def final_window_reward(stepped: DataFrame, n_arms: int) -> DataFrame:
     """H5/H6: mean reward over the last max(50, n//5) steps, the 1/arms baseline, the
     lift and its band."""
-    n = stepped.agg(F.count(F.lit(1)).alias("n"))
-    j = stepped.crossJoin(F.broadcast(n)).withColumn(
+    n = stepped.count()
+    j = stepped.withColumn("n", F.lit(n).cast("long")).withColumn(
         "w", F.greatest(F.lit(MIN_WINDOW), F.floor(F.col("n") / 5)).cast("long"))
     a = j.filter(F.col("step") > F.col("n") - F.col("w")).agg(
         F.first("n").alias("n_steps"), F.first("w").alias("window"), F.avg("reward").alias("final_reward"))

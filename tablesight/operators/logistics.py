@@ -60,12 +60,12 @@ def delay_flag(c: Column) -> Column:
 
 def route_arcs(routes: DataFrame, delayed: str = "delayed") -> DataFrame:
     """M5: one arc per destination from the centroid, with route counts and delay rate."""
-    origin = route_centroid(routes).select("origin_lat", "origin_lon")
+    o = route_centroid(routes).first()  # the origin is one point
     per = routes.groupBy("destino", "lat", "lon").agg(
         F.count(F.lit(1)).cast("long").alias("n_routes"),
         F.sum(F.col(delayed).cast("int")).cast("long").alias("n_delayed"))
-    return per.crossJoin(F.broadcast(origin)).select(
-        F.col("origin_lat").alias("from_lat"), F.col("origin_lon").alias("from_lon"),
+    return per.select(
+        F.lit(o["origin_lat"]).cast("double").alias("from_lat"), F.lit(o["origin_lon"]).cast("double").alias("from_lon"),
         F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"), "destino", "n_routes", "n_delayed",
         (F.col("n_delayed") / F.col("n_routes")).alias("delay_rate"),
         F.when(F.col("n_delayed") > 0, F.lit(COLOR_DELAYED)).otherwise(F.lit(COLOR_ON_TIME)).alias("status"))
@@ -75,8 +75,9 @@ def point_layer(df: DataFrame, lat: str, lon: str, keep: Sequence[str] = ()) ->
     """M6: rows with both real coordinates, plus the mean centre on every row."""
     pts = df.filter(col(lat).isNotNull() & col(lon).isNotNull()).select(
         *[col(k) for k in keep], col(lat).cast("double").alias("lat"), col(lon).cast("double").alias("lon"))
-    centre = pts.agg(F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"))
-    return pts.crossJoin(F.broadcast(centre))
+    c = pts.agg(F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon")).first()
+    return pts.withColumn("center_lat", F.lit(c["center_lat"]).cast("double")) \
+              .withColumn("center_lon", F.lit(c["center_lon"]).cast("double"))
 
 
 def distinct_locations(df: DataFrame, location: str, k: int = DISTINCT_LOCATIONS) -> DataFrame:
@@ -99,7 +100,10 @@ def reorder_point(df: DataFrame, stock: str, group_by: Sequence[str] = (), pct:
 def below_reorder(df: DataFrame, stock: str, rop: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     """Flag each record whose stock is below its group's reorder point."""
     r = rop.select(*group_by, "rop")
-    j = df.join(F.broadcast(r), list(group_by), "left") if group_by else df.crossJoin(F.broadcast(r))
+    # One row per group: the number of groups grows with the data, so no broadcast
+    # hint - AQE picks a broadcast at run time when the table turns out small.
+    j = (df.join(r, list(group_by), "left") if group_by
+         else df.withColumn("rop", F.lit(r.first()["rop"]).cast("double")))
     return j.withColumn("below_rop", col(stock).cast("double") < F.col("rop"))
 
 

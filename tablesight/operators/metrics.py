@@ -55,11 +55,10 @@ def roc_auc(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
 
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     """One row: n, r2, mae, rmse."""
-    m = df.agg(F.avg(col(y).cast("double")).alias("__ym"))
-    j = df.crossJoin(F.broadcast(m))
+    ym = df.agg(F.avg(col(y).cast("double"))).first()[0]  # one scalar, used as a literal
     e = col(y).cast("double") - col(p).cast("double")
-    a = j.agg(F.count(F.lit(1)).cast("long").alias("n"), F.sum(e * e).alias("sse"),
-              F.sum(F.pow(col(y).cast("double") - F.col("__ym"), 2)).alias("sst"),
+    a = df.agg(F.count(F.lit(1)).cast("long").alias("n"), F.sum(e * e).alias("sse"),
+               F.sum(F.pow(col(y).cast("double") - F.lit(ym), 2)).alias("sst"),
               F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
     return a.select("n", F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(F.lit(0.0)).alias("r2"),
                     "mae", "rmse")
@@ -87,6 +86,8 @@ def confusion_matrix(df: DataFrame, y: str, p: str, max_classes: int = 1000) ->
 def actual_vs_predicted(df: DataFrame, y: str, p: str, keep=()) -> DataFrame:
     """Pairs plus the identity-line range [min(y, p), max(y, p)] on every row."""
     r = df.agg(F.least(F.min(col(y)), F.min(col(p))).cast("double").alias("line_lo"),
-               F.greatest(F.max(col(y)), F.max(col(p))).cast("double").alias("line_hi"))
+               F.greatest(F.max(col(y)), F.max(col(p))).cast("double").alias("line_hi")).first()
     return df.select(*[col(k) for k in keep], col(y).cast("double").alias("actual"),
-                     col(p).cast("double").alias("predicted")).crossJoin(F.broadcast(r))
+                     col(p).cast("double").alias("predicted"),
+                     F.lit(r["line_lo"]).cast("double").alias("line_lo"),
+                     F.lit(r["line_hi"]).cast("double").alias("line_hi"))

@@ -65,9 +65,8 @@ def q_ols_simple(spark, sf):
 
 
 def _ols_predictions(li, x: str, y: str = "l_extendedprice"):
-    coef = li.agg(F.regr_slope(y, x).alias("__b"), F.regr_intercept(y, x).alias("__a"))
-    return (li.crossJoin(F.broadcast(coef))
-            .withColumn("pred", F.col("__a") + F.col("__b") * F.col(x)).drop("__a", "__b"))
+    coef = li.agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a")).first()
+    return li.withColumn("pred", F.lit(coef["a"]) + F.lit(coef["b"]) * F.col(x))
 
 
 def _ols_sql(x: str) -> str:

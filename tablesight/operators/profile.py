@@ -155,12 +155,21 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if is_numeric(f.dataType) and f.name not in set(exclude)]
 
 
-def quartile_bounds(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+def quartile_bounds(df: DataFrame, columns: Sequence[str], accuracy: int | str | None = None) -> DataFrame:
     """One row with ``<c>__q1``/``<c>__q3`` per column (linear interpolation).
 
-    ``accuracy=None`` is exact (``percentile``); give an accuracy to switch to
-    ``percentile_approx`` for very high-cardinality columns.
+    ``accuracy=None`` is exact (``percentile``); an integer switches to
+    ``percentile_approx``; ``"rank"`` is exact by distributed ranking
+    (``functions.quantiles``), for very high-cardinality columns at scale.
     """
+    if accuracy == "rank":
+        from ..functions.quantiles import rank_quantiles
+        out = None
+        for c in columns:
+            r = rank_quantiles(df, c, [0.25, 0.75]).select(
+                F.col("q")[0].alias(f"{c}__q1"), F.col("q")[1].alias(f"{c}__q3"))
+            out = r if out is None else out.crossJoin(r)  # one row x one row per column
+        return out
     aggs = []
     for c in columns:
         x = col(c).cast("double")
@@ -175,7 +184,7 @@ def quartile_bounds(df: DataFrame, columns: Sequence[str], accuracy: int | None
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None,
-                 accuracy: int | None = None) -> DataFrame:
+                 accuracy: int | str | None = None) -> DataFrame:
     """(ordinal, column_name, q1, q3, lower, upper, n_outliers) per numeric column;
     0 outliers when iqr = 0. Two aggregate passes; the quartiles travel to the
     counting pass as literals (one number pair per column)."""

@@ -1,10 +1,11 @@
 """Feature engineering (E1-E15): a fitted encoder that turns a table into numeric
 feature columns (and an MLlib vector), plus target encoders and scalers.
 
-Fitting is two aggregate passes: (1) means of numeric columns and exact
-distinct counts of string columns, (2) the distinct values of the string
-columns that have at most ``max_ohe`` of them - so what reaches the driver is
-bounded by ``max_ohe`` per column. Transform is a single narrow projection.
+Fitting is two aggregate passes: (1) means of numeric columns, null flags and
+approximate (HyperLogLog) distinct counts of string columns, which screen out
+columns far above the one-hot limit without expanding rows; (2) exact distinct
+values of the remaining candidates only - so what reaches the driver is bounded
+by a few times ``max_ohe`` per column. Transform is a single narrow projection.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.columns import FLOAT_TYPES, col, is_datetime, is_numeric, normalize_missing
 
 MAX_OHE = 15
+SCREEN_FACTOR = 4  # approximate-count screen: exact check only below 4 x MAX_OHE
 NO_FEATURES = "(sin_features)"
 NAN_CATEGORY = "nan"
 DISCRETE_MAX_UNIQUE = 20
@@ -62,21 +64,26 @@ class FeatureEncoder:
             elif isinstance(f.dataType, T.StringType):
                 enc.inputs.append((f.name, "string"))
                 strs.append(f.name)
+        # Pass 1: means, null flags and an approximate distinct count (HyperLogLog, no
+        # row expansion) that screens out columns far above the one-hot limit.
         aggs = [F.avg(col(c).cast("double")).alias(f"m__{c}") for c in num]
-        aggs += [F.count_distinct(col(c)).alias(f"d__{c}") for c in strs]
+        aggs += [F.approx_count_distinct(col(c)).alias(f"d__{c}") for c in strs]
         aggs += [F.max(F.when(col(c).isNull(), 1).otherwise(0)).alias(f"n__{c}") for c in strs]
         row = df.agg(*aggs).first().asDict() if aggs else {}
         for c in num:
             enc.means[c] = row[f"m__{c}"]
-        small = [c for c in strs if 1 < row[f"d__{c}"] <= max_ohe]
-        if small:
-            # At most max_ohe values per column reach the driver (checked above).
-            vals = df.agg(*[F.collect_set(col(c)).alias(c) for c in small]).first()
-            for c in small:
-                cats = [str(v) for v in vals[c]]
+        cands = [c for c in strs if row[f"d__{c}"] <= SCREEN_FACTOR * max_ohe]
+        if cands:
+            # Pass 2: exact distinct values of the candidates only; each set is bounded
+            # (a few times max_ohe values), so this is what reaches the driver.
+            vals = df.agg(*[F.collect_set(col(c)).alias(c) for c in cands]).first()
+            for c in cands:
+                distinct = sorted({str(v) for v in vals[c]})
+                if not 1 < len(distinct) <= max_ohe:
+                    continue
                 if row[f"n__{c}"]:
-                    cats.append(NAN_CATEGORY)
-                enc.categories[c] = sorted(set(cats))
+                    distinct = sorted(set(distinct) | {NAN_CATEGORY})
+                enc.categories[c] = distinct
         for c, role in enc.inputs:
             if role in ("bool", "numeric"):
                 enc.feature_names.append(c)

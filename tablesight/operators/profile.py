@@ -53,24 +53,27 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return grouped.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
 
 
-def _long_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def _long_cells(df: DataFrame, columns: Sequence[str] | None = None, with_num: bool = True) -> DataFrame:
     columns = list(columns or df.columns)
     fields = {f.name: f for f in df.schema.fields}
     cells = []
     for i, c in enumerate(columns):
         dt = fields[c].dataType
-        num = col(c).cast("double") if (is_numeric(dt) or isinstance(dt, T.BooleanType)) \
-            else F.lit(None).cast("double")
-        cells.append(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"),
-                              num.alias("num"), col(c).cast("string").alias("value")))
+        parts = [F.lit(i).alias("ordinal"), F.lit(c).alias("column_name")]
+        if with_num:  # numeric sort key, only needed to order sample values
+            num = col(c).cast("double") if (is_numeric(dt) or isinstance(dt, T.BooleanType)) \
+                else F.lit(None).cast("double")
+            parts.append(num.alias("num"))
+        cells.append(F.struct(*parts, col(c).cast("string").alias("value")))
     return df.select(F.inline(F.array(*cells)))
 
 
-def distinct_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(ordinal, column, num, value, cnt): distinct values per column with counts."""
+def distinct_cells(df: DataFrame, columns: Sequence[str] | None = None, with_num: bool = True) -> DataFrame:
+    """(ordinal, column, [num,] value, cnt): distinct values per column with counts."""
     df = normalize_missing(df)
-    return (_long_cells(df, columns)
-            .groupBy("ordinal", "column_name", "num", "value")
+    keys = ["ordinal", "column_name"] + (["num"] if with_num else []) + ["value"]
+    return (_long_cells(df, columns, with_num)
+            .groupBy(*keys)
             .agg(F.count(F.lit(1)).cast("long").alias("cnt")))
 
 
@@ -98,7 +101,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None,
     df = normalize_missing(df)
     columns = list(columns or df.columns)
     fields = {f.name: f for f in df.schema.fields}
-    cells = distinct_cells(df, columns)
+    cells = distinct_cells(df, columns, with_num=with_samples)
     nn = F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))
     per_col = cells.groupBy("ordinal", "column_name").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).cast("long").alias("n_missing"),

@@ -63,9 +63,10 @@ def recommendation(weighted: DataFrame, requests: DataFrame | None = None) -> Da
 def ranking_text(weighted: DataFrame) -> DataFrame:
     """I4 text: 'label: calidad s x peso w = f' joined by '; ', best first."""
     lab = F.create_map(*[x for a, l in V.APPROACH_LABELS.items() for x in (F.lit(a), F.lit(l))])
-    r = ranking(weighted).withColumn("piece", F.format_string(
-        "%s: calidad %.2f x peso %.1f = %.2f", F.element_at(lab, F.col("approach")), F.col("score_norm"),
-        F.col("weight"), F.col("final_score")))
+    from . import texts as X
+    r = ranking(weighted).withColumn("piece", X.fill(X.RANKING_PIECE, {
+        "label": F.element_at(lab, F.col("approach")), "score": F.format_string("%.2f", F.col("score_norm")),
+        "weight": F.format_string("%.1f", F.col("weight")), "final": F.format_string("%.2f", F.col("final_score"))}))
     return r.groupBy("case_id", "goal").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "piece"))), lambda s: s["piece"]),
                      "; ").alias("ranking_text"))

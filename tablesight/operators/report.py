@@ -77,28 +77,22 @@ def _num_text(c: Column) -> Column:
 def findings(balance: DataFrame | None, stats: DataFrame | None, target: str, frame: str | None,
              n_rows: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     """The key-finding sentence per group (categorical, continuous or neutral form)."""
-    t = _fmt_target(target)
-    note = f" (marco de referencia: {frame})" if frame else ""
-    base = n_rows
+    from . import texts as X
+    base = {"target": F.lit(_fmt_target(target)),
+            "frame_note": F.lit(X.FRAME_NOTE.replace("{frame}", frame) if frame else ""),
+            "n_rows": F.col("n_rows").cast("string")}
     if balance is not None:
-        b = base.join(balance, list(group_by), "left")
-        cat = F.concat(
-            F.lit(f"En '{t}'{note}, el valor mas frecuente es '"), F.col("majority"), F.lit("' con "),
-            _num_text(F.col("majority_pct")), F.lit("% de los "), F.col("n_rows").cast("string"),
-            F.lit(" registros analizados."),
-            F.when(F.col("minority") != F.col("majority"), F.concat(
-                F.lit(" El grupo menos representado ('"), F.col("minority"), F.lit("') concentra solo "),
-                _num_text(F.col("minority_pct")), F.lit("%, lo que marca un desbalance a vigilar."))).otherwise(F.lit("")))
-        return b.select(*group_by, F.when(F.col("majority").isNotNull(), cat).otherwise(
-            F.concat(F.lit("Se analizaron "), F.col("n_rows").cast("string"),
-                     F.lit(f" registros sobre '{t}'{note}; los datos quedaron completos y listos para decidir.")))
-            .alias("finding"))
-    s = base.join(stats.drop("n_rows"), list(group_by), "left")
-    return s.select(*group_by, F.concat(
-        F.lit(f"En '{t}'{note}, el valor promedio es "), _num_text(F.col("media")), F.lit(" (mediana "),
-        _num_text(F.col("mediana")), F.lit("), con un rango que va de "), _num_text(F.col("min")), F.lit(" a "),
-        _num_text(F.col("max")), F.lit(" en los "), F.col("n_rows").cast("string"),
-        F.lit(" registros analizados.")).alias("finding"))
+        b = n_rows.join(balance, list(group_by), "left")
+        v = {**base, "majority": F.col("majority"), "majority_pct": _num_text(F.col("majority_pct")),
+             "minority": F.col("minority"), "minority_pct": _num_text(F.col("minority_pct"))}
+        cat = F.concat(X.fill(X.FINDING_CATEGORICAL, v),
+                       F.when(F.col("minority") != F.col("majority"), X.fill(X.FINDING_MINORITY, v))
+                       .otherwise(F.lit("")))
+        return b.select(*group_by, F.when(F.col("majority").isNotNull(), cat)
+                        .otherwise(X.fill(X.FINDING_NEUTRAL, base)).alias("finding"))
+    s = n_rows.join(stats.drop("n_rows"), list(group_by), "left")
+    v = {**base, **{k: _num_text(F.col(k)) for k in ("media", "mediana", "min", "max")}}
+    return s.select(*group_by, X.fill(X.FINDING_CONTINUOUS, v).alias("finding"))
 
 
 _REC = T.StructType([T.StructField(f, T.StringType()) for f in REC_FIELDS])

@@ -1,9 +1,9 @@
 """Deterministic report (J6): three recommendations chosen by the winning approach,
-plus title, situation summary and next step, filled from a per-case facts table.
+plus title and next step, filled from a per-case facts table.
 
-Fixed values of the reference: the report templates below (text formats whose
-placeholders in braces are filled from the facts). They are data; the filling
-is a join on (winner) and string replacement, one report per case.
+The text formats are the fixed values in ``texts``; here they become, per output
+field, a ``CASE`` over the winner of ``concat`` expressions - one narrow
+projection, three rows per case.
 """
 
 from __future__ import annotations
@@ -11,61 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# --- fixed values: recommendation templates per winning approach -----------
-TEMPLATES = {
-    "supervised": [
-        ("Anticiparse usando '{target}' como senal temprana",
-         "Incorporar la estimacion de '{target}' al proceso de decision para priorizar los casos antes de que "
-         "se materialicen.",
-         "{impacto_supervisado}",
-         "La estimacion se basa en los datos historicos disponibles; conviene revalidarla al cambiar el contexto."),
-        ("Focalizar recursos en '{top}'",
-         "'{top}' es el factor que mas incide en '{target}'. Concentrar esfuerzo y presupuesto donde este factor "
-         "pesa mas.",
-         "Mayor retorno por cada peso invertido al actuar sobre la palanca de mayor efecto en lugar de repartir "
-         "sin foco.",
-         "Correlacion no implica causa: conviene confirmar la relacion con una prueba controlada antes de escalar."),
-        ("Institucionalizar el seguimiento del indicador",
-         "Definir un tablero mensual de '{target}' y sus factores clave, con responsables y umbrales de alerta.",
-         "Deteccion temprana de desvios y decisiones mas rapidas, sostenidas en el tiempo.",
-         "Requiere datos frescos y de calidad de forma recurrente; sin eso, el seguimiento pierde valor."),
-    ],
-    "unsupervised": [
-        ("Adoptar una estrategia segmentada en {k} grupos",
-         "Los datos revelan {k} segmentos naturales con perfiles distintos. Disenar propuestas diferenciadas "
-         "para cada uno.",
-         "Mensajes y ofertas mas relevantes por segmento, con mejor conversion que un enfoque unico para todos.",
-         "Los segmentos describen patrones actuales; conviene revisarlos periodicamente porque pueden evolucionar."),
-        ("Priorizar el segmento de mayor valor",
-         "Identificar cual de los grupos aporta mas valor de negocio y asignarle atencion preferente.{rasgos}",
-         "Uso mas eficiente de recursos comerciales al concentrarlos donde el retorno es mayor.",
-         "Definir 'valor' con criterio de negocio explicito para no sesgar la priorizacion."),
-        ("Validar los segmentos con las areas operativas",
-         "Contrastar los grupos hallados con el conocimiento de ventas y operaciones antes de accionarlos.",
-         "Segmentacion accionable y creible internamente, con mayor adopcion por los equipos.",
-         "Si un grupo no tiene interpretacion de negocio clara, no conviene forzar acciones sobre el."),
-    ],
-    "reinforcement": [
-        ("Pilotar una politica de decision guiada por datos",
-         "Probar en un piloto acotado una regla que elija la mejor accion sobre '{target}' segun el perfil de "
-         "cada caso.",
-         "La estrategia {perf_refuerzo}, lo que sugiere margen real de mejora frente a decidir sin datos.",
-         "Es una simulacion sobre datos historicos, no un entorno real; el piloto debe confirmar el resultado "
-         "en vivo."),
-        ("Medir el impacto con un grupo de control",
-         "Ejecutar el piloto contra un grupo de control para aislar el efecto real de la nueva politica de "
-         "decision.",
-         "Evidencia solida del beneficio incremental antes de invertir en un despliegue amplio.",
-         "Requiere disciplina en la medicion; sin control, la mejora observada puede deberse a otros factores."),
-        ("Escalar por etapas segun resultados",
-         "Ampliar la politica solo si el piloto confirma la mejora, avanzando por fases controladas.",
-         "Captura del beneficio limitando el riesgo de un despliegue prematuro.",
-         "Definir de antemano los criterios de exito que habilitan pasar de una etapa a la siguiente."),
-    ],
-}
-TITLE = "Reporte Ejecutivo: Analisis de {target_title}"
-NEXT_STEP = ("Aprobar un piloto acotado alineado a '{target}' y asignar un responsable para ejecutar la primera "
-             "recomendacion en el proximo ciclo.")
+from . import texts as X
+
+TEMPLATES = X.REPORT_RECOMMENDATIONS
 FIELDS = ("titulo", "descripcion", "impacto_esperado", "riesgo_o_consideracion")
 
 
@@ -73,52 +21,55 @@ def _pct0(c: Column) -> Column:
     return F.format_string("%.0f", c * 100)
 
 
-def _fill(template: Column, values: dict[str, Column]) -> Column:
-    out = template
-    for k, v in values.items():
-        out = F.replace(out, F.lit("{" + k + "}"), F.coalesce(v, F.lit("")))
-    return out
-
+def _target(c: Column, default: str) -> Column:
+    return F.replace(F.coalesce(c, F.lit(default)), F.lit("_"), F.lit(" "))
 
-def report_recommendations(facts: DataFrame) -> DataFrame:
-    """(case_id, position, titulo, descripcion, impacto_esperado, riesgo_o_consideracion).
 
-    ``facts`` columns: case_id, winner, target, task, accuracy, r2, top_feature, best_k,
-    distinctive, final_reward, baseline (missing values are allowed)."""
-    spark = facts.sparkSession
-    rows = [(w, i + 1, *t) for w, recs in TEMPLATES.items() for i, t in enumerate(recs)]
-    tmpl = spark.createDataFrame(rows, "winner string, position int, " + ", ".join(f"t_{f} string" for f in FIELDS))
-    target = F.replace(F.coalesce(F.col("target"), F.lit("la variable de interes")), F.lit("_"), F.lit(" "))
-    top = F.replace(F.coalesce(F.col("top_feature"), F.lit("el factor mas influyente")), F.lit("_"), F.lit(" "))
-    imp_cls = F.concat(F.lit("Anticipar casos de '"), target, F.lit("' con "),
-                       F.when(F.col("accuracy").isNotNull(), F.concat(_pct0(F.col("accuracy")), F.lit("% de aciertos")))
-                       .otherwise(F.lit("un desempeno solido")),
-                       F.lit(" permite actuar antes de que ocurran, en lugar de reaccionar tarde."))
-    imp_reg = F.concat(F.lit("Estimar '"), target, F.lit("' por adelantado "),
-                       F.when(F.col("r2").isNotNull(),
-                              F.concat(F.lit("explicando el "), _pct0(F.col("r2")), F.lit("% de la variacion")))
-                       .otherwise(F.lit("con buena precision")),
-                       F.lit(" da margen para planificar con datos y no por intuicion."))
-    perf_rl = F.when(F.col("final_reward").isNotNull() & F.col("baseline").isNotNull(), F.concat(
-        F.lit("acierta "), _pct0(F.col("final_reward")), F.lit("% de las decisiones frente a "),
-        _pct0(F.col("baseline")), F.lit("% al azar"))).otherwise(F.lit("supera a la decision al azar"))
-    values = {
-        "target": target, "top": top,
-        "impacto_supervisado": F.when(F.col("task") == "clasificacion", imp_cls).otherwise(imp_reg),
+def _values() -> dict[str, Column]:
+    target = _target(F.col("target"), "la variable de interes")
+    perf_cls = F.when(F.col("accuracy").isNotNull(), X.fill(X.PERF_CLASSIFICATION, {"acc": _pct0(F.col("accuracy"))})) \
+        .otherwise(F.lit(X.PERF_CLASSIFICATION_NONE))
+    perf_reg = F.when(F.col("r2").isNotNull(), X.fill(X.PERF_REGRESSION, {"r2": _pct0(F.col("r2"))})) \
+        .otherwise(F.lit(X.PERF_REGRESSION_NONE))
+    perf_rl = F.when(F.col("final_reward").isNotNull() & F.col("baseline").isNotNull(),
+                     X.fill(X.PERF_BANDIT, {"fr": _pct0(F.col("final_reward")), "base": _pct0(F.col("baseline"))})) \
+        .otherwise(F.lit(X.PERF_BANDIT_NONE))
+    return {
+        "target": target,
+        "top": _target(F.col("top_feature"), "el factor mas influyente"),
+        "impacto_supervisado": F.when(F.col("task") == "clasificacion",
+                                      X.fill(X.IMPACT_CLASSIFICATION, {"target": target, "perf": perf_cls}))
+        .otherwise(X.fill(X.IMPACT_REGRESSION, {"target": target, "perf": perf_reg})),
         "k": F.coalesce(F.col("best_k").cast("string"), F.lit("varios")),
         "rasgos": F.when(F.coalesce(F.col("distinctive"), F.lit("")) != "",
-                         F.concat(F.lit(" Rasgos que distinguen los grupos: "), F.col("distinctive"), F.lit(".")))
-        .otherwise(F.lit("")),
+                         X.fill(X.DISTINCTIVE, {"distinctive": F.col("distinctive")})).otherwise(F.lit("")),
         "perf_refuerzo": perf_rl,
     }
-    eff = facts.withColumn("__w", F.when(F.col("winner").isin("unsupervised", "reinforcement"), F.col("winner"))
-                           .otherwise(F.lit("supervised")))
-    j = eff.join(F.broadcast(tmpl), eff["__w"] == tmpl["winner"]).drop(tmpl["winner"])
-    return j.select("case_id", "position", *[_fill(F.col(f"t_{f}"), values).alias(f) for f in FIELDS])
+
+
+def report_recommendations(facts: DataFrame) -> DataFrame:
+    """(case_id, position, titulo, descripcion, impacto_esperado, riesgo_o_consideracion).
+
+    ``facts`` columns: case_id, winner, target, task, accuracy, r2, top_feature, best_k,
+    distinctive, final_reward, baseline (missing values are allowed); any winner other
+    than 'unsupervised' / 'reinforcement' gets the supervised recommendations."""
+    values = _values()
+    w = F.when(F.col("winner").isin("unsupervised", "reinforcement"), F.col("winner")).otherwise(F.lit("supervised"))
+    recs = []
+    for pos in range(3):
+        fields = []
+        for fi, name in enumerate(FIELDS):
+            expr = None
+            for winner, templates in TEMPLATES.items():
+                e = X.fill(templates[pos][fi], values)
+                expr = F.when(w == winner, e) if expr is None else expr.when(w == winner, e)
+            fields.append(expr.alias(name))
+        recs.append(F.struct(F.lit(pos + 1).alias("position"), *fields))
+    return facts.select("case_id", F.inline(F.array(*recs)))
 
 
 def report_header(facts: DataFrame) -> DataFrame:
     """Title and next step per case."""
-    target = F.replace(F.coalesce(F.col("target"), F.lit("la variable de interes")), F.lit("_"), F.lit(" "))
-    return facts.select("case_id", _fill(F.lit(TITLE), {"target_title": F.initcap(target)}).alias("titulo"),
-                        _fill(F.lit(NEXT_STEP), {"target": target}).alias("siguiente_paso_sugerido"))
+    target = _target(F.col("target"), "la variable de interes")
+    return facts.select("case_id", X.fill(X.REPORT_TITLE, {"target_title": F.initcap(target)}).alias("titulo"),
+                        X.fill(X.REPORT_NEXT_STEP, {"target": target}).alias("siguiente_paso_sugerido"))

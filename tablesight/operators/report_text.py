@@ -73,3 +73,25 @@ def report_header(facts: DataFrame) -> DataFrame:
     target = _target(F.col("target"), "la variable de interes")
     return facts.select("case_id", X.fill(X.REPORT_TITLE, {"target_title": F.initcap(target)}).alias("titulo"),
                         X.fill(X.REPORT_NEXT_STEP, {"target": target}).alias("siguiente_paso_sugerido"))
+
+
+def report_json(facts: DataFrame, findings: DataFrame) -> DataFrame:
+    """(case_id, report): the whole deterministic report as one JSON object per case,
+    shaped as J7 expects. ``facts`` adds n_rows, n_cols, goal_label, winner_label and
+    domain_label to the columns of ``report_recommendations``; ``findings`` is
+    (case_id, finding)."""
+    recs = report_recommendations(facts).groupBy("case_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("position", *FIELDS))),
+                    lambda r: F.struct(*[r[f].alias(f) for f in FIELDS])).alias("recomendaciones"))
+    target = _target(F.col("target"), "la variable de interes")
+    summary = X.fill(X.REPORT_SUMMARY, {
+        "domain_clause": F.when(F.col("domain_label").isNotNull(),
+                                X.fill(X.DOMAIN_CLAUSE, {"domain_label": F.col("domain_label")})).otherwise(F.lit("")),
+        "n_rows": F.col("n_rows"), "n_cols": F.col("n_cols"), "target": target,
+        "goal_label": F.lower(F.coalesce(F.col("goal_label"), F.lit("tomar mejores decisiones"))),
+        "winner_label": F.lower(F.coalesce(F.col("winner_label"), F.lit("analisis de datos")))})
+    head = report_header(facts).join(facts.select("case_id", summary.alias("resumen_situacion")), "case_id")
+    full = head.join(findings.select("case_id", F.col("finding").alias("hallazgo_clave")), "case_id", "left") \
+               .join(recs, "case_id")
+    return full.select("case_id", F.to_json(F.struct(
+        "titulo", "resumen_situacion", "hallazgo_clave", "recomendaciones", "siguiente_paso_sugerido")).alias("report"))

@@ -26,6 +26,10 @@ FINDING_NEUTRAL = ("Se analizaron {n_rows} registros sobre '{target}'{frame_note
 
 # --- fixed values: report (J6) --------------------------------------------
 REPORT_TITLE = "Reporte Ejecutivo: Analisis de {target_title}"
+REPORT_SUMMARY = ("Se analizo{domain_clause} un universo de {n_rows} registros con {n_cols} variables, enfocado en "
+                  "'{target}'. El objetivo de negocio planteado fue: {goal_label}. El analisis apunta a un enfoque "
+                  "de {winner_label}.")
+DOMAIN_CLAUSE = " desde una perspectiva de {domain_label}"
 REPORT_NEXT_STEP = ("Aprobar un piloto acotado alineado a '{target}' y asignar un responsable para ejecutar la "
                     "primera recomendacion en el proximo ciclo.")
 IMPACT_CLASSIFICATION = ("Anticipar casos de '{target}' con {perf} permite actuar antes de que ocurran, en lugar de "

@@ -141,3 +141,23 @@ def _report_sql() -> str:
 @register("report_recommendations", _report_sql())
 def q_report_recommendations(spark, sf):
     return RT.report_recommendations(_report_facts(spark, sf))
+
+
+@register("report_json")
+def q_report_json(spark, sf):
+    """The full deterministic report per (segment, goal), validated with J7."""
+    from ..operators import report as J
+    facts = _report_facts(spark, sf)
+    fin = derived(spark, sf, "finanzas")
+    n_rows = fin.groupBy("segmento_cliente").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+    finding = J.findings(J.class_balance(fin, "churn", ["segmento_cliente"]), None, "churn", "variable objetivo",
+                         n_rows, ["segmento_cliente"])
+    labels = F.create_map(*[x for g in V.GOALS for x in (F.lit(g), F.lit(V.GOAL_LABELS["finanzas"][g]))])
+    wl = F.create_map(*[x for a, l in V.APPROACH_LABELS.items() for x in (F.lit(a), F.lit(l))])
+    seg = F.split(F.col("case_id"), ":")
+    facts = facts.withColumn("segmento_cliente", seg[0]).join(n_rows, "segmento_cliente").select(
+        "*", F.lit(len(fin.columns)).alias("n_cols"), F.element_at(labels, seg[1]).alias("goal_label"),
+        F.element_at(wl, F.col("winner")).alias("winner_label"), F.lit(V.DOMAIN_LABELS["finanzas"]).alias("domain_label"))
+    finding = finding.join(facts.select("case_id", "segmento_cliente"), "segmento_cliente").select("case_id", "finding")
+    rep = RT.report_json(facts, finding)
+    return rep.select("case_id", "report", J.validate_report_json(F.col("report")).alias("is_valid"))

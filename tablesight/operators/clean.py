@@ -81,9 +81,11 @@ class CleaningPlan:
     def fit(cls, df: DataFrame, order_by: Sequence[str] | None = None,
             drop_pct: float = DROP_PCT, text_fill: str = TEXT_FILL,
             exclude_from_clip: Sequence[str] = (), quantile_accuracy: int | None = None,
-            ) -> CleaningPlan:
+            profile_rsd: float | None = None) -> CleaningPlan:
+        """``quantile_accuracy`` / ``profile_rsd`` switch the quartiles and the distinct
+        counts of the profile to their approximate forms for very large tables."""
         raw = normalize_missing(df)
-        prof = profile_columns(raw, with_samples=False).select(
+        prof = profile_columns(raw, with_samples=False, approx_rsd=profile_rsd).select(
             "column_name", "kind", "pct_missing", "n_missing", "n_non_null").collect()
         kinds = {r["column_name"]: r["kind"] for r in prof}
         pct = {r["column_name"]: float(r["pct_missing"]) for r in prof}

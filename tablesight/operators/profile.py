@@ -94,22 +94,46 @@ def sample_values(df: DataFrame, k: int = SAMPLE_SIZE, columns: Sequence[str] |
         .alias("sample_values"))
 
 
+def _approx_per_column(df: DataFrame, columns: list[str], rsd: float) -> DataFrame:
+    """Per-column statistics from one narrow aggregate (no explode, no shuffle of cells):
+    distinct counts are HyperLogLog estimates with relative error ``rsd``."""
+    aggs = []
+    for c in columns:
+        s = col(c).cast("string")
+        aggs += [F.count(F.when(col(c).isNull(), 1)).alias(f"{c}__m"), F.count(col(c)).alias(f"{c}__nn"),
+                 F.approx_count_distinct(col(c), rsd).alias(f"{c}__d"), F.avg(F.length(s)).alias(f"{c}__len"),
+                 F.avg(F.when(col(c).isNotNull(), F.try_to_timestamp(s).isNotNull().cast("double"))).alias(f"{c}__dt")]
+    row = df.agg(*aggs)
+    return row.select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.col(f"`{c}__m`").cast("long").alias("n_missing"),
+        F.col(f"`{c}__d`").cast("long").alias("n_unique"), F.col(f"`{c}__nn`").cast("long").alias("n_non_null"),
+        F.col(f"`{c}__len`").alias("avg_len"), F.col(f"`{c}__dt`").alias("date_share")) for i, c in enumerate(columns)])))
+
+
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None,
-                    with_samples: bool = True) -> DataFrame:
+                    with_samples: bool = True, approx_rsd: float | None = None) -> DataFrame:
     """One row per column: ordinal, column, spark_type, kind, n_missing, pct_missing,
-    n_unique, avg_len, date_share (+ sample_values)."""
+    n_unique, avg_len, date_share (+ sample_values).
+
+    Exact by default (distinct (column, value) pairs with counts). ``approx_rsd``
+    (e.g. 0.01) switches to one narrow aggregate with HyperLogLog distinct counts -
+    for very wide or very large tables; sample values are then not produced."""
     df = normalize_missing(df)
     columns = list(columns or df.columns)
     fields = {f.name: f for f in df.schema.fields}
-    cells = distinct_cells(df, columns, with_num=with_samples)
-    nn = F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))
-    per_col = cells.groupBy("ordinal", "column_name").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).cast("long").alias("n_missing"),
-        F.count("value").cast("long").alias("n_unique"),
-        F.coalesce(nn, F.lit(0)).cast("long").alias("n_non_null"),
-        (F.sum(F.length("value") * F.col("cnt")) / nn).alias("avg_len"),
-        (F.sum(F.when(F.try_to_timestamp(F.col("value")).isNotNull(), F.col("cnt"))) / nn).alias("date_share"),
-    )
+    if approx_rsd is not None:
+        with_samples = False
+        per_col = _approx_per_column(df, columns, approx_rsd)
+    else:
+        cells = distinct_cells(df, columns, with_num=with_samples)
+        nn = F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))
+        per_col = cells.groupBy("ordinal", "column_name").agg(
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).cast("long").alias("n_missing"),
+            F.count("value").cast("long").alias("n_unique"),
+            F.coalesce(nn, F.lit(0)).cast("long").alias("n_non_null"),
+            (F.sum(F.length("value") * F.col("cnt")) / nn).alias("avg_len"),
+            (F.sum(F.when(F.try_to_timestamp(F.col("value")).isNotNull(), F.col("cnt"))) / nn).alias("date_share"),
+        )
     types = df.sparkSession.createDataFrame(
         [(c, fields[c].dataType.simpleString(), schema_kind(fields[c].dataType)) for c in columns],
         "column_name string, spark_type string, type_kind string")

@@ -67,3 +67,15 @@ def test_mode_smallest_on_ties(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), ("c",)], "c string")
     plan = CleaningPlan.fit(df.withColumn("k", F.monotonically_increasing_id()))
     assert plan.impute["c"] == ("moda", "a")
+
+
+def test_approximate_profile_agrees_on_counts_and_kinds(spark):
+    from tests.conftest import SF_SMALL
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    exact = {r["column_name"]: r for r in P.profile_columns(docs, with_samples=False).collect()}
+    approx = {r["column_name"]: r for r in P.profile_columns(docs, approx_rsd=0.01).collect()}
+    for c, r in exact.items():
+        a = approx[c]
+        assert (a["kind"], a["n_missing"], a["n_non_null"]) == (r["kind"], r["n_missing"], r["n_non_null"])
+        assert abs(a["n_unique"] - r["n_unique"]) <= max(2, 0.05 * r["n_unique"])
+        assert abs(a["avg_len"] - r["avg_len"]) < 1e-6

@@ -96,13 +96,20 @@ def sample_values(df: DataFrame, k: int = SAMPLE_SIZE, columns: Sequence[str] |
 
 def _approx_per_column(df: DataFrame, columns: list[str], rsd: float) -> DataFrame:
     """Per-column statistics from one narrow aggregate (no explode, no shuffle of cells):
-    distinct counts are HyperLogLog estimates with relative error ``rsd``."""
+    distinct counts are HyperLogLog estimates with relative error ``rsd``. Length and
+    date-parse share feed only the string-kind rules, so only string columns pay for them."""
+    fields = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
     for c in columns:
-        s = col(c).cast("string")
         aggs += [F.count(F.when(col(c).isNull(), 1)).alias(f"{c}__m"), F.count(col(c)).alias(f"{c}__nn"),
-                 F.approx_count_distinct(col(c), rsd).alias(f"{c}__d"), F.avg(F.length(s)).alias(f"{c}__len"),
-                 F.avg(F.when(col(c).isNotNull(), F.try_to_timestamp(s).isNotNull().cast("double"))).alias(f"{c}__dt")]
+                 F.approx_count_distinct(col(c), rsd).alias(f"{c}__d")]
+        if schema_kind(fields[c]) == "string":
+            s = col(c).cast("string")
+            aggs += [F.avg(F.length(s)).alias(f"{c}__len"),
+                     F.avg(F.when(col(c).isNotNull(), F.try_to_timestamp(s).isNotNull().cast("double")))
+                     .alias(f"{c}__dt")]
+        else:
+            aggs += [F.lit(None).cast("double").alias(f"{c}__len"), F.lit(None).cast("double").alias(f"{c}__dt")]
     row = df.agg(*aggs)
     return row.select(F.inline(F.array(*[F.struct(
         F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.col(f"`{c}__m`").cast("long").alias("n_missing"),
@@ -116,8 +123,10 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None,
     n_unique, avg_len, date_share (+ sample_values).
 
     Exact by default (distinct (column, value) pairs with counts). ``approx_rsd``
-    (e.g. 0.01) switches to one narrow aggregate with HyperLogLog distinct counts -
-    for very wide or very large tables; sample values are then not produced."""
+    (0.05 recommended; smaller values grow the sketches and cost more than the
+    exact pass at moderate sizes) switches to one narrow aggregate with HyperLogLog
+    distinct counts - for very wide or very large tables; sample values are then not
+    produced."""
     df = normalize_missing(df)
     columns = list(columns or df.columns)
     fields = {f.name: f for f in df.schema.fields}

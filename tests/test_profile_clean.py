@@ -78,4 +78,5 @@ def test_approximate_profile_agrees_on_counts_and_kinds(spark):
         a = approx[c]
         assert (a["kind"], a["n_missing"], a["n_non_null"]) == (r["kind"], r["n_missing"], r["n_non_null"])
         assert abs(a["n_unique"] - r["n_unique"]) <= max(2, 0.05 * r["n_unique"])
-        assert abs(a["avg_len"] - r["avg_len"]) < 1e-6
+        if r["spark_type"] == "string":
+            assert abs(a["avg_len"] - r["avg_len"]) < 1e-6

@@ -2,7 +2,8 @@
 
 ``CleaningPlan.fit`` runs
   1. the column profile of the raw table (one long pass),
-  2. the duplicate count,
+  2. the de-duplication itself (kept for the next passes; its row count gives the
+     duplicate count),
   3. one ``agg`` over the de-duplicated table: per column null count,
      adjusted skewness, mean, exact median, deterministic mode,
   4. one ``agg`` of quartiles and clip counts over the imputed table.
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import adjusted_skew, col, normalize_missing
 from ..functions.ordered import fill_forward_backward
-from .profile import duplicate_count, profile_columns
+from .profile import profile_columns
 
 # Fixed values of the reference's cleaning rules.
 DROP_PCT = 60.0            # drop a column with at least this % missing
@@ -90,15 +91,16 @@ class CleaningPlan:
         kinds = {r["column_name"]: r["kind"] for r in prof}
         pct = {r["column_name"]: float(r["pct_missing"]) for r in prof}
         n_before = int(prof[0]["n_missing"] + prof[0]["n_non_null"]) if prof else 0
-        n_dups = int(duplicate_count(raw).first()["n_duplicates"])
         drop = [c for c in raw.columns if pct.get(c, 0.0) >= drop_pct]
         keep = [c for c in raw.columns if c not in drop]
+        # De-duplicate on all columns (before dropping any), keep it for the fitting
+        # passes; its row count gives the duplicate count without another shuffle.
+        dedup = raw.dropDuplicates().select(*[col(c) for c in keep])
+        dedup = dedup.persist(StorageLevel.MEMORY_AND_DISK)
+        n_dups = n_before - dedup.count()
         plan = cls(columns=list(raw.columns), kinds=kinds, pct_missing=pct,
                    n_rows_before=n_before, n_duplicates=n_dups, drop_columns=drop,
                    order_by=list(order_by) if order_by else None, text_fill=text_fill)
-
-        dedup = raw.dropDuplicates().select(*[col(c) for c in keep])
-        dedup = dedup.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             plan._fit_impute(dedup, keep)
             imputed = plan._apply_impute(dedup)

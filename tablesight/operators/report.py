@@ -29,18 +29,27 @@ def target_stats(df: DataFrame, target: str, group_by: Sequence[str] = ()) -> Da
 
 
 def _counts(df: DataFrame, target: str, group_by: Sequence[str]) -> DataFrame:
-    c = df.filter(col(target).isNotNull()).groupBy(*[col(g) for g in group_by],
+    """(group..., value, n, pct): value counts and their share of the group's non-null
+    values. Totals come from a grouped aggregate (a scalar when ungrouped), not from a
+    window over all distinct values."""
+    g = list(group_by)
+    c = df.filter(col(target).isNotNull()).groupBy(*[col(x) for x in g],
                                                    col(target).cast("string").alias("value")).agg(
         F.count(F.lit(1)).alias("n"))
-    tot = F.sum("n").over(Window.partitionBy(*[col(g) for g in group_by]))
-    w = Window.partitionBy(*[col(g) for g in group_by]).orderBy(F.col("n").desc(), F.col("value"))
-    return c.withColumn("pct", F.round(F.col("n") * 100.0 / tot, 1)).withColumn("rank", F.row_number().over(w))
+    if g:
+        c = c.join(c.groupBy(*g).agg(F.sum("n").alias("__tot")), g)
+    else:
+        c = c.withColumn("__tot", F.lit(c.agg(F.sum("n")).first()[0]))
+    return c.withColumn("pct", F.round(F.col("n") * 100.0 / F.col("__tot"), 1)).drop("__tot")
 
 
 def target_distribution(df: DataFrame, target: str, group_by: Sequence[str] = (), k: int = TOP_VALUES) -> DataFrame:
-    """The ``k`` most frequent values with count and % of the non-null values."""
-    return _counts(df, target, group_by).filter(F.col("rank") <= k).select(
-        *group_by, "value", F.col("n").cast("long"), "pct", F.col("rank").cast("long"))
+    """The ``k`` most frequent values with count and % of the non-null values
+    (``row_number() <= k``: Spark keeps at most k rows per group in each map task)."""
+    w = Window.partitionBy(*[col(x) for x in group_by]).orderBy(F.col("n").desc(), F.col("value"))
+    return (_counts(df, target, group_by).withColumn("rank", F.row_number().over(w))
+            .filter(F.col("rank") <= k)
+            .select(*group_by, "value", F.col("n").cast("long"), "pct", F.col("rank").cast("long")))
 
 
 def class_balance(df: DataFrame, target: str, group_by: Sequence[str] = ()) -> DataFrame:

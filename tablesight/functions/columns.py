@@ -56,9 +56,6 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     return df.select(*exprs)
 
 
-def as_double(name: str) -> Column:
-    return col(name).cast("double")
-
 
 def adjusted_skew(c: Column) -> Column:
     """Sample-adjusted skewness G1 = g1 * sqrt(n(n-1)) / (n-2); 0 when n <= 2.

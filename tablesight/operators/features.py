@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import FLOAT_TYPES, col, is_datetime, is_numeric, normalize_missing
+from ..functions.columns import col, is_datetime, is_numeric, normalize_missing
 
 MAX_OHE = 15
 SCREEN_FACTOR = 4  # approximate-count screen: exact check only below 4 x MAX_OHE
@@ -212,7 +212,3 @@ def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "",
         scale = s if s not in (None, 0.0) else 1.0
         out = out.withColumn(c + suffix, (col(c).cast("double") - F.lit(m)) / F.lit(scale))
     return out, stats
-
-
-def float_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, FLOAT_TYPES)]

@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (FLOAT_TYPES, col, is_numeric, normalize_missing,
-                                 schema_kind)
+from ..functions.columns import col, is_numeric, normalize_missing, schema_kind
 
 # Fixed values of the reference's kind rules.
 TEXT_MIN_UNIQUE = 50          # more distinct values than this ...

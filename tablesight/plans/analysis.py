@@ -13,14 +13,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_numeric
 from ..operators import bandit as H
 from ..operators import cluster as C
 from ..operators import recommend as R
 from ..operators import tags as TG
 from ..operators import vocabulary as V
 from ..operators.clean import CleaningPlan
-from ..operators.features import (FeatureEncoder, encode_target, fit_target, quantile_bins)
+from ..operators.features import FeatureEncoder, encode_target, fit_target, quantile_bins, standardize
 from ..operators.supervised import train_and_select
 
 APPROACHES = V.APPROACHES
@@ -71,7 +70,6 @@ def _unsupervised(clean, key, target):
     if len(names) < C.MIN_FEATURES:
         return "skipped", 0.0, "datos insuficientes", None
     feats = enc.transform(clean, keep=[key])
-    from ..operators.features import standardize
     z, _ = standardize(feats, names, suffix="__z")
     vec = C.as_vector(z, [n + "__z" for n in names])
     res = C.kmeans_sweep(vec, key, "features")
@@ -93,7 +91,6 @@ def _reinforcement(clean, key, target):
     enc = FeatureEncoder.fit(clean, exclude=[key, target])
     names = enc.names()
     feats = enc.transform(labelled, keep=[key, "label"])
-    from ..operators.features import standardize
     z, _ = standardize(feats, names, suffix="__z")
     ctx = z.select(key, F.col("label").cast("int").alias("label"),
                    H.with_intercept(F.array(*[F.col(f"`{n}__z`") for n in names])).alias("x"))
@@ -136,7 +133,3 @@ def run_all(df: DataFrame, key: str, goal: str = V.DEFAULT_GOAL, name: str = "ta
     d = diagnose(df, name=name, order_by=[key], target=target)
     a = analyze(d.clean, key, d.target, d.applicable, goal, case_id=name)
     return d, a
-
-
-def numeric_names(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_numeric(f.dataType)]

@@ -12,6 +12,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _driver_memory() -> str:
+    """About 60% of the machine's memory (at most 16g): local mode runs everything in
+    the driver JVM, and a heap larger than the container would be killed."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = next(int(line.split()[1]) for line in f if line.startswith("MemTotal"))
+        gb = max(1, min(16, int(kb / 1024 / 1024 * 0.6)))
+    except (OSError, StopIteration, ValueError):
+        gb = 4
+    return f"{gb}g"
+
+
 def get_spark(app: str = "tablesight", master: str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests/benchmarks."""
@@ -30,7 +42,7 @@ def get_spark(app: str = "tablesight", master: str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", _driver_memory())
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -14,7 +14,7 @@ from .tables import derived, derived_duck, sql
 COORDS = [("africa", 0.0, 20.0), ("america", 15.0, -90.0), ("asia", 35.0, 100.0),
           ("europe", 50.0, 10.0), ("middle east", 0.0, 0.0), ("oceania", -25.0, 135.0)]
 _COORDS_SQL = "coords(location, lat, lon) AS (VALUES " + ", ".join(
-    f"('{n}', {a}, {b})" for n, a, b in COORDS) + ")"
+    f"('{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for n, a, b in COORDS) + ")"
 _LG = f"lg AS ({derived_duck('logistica')})"
 _CLEAN = "cc AS (SELECT * FROM coords WHERE NOT (lat = 0 AND lon = 0))"
 

@@ -1,7 +1,8 @@
 """Run every registered query in Spark and its oracle SQL in DuckDB and compare.
 
 Usage: python tools/check_oracle.py [sf_dir] [name ...]
-Compares row count, column names and the multiset of rows (doubles rounded to 6).
+Compares row count, column names and the multiset of rows (doubles compared at 5
+decimals; ``--strict`` compares the exact values).
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from tablesight.plans.tables import TABLES  # noqa: E402
 from tablesight.session import get_spark  # noqa: E402
 
 
+STRICT = "--strict" in sys.argv
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 5)
+        return v if STRICT else round(v, 5)
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if hasattr(v, "isoformat"):
@@ -32,8 +36,27 @@ def _norm(v):
     return v
 
 
+def _family_spark(t: str) -> str:
+    if t in ("tinyint", "smallint", "int", "bigint"):
+        return "int"
+    if t in ("float", "double"):
+        return "float"
+    return {"string": "str", "boolean": "bool"}.get(t, "decimal" if t.startswith("decimal") else t)
+
+
+def _family_duck(t: str) -> str:
+    t = t.upper()
+    if t in ("TINYINT", "SMALLINT", "INTEGER", "BIGINT", "HUGEINT", "UTINYINT", "USMALLINT", "UINTEGER", "UBIGINT"):
+        return "int"
+    if t in ("FLOAT", "DOUBLE"):
+        return "float"
+    if t.startswith("DECIMAL"):
+        return "decimal"
+    return {"VARCHAR": "str", "BOOLEAN": "bool"}.get(t, t.lower())
+
+
 def main() -> int:
-    args = sys.argv[1:]
+    args = [a for a in sys.argv[1:] if a != "--strict"]
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
     spark = get_spark()
@@ -70,6 +93,11 @@ def main() -> int:
             print(f"FAIL {name}: columns {cols} vs {dcols}")
             bad += 1
             continue
+        stypes = {n: _family_spark(t) for n, t in sdf.dtypes}
+        dtypes = {d[0]: _family_duck(str(d[1])) for d in cur.description}
+        type_diff = {c: (stypes[c], dtypes[c]) for c in cols if stypes[c] != dtypes[c]}
+        if type_diff:
+            print(f"TYPE {name}: {type_diff}")
         idx = [dcols.index(c) for c in cols]
         drows = [tuple(r[i] for i in idx) for r in drows]
         key = lambda r: tuple((x is None, str(type(x)), str(x)) for x in r)

@@ -8,6 +8,7 @@ vocabulary only labels text; it never changes a number (O5).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,18 +109,24 @@ def analyze(clean: DataFrame, key: str, target: str | None, approaches: Sequence
     """Run the chosen approaches (each isolated), then recommend for the goal."""
     spark: SparkSession = clean.sparkSession
     rows, results = [], {}
-    for a in APPROACHES:
-        if a not in approaches:
-            continue
-        try:
-            if a != "unsupervised" and (not target or target not in clean.columns):
-                rows.append((case_id, a, "skipped", 0.0, "sin objetivo"))
-                continue
-            status, score, detail, res = _RUNNERS[a](clean, key, target)
-            results[a] = res
-            rows.append((case_id, a, status, float(score), detail))
-        except Exception as exc:  # noqa: BLE001 - O4: a failing stage becomes a status row
-            rows.append((case_id, a, "failed", 0.0, f"{type(exc).__name__}: {exc}"[:500]))
+
+    def run(a):
+        if a != "unsupervised" and (not target or target not in clean.columns):
+            return "skipped", 0.0, "sin objetivo", None
+        return _RUNNERS[a](clean, key, target)
+
+    chosen = [a for a in APPROACHES if a in approaches]
+    # The approaches are independent: their Spark jobs run concurrently from a small
+    # driver thread pool; each stays isolated (a failure becomes its status row).
+    with ThreadPoolExecutor(max_workers=len(chosen) or 1) as pool:
+        futures = [(a, pool.submit(run, a)) for a in chosen]
+        for a, fut in futures:
+            try:
+                status, score, detail, res = fut.result()
+                results[a] = res
+                rows.append((case_id, a, status, float(score), detail))
+            except Exception as exc:  # noqa: BLE001 - O4: a failing stage becomes a status row
+                rows.append((case_id, a, "failed", 0.0, f"{type(exc).__name__}: {exc}"[:500]))
     status = spark.createDataFrame(rows, "case_id string, approach string, status string, score_norm double, "
                                          "detail string")
     req = spark.createDataFrame([(case_id, goal)], "case_id string, goal string")

@@ -41,3 +41,27 @@ def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _scored(model, docs: DataFrame, threshold: float) -> DataFrame:
+    from .common import learn_rows
+
+    return model.score(docs.select("doc_id", "text")).select(
+        "doc_id", (~learn_rows(F.col("doc_id"))).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@_query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return _scored(fit_quality(docs, table(spark, sf_dir, "labels")), docs, 0.7)
+
+
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return _scored(fit_toxicity(docs, table(spark, sf_dir, "labels")), docs, 0.3)

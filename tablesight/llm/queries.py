@@ -65,3 +65,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return _scored(fit_toxicity(docs, table(spark, sf_dir, "labels")), docs, 0.3)
+
+
+@_query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import text_or_empty
+    from .token_counts import count_tokens
+
+    files = bpe_files()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, files["ranks"], files["pattern"]).select(
+        "doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), "n_tokens",
+        (F.col("n_tokens") > 1024).alias("over_limit"))

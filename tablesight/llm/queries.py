@@ -77,3 +77,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, files["ranks"], files["pattern"]).select(
         "doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), "n_tokens",
         (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@_query
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint, fingerprint_documents
+
+    found = fingerprint_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sketch")).alias("fingerprint"),
+                        fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")

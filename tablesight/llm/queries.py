@@ -86,3 +86,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sketch")).alias("fingerprint"),
                         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@_query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import link_embeddings
+
+    return link_embeddings(table(spark, sf_dir, "embeddings"), cosine=0.93)

@@ -93,3 +93,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import link_embeddings
 
     return link_embeddings(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+@_query
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)

@@ -6,11 +6,17 @@ collection is one table key: ``per_side`` squared tables of 2 x HALF minhashes e
 the price of 2 x ``per_side`` x HALF minhashes. ``per_side`` follows from the threshold
 so that a pair of documents right at it is missed with probability ``MISS`` at most.
 
+A key that only one document has cannot make a table key that two share, so such keys
+are left out before the pairs of keys are formed.
+
 Candidates are verified on full shingle sets, without expanding a bucket into all its
-pairs: first every bucket's members against its smallest member; then, for buckets
-whose members are still in different components, the pairs across components. A pair
-within one component cannot change the components, so the result is that of verifying
-all candidate pairs.
+pairs: first every bucket's members against its smallest member. Members of a bucket
+that are still in different components are then compared across components only, and
+only where they share one of their rarest shingles: two sets of similarity s have a
+common element among the first n - ceil(s n) + 1 of each in any one order, and with the
+rare ones first, documents with many shingles of their own drop out unseen. Neither
+step loses a link: a pair within one component cannot change the components, and the
+rare-shingle test is exact.
 
 Equal texts are one candidate. Nulls, empties: a document without words has an empty
 set and links with nothing; one with fewer words than a shingle has its whole word
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, frames, text_key, text_or_empty
@@ -102,87 +108,141 @@ def signer(per_side: int):
     return sign
 
 
+def class_id(text: Column) -> Column:
+    """The node of a text in the graph: 64 bits of its MD5."""
+    return F.xxhash64(text_key(text))
+
+
 def signatures(docs: DataFrame, shingle: int, per_side: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, left, right): both key collections of every document."""
+    """(doc_id, cid, n_shingles, keys): the keys of both collections of every document."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, sign = Shingler(shingle), signer(per_side)
         for pdf in frames(it, 512):
             sets = [shingler.of(t) for t in pdf["text"]]
-            keys = [sign(s) for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_shingles": [len(s) for s in sets],
-                                "left": [k[:per_side] for k in keys], "right": [k[per_side:] for k in keys]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "cid": pdf["cid"], "n_shingles": [len(s) for s in sets],
+                                "keys": [sign(s) for s in sets]})
 
     src = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_or_empty().alias("text"))
-    src = src.withColumn("text_key", text_key(F.col("text")))
-    out = src.mapInPandas(run, "doc_id string, text_key string, n_shingles long, left array<long>, right array<long>")
+    src = src.withColumn("cid", class_id(F.col("text")))
+    out = src.mapInPandas(run, "doc_id string, cid long, n_shingles long, keys array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets have den * |both| >= num * |either|."""
-    own = texts.select(F.col("doc_id").alias("__id"), "text")
-    with_b = pairs.join(own, F.col("b") == F.col("__id")).select("a", "b", F.col("text").alias("text_b"))
-    with_a = with_b.join(own, F.col("a") == F.col("__id")).select("a", "b", F.col("text").alias("text_a"), "text_b")
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(cid, n, members) of (cid, text): the sorted 64-bit shingle hashes as bytes."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(shingle)
-        at, mine = None, np.zeros(0, np.uint64)
+        for pdf in frames(it):
+            sets = [shingler.of(t) for t in pdf["text"]]
+            yield pd.DataFrame({"cid": pdf["cid"], "n": [len(s) for s in sets], "members": [s.tobytes() for s in sets]})
+
+    return texts.select("cid", "text").mapInPandas(run, "cid long, n long, members binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have den * |both| >= num * |either|."""
+    own = sets.select(F.col("cid").alias("__id"), "members")
+    with_b = pairs.join(own, F.col("b") == F.col("__id")).select("a", "b", F.col("members").alias("set_b"))
+    with_a = with_b.join(own, F.col("a") == F.col("__id")).select("a", "b", F.col("members").alias("set_a"), "set_b")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames(it):
             keep = []
-            for a, ta, tb in zip(pdf["a"], pdf["text_a"], pdf["text_b"]):
-                if a != at:  # pairs come sorted by a
-                    at, mine = a, shingler.of(ta)
-                other = shingler.of(tb)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(both > 0 and den * both >= num * (len(mine) + len(other) - both))
+            for x, y in zip(pdf["set_a"], pdf["set_b"]):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
     return with_a.mapInPandas(run, "a long, b long")
 
 
+def rare_shingles(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, cid, n, comp) for the first n - ceil(s n) + 1 shingles of each of ``members``
+    (cid, n, comp), rarest first; shingles that one member alone has are counted and left out."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames(it):
+            for cid, raw in zip(pdf["cid"], pdf["members"]):
+                yield pd.DataFrame({"key": np.frombuffer(raw, np.int64), "cid": cid})
+
+    mine = members.select(F.col("cid").alias("__cid"))
+    rows = sets.join(mine, F.col("cid") == F.col("__cid")).select("cid", "members").mapInPandas(run, "key long, cid long")
+    df = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    rows = rows.join(df, "key")
+    per_doc = Window.partitionBy("cid")
+    ranked = rows.select("key", "cid", F.row_number().over(per_doc.orderBy("df", "key")).alias("r"), F.count(F.lit(1)).over(per_doc).alias("shared"))
+    ranked = ranked.join(members, "cid")
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1
+    return ranked.filter(F.col("r") <= length - (F.col("n") - F.col("shared"))).select("key", "cid", "n", "comp")
+
+
+def across_components(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a < b) of rows (key, cid, n, comp) of one key and different components whose
+    set sizes allow a link. In a key, the rows outside its largest component are paired
+    with all others; a key with one component has none."""
+    counts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    rows = rows.join(mixed.select("key", "main"), "key")
+    few = rows.filter("comp <> main").select(F.col("key").alias("k2"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pairs = rows.join(few, (F.col("key") == F.col("k2")) & (F.col("comp") != F.col("cb")) & _sizes_allow(F.col("n"), F.col("nb"), num, den)
+                      & ((F.col("comp") == F.col("main")) | (F.col("cid") < F.col("b"))))
+    return pairs.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
+
+
+def _sizes_allow(p: Column, q: Column, num: int, den: int) -> Column:
+    return F.lit(den) * F.least(p, q) >= F.lit(num) * F.greatest(p, q)
+
+
+def table_keys(classes: DataFrame, per_side: int) -> DataFrame:
+    """(key, cid, n): the table keys of (cid, n, keys), all pairs of a first-collection and a
+    second-collection key that some other document has too."""
+    single = classes.select("cid", "n", F.posexplode("keys").alias("side", "x"))
+    shared = single.groupBy("x").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("x")
+    left = F.col("side") < per_side
+    kept = single.join(shared, "x").groupBy("cid", "n").agg(
+        F.collect_list(F.when(left, F.col("x"))).alias("left"), F.collect_list(F.when(~left, F.col("x"))).alias("right"))
+    return kept.select("cid", "n", F.explode("left").alias("x"), "right").select(
+        "cid", "n", "x", F.explode("right").alias("y")).select(F.xxhash64("x", "y").alias("key"), "cid", "n")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; documents link where
     the Jaccard similarity of their shingle sets is ``num / den`` or more."""
     per_side = keys_per_side(num / den)
     rows = cut(signatures(docs, shingle, per_side))
-    classes = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("text_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
-    classes = cut(classes)
-    sides = classes.select("rep", "n", F.posexplode("left").alias("i", "x"), "right").select(
-        "rep", "n", "i", "x", F.posexplode("right").alias("j", "y"))
-    entries = sides.select(F.xxhash64("i", "x", "j", "y").alias("key"), "rep", "n")
-    shared = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("top")).filter(F.col("c.rep") < F.col("top"))
+    some = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    classes = cut(some.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+    entries = cut(table_keys(classes, per_side))
+    shared = entries.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("c"), F.max("cid").alias("top")).filter(F.col("c.cid") < F.col("top"))
     buckets = cut(entries.join(shared.select("key", "c"), "key"))
-    similar_size = lambda p, q: den * F.least(p, q) >= num * F.greatest(p, q)
-    stars = buckets.filter((F.col("rep") != F.col("c.rep")) & similar_size(F.col("n"), F.col("c.n"))).select(
-        F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    members = buckets.select(F.col("cid").alias("__cid")).distinct()
+    members = members.join(classes.select("cid", "rep"), F.col("cid") == F.col("__cid")).select("__cid", "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("cid", class_id(F.col("text")))
+    texts = texts.join(members, (F.col("doc_id") == F.col("rep")) & (F.col("cid") == F.col("__cid")))
+    sets = cut(shingle_sets(texts, shingle).dropDuplicates(["cid"]))
+    stars = buckets.filter((F.col("cid") != F.col("c.cid")) & _sizes_allow(F.col("n"), F.col("c.n"), num, den)).select(
+        F.col("c.cid").alias("a"), F.col("cid").alias("b")).distinct()
     stars = cut(stars)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    links = cut(verified(stars, texts, shingle, num, den))
-    comps = connected_components(links)
-    # what is still apart within a bucket: its members outside the largest component against all others
-    place = comps.select(F.col("node").alias("__node"), F.col("component").alias("__comp"))
-    placed = buckets.join(place, F.col("rep") == F.col("__node"), "left").select(
-        "key", "rep", "n", F.coalesce("__comp", "rep").alias("comp"))
-    counts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    apart = cut(placed.join(mixed.select("key", "main"), "key"))
-    few = apart.filter("comp <> main").select(F.col("key").alias("k2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    more = apart.join(few, (F.col("key") == F.col("k2")) & (F.col("comp") != F.col("cb")) & similar_size(F.col("n"), F.col("nb"))
-                      & ((F.col("comp") == F.col("main")) | (F.col("rep") < F.col("b"))))
-    more = more.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    links = cut(verified(stars, sets, num, den))
+    place = connected_components(links).select(F.col("node").alias("__node"), F.col("component").alias("__comp"))
+    placed = buckets.join(place, F.col("cid") == F.col("__node"), "left").select("key", "cid", "n", F.coalesce("__comp", "cid").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    apart = cut(placed.join(mixed, "key").select("cid", "n", "comp").distinct())
+    more = across_components(rare_shingles(sets, apart, num, den), num, den)
     more = cut(more.join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, texts, shingle, num, den))
+    links = links.unionByName(verified(more, sets, num, den))
     # an id with several texts is one node: it ties the classes of its texts together
-    several = rows.groupBy("doc_id").agg(F.min("text_key").alias("k1"), F.max("text_key").alias("k2")).filter("k1 <> k2")
-    ties = rows.join(several.select("doc_id"), "doc_id").join(classes.select("text_key", "rep"), "text_key").filter("doc_id <> rep")
-    final = connected_components(links.unionByName(ties.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    final = classes.select("text_key", "rep").join(final, F.col("rep") == F.col("node"), "left").select(
-        "text_key", F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).join(final, "text_key").select(
-        "doc_id", "n_shingles", "component_id")
+    several = some.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a <> z")
+    ties = some.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("cid").alias("b")).filter("a <> b")
+    found = connected_components(links.unionByName(ties))
+    found = classes.select("cid", "rep").join(found, F.col("cid") == F.col("node"), "left").select(
+        "cid", "rep", F.coalesce("component", "cid").alias("comp"))
+    least = found.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    found = found.join(least, "comp").select("cid", "component_id")
+    linked = some.join(found, "cid").select("doc_id", "n_shingles", "component_id")
     alone = rows.filter(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -108,3 +108,14 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return without_repeats(table(spark, sf_dir, "documents"), min_bytes=400).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@_query
+def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as files
+
+    from .nbest import segmentation_digest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = segmentation_digest(docs, files.path("piece_bpe_32k.model"), n=3)
+    return found.select("doc_id", "n_pieces", "ids_crc32", "round_trip", *[F.get("scores", i).alias(f"score_{i + 1}") for i in range(3)])

@@ -38,8 +38,10 @@ from .common import text_or_empty
 SPACE = "▁"
 MEMO = 400_000
 LONG_WORD = 64
-#: Score of a byte piece, relative to the lowest score of the vocabulary.
+#: What a byte piece scores below the lowest ordinary piece.
 BYTE_LOSS = 10.0
+#: Pieces scored at or below this are not ordinary ones (models mark runs of spaces so).
+NEVER = -1e8
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 Segmentation = tuple[float, tuple[int, ...]]
@@ -60,7 +62,7 @@ class PieceLattice:
         if any(SPACE in self.pieces[i].lstrip(SPACE) or ("\n" in self.pieces[i] and self.pieces[i] != "\n") for i in plain):
             raise ValueError("the model has pieces that go over word starts or lines")
         self.edges = {self.pieces[i]: (i, m.get_score(i)) for i in plain}
-        self.byte_score = min(s for _, s in self.edges.values()) - BYTE_LOSS
+        self.byte_score = min((s for _, s in self.edges.values() if s > NEVER), default=0.0) - BYTE_LOSS
         self.unknown = m.unk_id()
         #: Every beginning of a piece; with (id, score) where it is a piece itself.
         self.trie: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.edges for k in range(1, len(p) + 1)}

@@ -10,13 +10,12 @@ A key that only one document has cannot make a table key that two share, so such
 are left out before the pairs of keys are formed.
 
 Candidates are verified on full shingle sets, without expanding a bucket into all its
-pairs: first every bucket's members against its smallest member. Members of a bucket
-that are still in different components are then compared across components only, and
-only where they share one of their rarest shingles: two sets of similarity s have a
-common element among the first n - ceil(s n) + 1 of each in any one order, and with the
-rare ones first, documents with many shingles of their own drop out unseen. Neither
-step loses a link: a pair within one component cannot change the components, and the
-rare-shingle test is exact.
+pairs. First every bucket's members are compared with its smallest member; the members of
+all buckets with the same smallest member are its star. Two candidates are always in one
+star. Then, in stars whose members are still in different components, the members
+outside the largest component are compared with all others inside tasks, in pairs of
+chunks; only a forest of the links found comes out. No link is lost: a pair within one
+component cannot change the components.
 
 Equal texts are one candidate. Nulls, empties: a document without words has an empty
 set and links with nothing; one with fewer words than a shingle has its whole word
@@ -32,15 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, frames, text_key, text_or_empty
-from .components import connected_components
+from .components import connected_components, unite
 
 #: Minhashes in one key of a collection; a table key has twice as many.
 HALF = 2
 MISS = 3e-5
+#: Expected sets in one chunk of a star.
+CHUNK = 256
+#: Pairs that a shingle stands for above which it is counted by a matrix product.
+DENSE = 256
 #: Words kept in a worker's memo of word -> hash.
 MEMO = 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -159,37 +162,81 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return with_a.mapInPandas(run, "a long, b long")
 
 
-def rare_shingles(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, cid, n, comp) for the first n - ceil(s n) + 1 shingles of each of ``members``
-    (cid, n, comp), rarest first; shingles that one member alone has are counted and left out."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames(it):
-            for cid, raw in zip(pdf["cid"], pdf["members"]):
-                yield pd.DataFrame({"key": np.frombuffer(raw, np.int64), "cid": cid})
-
-    mine = members.select(F.col("cid").alias("__cid"))
-    rows = sets.join(mine, F.col("cid") == F.col("__cid")).select("cid", "members").mapInPandas(run, "key long, cid long")
-    df = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    rows = rows.join(df, "key")
-    per_doc = Window.partitionBy("cid")
-    ranked = rows.select("key", "cid", F.row_number().over(per_doc.orderBy("df", "key")).alias("r"), F.count(F.lit(1)).over(per_doc).alias("shared"))
-    ranked = ranked.join(members, "cid")
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1
-    return ranked.filter(F.col("r") <= length - (F.col("n") - F.col("shared"))).select("key", "cid", "n", "comp")
-
-
-def across_components(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a < b) of rows (key, cid, n, comp) of one key and different components whose
-    set sizes allow a link. In a key, the rows outside its largest component are paired
-    with all others; a key with one component has none."""
-    counts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    rows = rows.join(mixed.select("key", "main"), "key")
-    few = rows.filter("comp <> main").select(F.col("key").alias("k2"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = rows.join(few, (F.col("key") == F.col("k2")) & (F.col("comp") != F.col("cb")) & _sizes_allow(F.col("n"), F.col("nb"), num, den)
-                      & ((F.col("comp") == F.col("main")) | (F.col("cid") < F.col("b"))))
-    return pairs.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
+def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left sets with all right sets. Shingles that many
+    of both have go through a matrix product, the others through their few pairs."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    (vl, rl), (vr, rr) = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (left, right)]
+    common = np.intersect1d(vl, vr)
+    if not len(common):
+        return out
+    (cl, rl), (cr, rr) = [(np.searchsorted(common, v[k]), r[k]) for v, r in ((vl, rl), (vr, rr)) for k in (np.isin(v, common),)]
+    dl, dr = np.bincount(cl, minlength=len(common)), np.bincount(cr, minlength=len(common))
+    dense = np.nonzero(dl * dr > DENSE)[0]
+    for i in range(0, len(dense), 2048):
+        at = np.full(len(common), -1)
+        part = dense[i:i + 2048]
+        at[part] = np.arange(len(part))
+        x, y = np.zeros((len(left), len(part)), np.float32), np.zeros((len(right), len(part)), np.float32)
+        for m, c, r in ((x, cl, rl), (y, cr, rr)):
+            k = at[c] >= 0
+            m[r[k], at[c[k]]] = 1
+        out += (x @ y.T).astype(np.int64)
+    thin = dl * dr <= DENSE
+    ol, orr = np.argsort(cl, kind="stable"), np.argsort(cr, kind="stable")
+    ol, orr = ol[thin[cl[ol]]], orr[thin[cr[orr]]]
+    # every left occurrence against the run of right occurrences of the same shingle
+    run = np.searchsorted(cr[orr], cl[ol], "left")
+    n = dr[cl[ol]]
+    for i in range(0, len(ol), 100_000):
+        k = n[i:i + 100_000]
+        first = np.repeat(run[i:i + 100_000] - np.r_[0, np.cumsum(k)[:-1]], k)
+        np.add.at(out, (np.repeat(rl[ol[i:i + 100_000]], k), rr[orr[first + np.arange(k.sum())]]), 1)
+    return out
+
+
+def _compare(num: int, den: int):
+    """The function for one (center, chunk of few, chunk of all): a forest of the links found
+    across components."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        few = pdf["few"].to_numpy(bool)
+        if not few.any() or few.all():
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        x, y = pdf[few], pdf[~few]
+        sets = [[np.frombuffer(m, np.uint64) for m in part["members"]] for part in (x, y)]
+        both = _common_counts(*sets)
+        nx, ny = (np.array([len(s) for s in part]) for part in sets)
+        linked = (both > 0) & (den * both >= num * (nx[:, None] + ny[None, :] - both))
+        linked &= x["comp"].to_numpy()[:, None] != y["comp"].to_numpy()[None, :]
+        i, j = np.nonzero(linked)
+        nodes, where = np.unique(np.concatenate([x["cid"].to_numpy(np.int64), y["cid"].to_numpy(np.int64)]), return_inverse=True)
+        parent = unite(np.arange(len(nodes)), where[:len(x)][i], where[len(x):][j])
+        moved = np.nonzero(parent != np.arange(len(nodes)))[0]
+        return pd.DataFrame({"a": nodes[moved], "b": nodes[parent[moved]]})
+
+    return run
+
+
+def links_across(stars: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of one star that are in different components so far.
+
+    The members outside the star's largest component are compared with all its members,
+    in pairs of chunks of a bounded expected size; pairs do not leave the tasks."""
+    members = stars.select(F.col("a").alias("c"), F.col("b").alias("cid")).unionByName(
+        stars.select(F.col("a").alias("c"), F.col("a").alias("cid")).distinct())
+    place = comps.select(F.col("node").alias("__node"), F.col("component").alias("__comp"))
+    members = cut(members.join(place, F.col("cid") == F.col("__node"), "left").select("c", "cid", F.coalesce("__comp", "cid").alias("comp")))
+    counts = members.groupBy("c", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = counts.groupBy("c").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("k"))
+    mixed = mixed.filter("k > 1").select("c", "main", F.ceil((F.col("m") - F.col("most")) / CHUNK).cast("int").alias("ki"), F.ceil(F.col("m") / CHUNK).cast("int").alias("kj"))
+    rows = members.join(mixed, "c").join(sets.select("cid", "members"), "cid")
+    h = F.xxhash64("cid")
+    few = rows.filter("comp <> main").select("c", F.pmod(h, F.col("ki")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("kj") - 1)).alias("j"),
+                                             F.lit(True).alias("few"), "cid", "comp", "members")
+    every = rows.select("c", F.explode(F.sequence(F.lit(0), F.col("ki") - 1)).alias("i"), F.pmod(h, F.col("kj")).cast("int").alias("j"),
+                        F.lit(False).alias("few"), "cid", "comp", "members")
+    return few.unionByName(every).groupBy("c", "i", "j").applyInPandas(_compare(num, den), "a long, b long")
 
 
 def _sizes_allow(p: Column, q: Column, num: int, den: int) -> Column:
@@ -223,17 +270,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("cid", class_id(F.col("text")))
     texts = texts.join(members, (F.col("doc_id") == F.col("rep")) & (F.col("cid") == F.col("__cid")))
     sets = cut(shingle_sets(texts, shingle).dropDuplicates(["cid"]))
-    stars = buckets.filter((F.col("cid") != F.col("c.cid")) & _sizes_allow(F.col("n"), F.col("c.n"), num, den)).select(
-        F.col("c.cid").alias("a"), F.col("cid").alias("b")).distinct()
-    stars = cut(stars)
-    links = cut(verified(stars, sets, num, den))
-    place = connected_components(links).select(F.col("node").alias("__node"), F.col("component").alias("__comp"))
-    placed = buckets.join(place, F.col("cid") == F.col("__node"), "left").select("key", "cid", "n", F.coalesce("__comp", "cid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    apart = cut(placed.join(mixed, "key").select("cid", "n", "comp").distinct())
-    more = across_components(rare_shingles(sets, apart, num, den), num, den)
-    more = cut(more.join(stars, ["a", "b"], "left_anti"))
-    links = links.unionByName(verified(more, sets, num, den))
+    stars = cut(buckets.filter(F.col("cid") != F.col("c.cid")).select(
+        F.col("c.cid").alias("a"), F.col("cid").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb")).distinct())
+    links = cut(verified(stars.filter(_sizes_allow(F.col("na"), F.col("nb"), num, den)), sets, num, den))
+    more = cut(links_across(stars, connected_components(links), sets, num, den))
+    links = links.unionByName(more)
     # an id with several texts is one node: it ties the classes of its texts together
     several = some.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a <> z")
     ties = some.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("cid").alias("b")).filter("a <> b")

@@ -67,7 +67,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages that occur more than once (every occurrence). A character goes if all
     its bytes do. Documents of which nothing is left go."""
-    spans = repeated_spans(docs, PASSAGE_BYTES).withColumnRenamed("tk", "__tk")
+    spans = repeated_spans(docs, PASSAGE_BYTES).select(F.col("tk").alias("__tk"), F.col("spans").alias("__spans"))
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, found in batches:
@@ -80,9 +80,9 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                 out.append(text)
             yield pd.Series(out, dtype=object)
 
-    cut_text = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col("text"), F.col("spans"))
+    cut_text = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col("text"), F.col("__spans"))
     joined = docs.withColumn("__key", F.xxhash64(text_or_empty())).join(spans, F.col("__key") == F.col("__tk"), "left")
-    same, changed = joined.filter(F.col("spans").isNull()), joined.filter(F.col("spans").isNotNull())
+    same, changed = joined.filter(F.col("__spans").isNull()), joined.filter(F.col("__spans").isNotNull())
     changed = changed.withColumn("text", cut_text).filter(F.trim("text") != "").withColumn(
         "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return same.select(*docs.columns).unionByName(changed.select(*docs.columns))

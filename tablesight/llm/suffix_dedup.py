@@ -47,7 +47,7 @@ from .suffix_sort import deep_shallow_sort
 
 GRAM = 32
 #: Classes of one bucket that a task gathers and sorts; larger buckets are counted by windows.
-BUCKET = 100
+BUCKET = 1_000
 #: Windows of a text scanned at a time.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -107,7 +107,7 @@ def anchors(raw: bytes, min_bytes: int) -> tuple[np.ndarray, ...]:
         first = np.nonzero(np.r_[True, place[1:] != place[:-1]])[0]
         last = np.r_[first[1:] - 1, len(place) - 1]
         a = place[first]
-        run = scan.spans(first, last + min_bytes) ^ _mixed(((a - first) * 4096 + (last - first)).astype(np.uint64))
+        run = _mixed(scan.spans(first, last + min_bytes) ^ _mixed(gram[a] ^ ((a - first) * 4096 + (last - first)).astype(np.uint64)))
         found.append((gram[a], run, a + at, first + at, last + at))
     if not found:
         none = np.zeros(0, np.int64)
@@ -115,41 +115,51 @@ def anchors(raw: bytes, min_bytes: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+#: A place packs the first window's start, the anchor's distance from it and the number
+#: of further windows of the run into one long: start << 24 | distance << 12 | further.
+def _place(s: np.ndarray, a: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return (s << 24) | ((a - s) << 12) | (e - s)
+
+
 def _find_anchors(min_bytes: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames(it):
             out = []
             for tk, text in zip(pdf["tk"], pdf["text"]):
                 h, t, a, s, e = anchors(text.encode("utf-8", "replace"), min_bytes)
-                out.append((h.view(np.int64), t.view(np.int64), np.full(len(a), tk, np.int64), s, (a - s) * 4096 + (e - s)))
-            yield pd.DataFrame(dict(zip(("h", "run", "tk", "s", "shape"), (np.concatenate(x) for x in zip(*out)))))
+                out.append((h.view(np.int64), t.view(np.int64), np.full(len(a), tk, np.int64), _place(s, a, e)))
+            yield pd.DataFrame(dict(zip(("h", "run", "tk", "place"), (np.concatenate(x) for x in zip(*out)))))
 
     return run
 
 
 def _fetch(min_bytes: int):
-    """From texts with their wanted anchors: a string per anchor of a small bucket, a row
-    per window of an anchor of a large one."""
+    """From texts with their wanted anchors: the bytes that each anchor's run covers."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["h", "tk", "s", "shape", "single", "string", "o", "window"]
         for pdf in frames(it):
-            small, large = [], []
+            out = []
             for tk, text, wanted in zip(pdf["tk"], pdf["text"], pdf["wanted"]):
                 raw = text.encode("utf-8", "replace")
-                for w in wanted:
-                    s, left, more = w["s"], w["shape"] >> 12, w["shape"] & 4095
-                    string = raw[s:s + more + min_bytes]
-                    if not w["large"]:
-                        small.append((w["h"], tk, s, w["shape"], w["single"], string, None, None))
-                        continue
-                    hashes = Scan(np.frombuffer(string, np.uint8)).windows(min_bytes).view(np.int64)
-                    large.append(pd.DataFrame({"h": w["h"], "tk": tk, "s": s, "shape": w["shape"], "single": w["single"],
-                                               "string": None, "o": left - np.arange(more + 1), "window": hashes}))
-            if small:
-                yield pd.DataFrame(small, columns=cols).astype({"o": "Int64", "window": "Int64"})
-            for i in range(0, len(large), 256):
-                yield pd.concat(large[i:i + 256], ignore_index=True)[cols]
+                out += [(w["h"], tk, w["place"], w["single"], w["large"], raw[w["place"] >> 24:(w["place"] >> 24) + (w["place"] & 4095) + min_bytes])
+                        for w in wanted]
+            yield pd.DataFrame(out, columns=["h", "tk", "place", "single", "large", "string"])
+
+    return run
+
+
+def _windows(min_bytes: int):
+    """A row per window of the given strings: (w, o, tk, place, single) with a hash of bucket,
+    offset and bytes, and the anchor's offset in the window."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for h, tk, place, single, string in pdf[["h", "tk", "place", "single", "string"]].itertuples(index=False):
+                o = ((place >> 12) & 4095) - np.arange((place & 4095) + 1)
+                w = Scan(np.frombuffer(string, np.uint8)).windows(min_bytes)
+                with np.errstate(over="ignore"):
+                    w = _mixed(w ^ _mixed(np.uint64(h & (2 ** 64 - 1)) + o.astype(np.uint64)))
+                yield pd.DataFrame({"w": w.view(np.int64), "o": o.astype(np.int32), "tk": tk, "place": place, "single": single})
 
     return run
 
@@ -175,17 +185,18 @@ def extensions(strings: list[bytes], left: np.ndarray, bucket: np.ndarray, min_b
     for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
         common = []
         for order, lcp in ((order_r, lcp_r), (order_l, lcp_l)):
-            c = np.zeros((m, m), np.int64)
+            c = np.zeros((m, m), np.int16)
+            near = lcp[s:s + m].astype(np.int16)
             for i in range(m - 1):
-                c[i, i + 1:] = np.minimum.accumulate(lcp[s + i + 1:s + m])
+                c[i, i + 1:] = np.minimum.accumulate(near[i + 1:])
             c = np.maximum(c, c.T)
             by = np.argsort(order[s:s + m])  # from sorted place to ascending index
             common.append(c[np.ix_(by, by)])
         members = np.sort(order_r[s:s + m])
         ok = common[0] + common[1] >= min_bytes
         np.fill_diagonal(ok, False)
-        reach_r[members] = np.where(ok, common[0], -1).max(1)
-        reach_l[members] = np.where(ok, common[1], -1).max(1)
+        reach_r[members] = np.where(ok, common[0], np.int16(-1)).max(1)
+        reach_l[members] = np.where(ok, common[1], np.int16(-1)).max(1)
     return reach_l, reach_r
 
 
@@ -193,11 +204,12 @@ def _sort_buckets(min_bytes: int, batch: int = 4096):
     """Rows of a partition, sorted by bucket, to spans. Whole buckets are sorted in batches."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["h", "tk", "s"])
-        left = (pdf["shape"].to_numpy(np.int64) >> 12)
+        pdf = pdf.drop_duplicates(["h", "tk", "place"])
+        place = pdf["place"].to_numpy(np.int64)
+        left = (place >> 12) & 4095
         lo, hi = extensions(pdf["string"].tolist(), left, pd.factorize(pdf["h"])[0].astype(np.int64), min_bytes)
         some = (lo >= 0) & pdf["single"].to_numpy(bool)
-        at = pdf["s"].to_numpy(np.int64) + left
+        at = (place >> 24) + left
         return pd.DataFrame({"tk": pdf["tk"].to_numpy(np.int64)[some], "s": (at - lo)[some], "e": (at + hi)[some]})
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,33 +236,37 @@ def _sort_buckets(min_bytes: int, batch: int = 4096):
 def repeated_spans(docs: DataFrame, min_bytes: int = 400, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(tk, spans) per text that has repeated bytes: ``tk`` is ``text_id`` of the text and
     ``spans`` an array of (s, e) byte ranges, which may overlap."""
-    if min_bytes < 2 * GRAM:
-        raise ValueError(f"min_bytes has to be {2 * GRAM} or more")
+    if not 2 * GRAM <= min_bytes <= 4096:
+        raise ValueError(f"min_bytes has to be {2 * GRAM} to 4096")
     texts = docs.select(F.col(id_col).alias("rid"), text_or_empty(text_col).alias("text")).filter(F.octet_length("text") >= min_bytes).withColumn("tk", F.xxhash64("text"))
-    found = cut(texts.select("tk", "text").mapInPandas(_find_anchors(min_bytes), "h long, run long, tk long, s long, shape long"))
+    # the scan is cheap and its rows are many: both uses of it run it, rather than storing it
+    found = texts.select("tk", "text").mapInPandas(_find_anchors(min_bytes), "h long, run long, tk long, place long")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    occ = cut(found.join(often, "h").groupBy("h", "run", "tk", "s", "shape").agg(F.count(F.lit(1)).alias("n")))
-    classes = cut(occ.groupBy("h", "run").agg(F.sum("n").alias("n"), F.min(F.struct("tk", "s", "shape")).alias("one")))
-    known = classes.filter("n > 1").select("h", "run")
-    spans = occ.join(known, ["h", "run"]).select("tk", "s", (F.col("s") + (F.col("shape") % 4096) + min_bytes).alias("e"))
+    # grouped by the run, which stands for its gram too: a very common gram is one key of the join only
+    occ = cut(found.join(often, "h").groupBy("run", "tk", "place").agg(F.count(F.lit(1)).alias("n"), F.first("h").alias("h")))
+    classes = cut(occ.groupBy("run").agg(F.sum("n").alias("n"), F.min(F.struct("tk", "place")).alias("one"), F.first("h").alias("h")))
+    known = classes.filter("n > 1").select("run")
+    start, more = F.shiftright("place", 24), F.col("place").bitwiseAND(4095)
+    spans = occ.join(known, "run").select("tk", start.alias("s"), (start + more + min_bytes).alias("e"))
     open_ = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1")
     wanted = classes.join(open_.select("h", (F.col("m") > BUCKET).alias("large")), "h")
     wanted = wanted.groupBy(F.col("one.tk").alias("wtk")).agg(F.collect_list(F.struct(
-        "h", F.col("one.s").alias("s"), F.col("one.shape").alias("shape"), (F.col("n") == 1).alias("single"), "large")).alias("wanted"))
+        "h", F.col("one.place").alias("place"), (F.col("n") == 1).alias("single"), "large")).alias("wanted"))
     # of the copies of a text, only the one with the smallest id is fetched
     first = texts.groupBy("tk").agg(F.min("rid").alias("wid"))
     wanted = wanted.join(first, F.col("wtk") == F.col("tk")).select("wtk", "wid", "wanted")
     fetch = texts.join(wanted, (F.col("tk") == F.col("wtk")) & F.col("rid").eqNullSafe(F.col("wid")))
     fetched = cut(fetch.select("tk", "text", "wanted").mapInPandas(
-        _fetch(min_bytes), "h long, tk long, s long, shape long, single boolean, string binary, o long, window long"))
-    small = fetched.filter(F.col("window").isNull()).repartition("h").sortWithinPartitions("h").mapInPandas(
+        _fetch(min_bytes), "h long, tk long, place long, single boolean, large boolean, string binary"))
+    small = fetched.filter("not large").repartition("h").sortWithinPartitions("h").mapInPandas(
         _sort_buckets(min_bytes), "tk long, s long, e long")
-    windows = fetched.filter(F.col("window").isNotNull()).select("h", "tk", "s", "shape", "single", "o", "window").distinct()
-    twice = windows.groupBy("h", "o", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    a = F.col("s") + F.shiftright("shape", 12)
-    large = windows.filter("single").join(twice, ["h", "o", "window"]).groupBy("tk", "s", "shape").agg(
-        F.min("o").alias("o1"), F.max("o").alias("o2")).select("tk", (a - F.col("o2")).alias("s"), (a - F.col("o1") + min_bytes).alias("e"))
-    every = spans.unionByName(small).unionByName(large).distinct()
+    windows = fetched.filter("large").dropDuplicates(["h", "tk", "place"]).mapInPandas(
+        _windows(min_bytes), "w long, o int, tk long, place long, single boolean")
+    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
+    anchor = start + F.shiftright("place", 12).bitwiseAND(4095)
+    large = windows.filter("single").join(twice, "w").groupBy("tk", "place").agg(F.min("o").alias("o1"), F.max("o").alias("o2")).select(
+        "tk", (anchor - F.col("o2")).alias("s"), (anchor - F.col("o1") + min_bytes).alias("e"))
+    every = spans.unionByName(small).unionByName(large)
     return cut(every.groupBy("tk").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 
 
@@ -273,7 +289,7 @@ def merge_spans(spans) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, min_bytes: int = 400, text_col: str = "text") -> DataFrame:
     """``docs`` with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``
     (maximal removed runs); the text column itself is left out."""
-    spans = repeated_spans(docs, min_bytes, text_col).withColumnRenamed("tk", "__tk")
+    spans = repeated_spans(docs, min_bytes, text_col).select(F.col("tk").alias("__tk"), F.col("spans").alias("__spans"))
     keep = [c for c in docs.columns if c != text_col]
     rows = docs.select(*keep, text_or_empty(text_col).alias("__text")).withColumn("__key", F.xxhash64("__text"))
     joined = rows.join(spans, F.col("__key") == F.col("__tk"), "left")
@@ -290,6 +306,6 @@ def without_repeats(docs: DataFrame, min_bytes: int = 400, text_col: str = "text
             yield pd.DataFrame(out, columns=["kept", "n_removed", "n_spans"])
 
     apply = F.pandas_udf(run, "kept binary, n_removed long, n_spans long", F.PandasUDFType.SCALAR_ITER)
-    got = joined.withColumn("__r", apply(F.col("__text"), F.col("spans")))
+    got = joined.withColumn("__r", apply(F.col("__text"), F.col("__spans")))
     return got.select(*keep, F.col("__r.kept").alias("kept"), F.octet_length("__text").cast("long").alias("n_bytes"),
                       F.col("__r.n_removed").alias("n_removed"), F.col("__r.n_spans").alias("n_spans"))

@@ -4,8 +4,9 @@ Features are presences of words and of word beginnings in a document. The featur
 picked from a bounded labelled sample by how differently the classes use them. A
 logistic model is fitted on them with one more penalty: for every labelled text that
 names a group of people, a copy with the identity terms swapped for others of the same
-kind is made, and the squared change of the score (log-odds) between text and copy is
-added to the loss. The model thus learns that naming a group is not toxic as such.
+kind is made, and another with a neutral word in their place; the squared change of the score
+(log-odds) between text and copies is added to the loss. The model thus learns that
+naming a group is not toxic as such, whichever group it is.
 Identity terms are always among the features, so that the penalty reaches them.
 
 Nulls, empties: a null text counts as empty and gets the score of a text without any
@@ -64,6 +65,11 @@ def swap_identities(words: Iterable[str], kinds: Sequence[Sequence[str]] = IDENT
     return {to.get(w, w) for w in words} if not words.isdisjoint(to) else None
 
 
+def neutral_words(words: Iterable[str], kinds: Sequence[Sequence[str]] = IDENTITY_TERMS) -> set[str]:
+    """The words with every identity term replaced by a neutral one (which is no feature)."""
+    return set(words) - {t for kind in kinds for t in kind}
+
+
 @dataclass
 class ToxicityModel:
     index: dict[str, int] = field(default_factory=dict)
@@ -150,7 +156,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", boun
         return x
 
     x = matrix(bags)
-    swapped = [(i, s) for i, s in enumerate(map(swap_identities, bags)) if s is not None]
+    swapped = [(i, s) for i, bag in enumerate(bags) if (s := swap_identities(bag)) is not None]
+    swapped += [(i, neutral_words(bags[i])) for i, _ in swapped]
     delta = x[[i for i, _ in swapped]] - matrix([s for _, s in swapped]) if swapped else np.zeros((0, x.shape[1]), np.float32)
     return ToxicityModel(index, _descend(x, y, weight / weight.sum(), delta, swap_penalty, l2, steps), prior)
 

@@ -123,9 +123,9 @@ def score_norm(s: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (s + 1) / 2))
 
 
-def k_range(n: int) -> list[int]:
-    k_max = int(min(MAX_K, max(2, n // 5)))
-    return list(range(2, k_max + 1)) or [2]
+def cluster_counts(n: int) -> list[int]:
+    """G1: two clusters always, more while each would have five rows, up to ``MAX_K``."""
+    return [2, *(k for k in range(3, MAX_K + 1) if 5 * k <= n)]
 
 
 def best_k(sweep: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def kmeans_sweep(df: DataFrame, key: str, features_col: str, ks: Sequence[int] |
         n = data.count()
         if n < MIN_ROWS:
             return ClusterResult("skipped", reason="datos insuficientes")
-        ks = list(ks or k_range(n))
+        ks = list(ks or cluster_counts(n))
         best = None
         sweep = []
         for k in ks:

@@ -10,7 +10,7 @@ with the rules side broadcast (its size is fixed by the vocabulary).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -43,6 +43,14 @@ def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def name_catalog(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, ordinal, column_name, type_class) from the schemas alone: the rules on
+    names and types (D1, D7, D8, D10-D15) need no scan of the data."""
+    rows = [(name, i, f.name, schema_kind(f.dataType)) for name, df in tables.items() for i, f in enumerate(df.schema)]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, type_class string")
+
+
 def _name_match(name: Column, keyword: Column, exact_short: bool) -> Column:
     lname = F.lower(F.trim(name))
     sub = F.contains(F.lower(name), keyword)
@@ -135,20 +143,16 @@ def column_tags(catalog: DataFrame, rules: DataFrame) -> DataFrame:
     """(table_name, tag, column_name): money (every numeric match), lat/lon/stock (first
     numeric match), location (first non-numeric match), delay (first match of any type)."""
     numeric = F.col("type_class") == "numeric"
-    parts = []
-    money = (rule_matches(catalog, rules, "money", exact_short=False).filter(numeric)
-             .select("table_name", "ordinal", "column_name").distinct()
-             .select("table_name", F.lit("money").alias("tag"), "column_name"))
-    parts.append(money)
-    for tag, cond in (("lat", numeric), ("lon", numeric), ("stock", numeric),
-                      ("location", ~numeric), ("delay", F.lit(True))):
-        m = rule_matches(catalog, rules, tag, exact_short=False).filter(cond)
-        parts.append(m.groupBy("table_name").agg(F.min_by("column_name", "ordinal").alias("column_name"))
-                     .select("table_name", F.lit(tag).alias("tag"), "column_name"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fits = {"money": numeric, "lat": numeric, "lon": numeric, "stock": numeric, "location": ~numeric, "delay": F.lit(True)}
+    words = F.broadcast(rules.filter(F.col("rule").isin(*fits)).select(F.col("rule").alias("tag"), "keyword"))
+    hits = catalog.join(words, _name_match(F.col("column_name"), F.col("keyword"), False))
+    wanted = F.lit(False)
+    for tag, cond in fits.items():
+        wanted = wanted | ((F.col("tag") == tag) & cond)
+    hits = hits.filter(wanted).select("table_name", "tag", "ordinal", "column_name").distinct()
+    first = F.min("ordinal").over(Window.partitionBy("table_name", "tag"))  # columns of one table
+    return (hits.withColumn("__first", first).filter((F.col("tag") == "money") | (F.col("ordinal") == F.col("__first")))
+            .select("table_name", "tag", "column_name"))
 
 
 def logistics_availability(catalog: DataFrame, tags: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def q_best_k(spark, sf):
     n = ranked.count()
     vec = ranked.withColumn("v", F.array(F.col("c_acctbal_z")))
     rows = []
-    for k in C.k_range(n):
+    for k in C.cluster_counts(n):
         clustered = vec.withColumn("cl", F.floor(F.col("r") * k / F.lit(n)))
         rows.append((k, clustered, C.silhouette(clustered, "v", "cl")))
     sweep = rows[0][2].select(F.lit(rows[0][0]).cast("long").alias("k"), "silhouette")

@@ -25,6 +25,12 @@ def catalog(spark, sf):
     return TG.column_catalog(tables)
 
 
+def names(spark, sf):
+    """The catalogue of names and types of the same tables: schemas only, no scan."""
+    return TG.name_catalog({n: (derived(spark, sf, n) if n in DERIVED_COLUMNS else load(spark, sf, n))
+                            for n in CATALOG_TABLES})
+
+
 def _sql_str(v) -> str:
     return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
 
@@ -77,7 +83,7 @@ cat AS (SELECT *, type_class IN ('string', 'boolean')
 
 @register("suggest_target", _catalog_sql() + _TARGETS + "SELECT table_name, target_column FROM tgt")
 def q_suggest_target(spark, sf):
-    return TG.suggest_target(catalog(spark, sf), V.rules_frame(spark))
+    return TG.suggest_target(names(spark, sf), V.rules_frame(spark))
 
 
 @register("categorical_like", _catalog_sql() + _TARGETS +
@@ -116,7 +122,7 @@ SELECT t.table_name, d.domain,
 FROM (SELECT DISTINCT table_name FROM catalog) t CROSS JOIN domains d
 LEFT JOIN hits h ON h.table_name = t.table_name AND h.domain = d.domain""")
 def q_domain_match(spark, sf):
-    return TG.domain_match(catalog(spark, sf), V.rules_frame(spark))
+    return TG.domain_match(names(spark, sf), V.rules_frame(spark))
 
 
 _PHRASES = ", ".join(f"('{d}', '{p}')" for d, p in V.TARGET_PHRASE.items())
@@ -131,7 +137,7 @@ hits AS (SELECT g.table_name, g.domain, arg_min(r.frame, r.priority) AS hit_fram
 SELECT g.table_name, g.domain, g.target_column, coalesce(h.hit_frame, g.phrase) AS target_frame
 FROM g LEFT JOIN hits h ON h.table_name = g.table_name AND h.domain = g.domain""")
 def q_target_frame(spark, sf):
-    cat = catalog(spark, sf)
+    cat = names(spark, sf)
     rules = V.rules_frame(spark)
     return TG.target_frame(TG.suggest_target(cat, rules), rules)
 
@@ -151,7 +157,7 @@ tags AS (
 
 @register("column_tags", _catalog_sql() + _TAGS + "SELECT table_name, tag, column_name FROM tags")
 def q_column_tags(spark, sf):
-    return TG.column_tags(catalog(spark, sf), V.rules_frame(spark))
+    return TG.column_tags(names(spark, sf), V.rules_frame(spark))
 
 
 @register("logistics_availability", _catalog_sql() + _TAGS + """,
@@ -167,7 +173,7 @@ SELECT table_name, lat_col IS NOT NULL AND lon_col IS NOT NULL AS has_real_coord
        (lat_col IS NOT NULL AND lon_col IS NOT NULL) OR location_col IS NOT NULL AS map_possible,
        stock_col IS NOT NULL AS inventory_possible FROM p""")
 def q_logistics_availability(spark, sf):
-    cat = catalog(spark, sf)
+    cat = names(spark, sf)
     return TG.logistics_availability(cat, TG.column_tags(cat, V.rules_frame(spark)))
 
 

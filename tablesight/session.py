@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def _driver_memory() -> str:
@@ -51,10 +51,11 @@ def get_spark(app: str = "tablesight", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set one only if unset.
+    """Use the cluster's shared ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder (HDFS/S3/...). Only local
-    test sessions without the setting get a scratch folder.
+    On a cluster the setting has to name a folder that driver and executors share
+    (HDFS/S3/...); without it this is an error. Only local-mode sessions, where both
+    are one process, get a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,12 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
         configured = tempfile.mkdtemp(prefix="tablesight-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint to the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import col
-from .ordered import global_row_number
+from .ordered import global_row_number, running_sums
 
 
 def rank_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_by: Sequence[str] = (),
@@ -41,3 +41,70 @@ def rank_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_by:
          .withColumn("__q", F.col("__vlo") + (F.col("__pos") - F.col("__lo")) * (F.col("__vhi") - F.col("__vlo"))))
     return q.groupBy(*g).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("__i", "__q"))), lambda s: s["__q"]).alias("q"))
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                     group_by: Sequence[str] = ()) -> DataFrame:
+    """(group..., column_name, n, q): exact linear quantiles of several columns at once.
+
+    One pass counts the distinct values per (group, column) - combined before the
+    shuffle - and running sums of the counts over value ranges give every value the
+    positions it covers. The values at the positions around each probability are picked
+    by a plain grouped aggregate, so no task holds a column's values. Nulls are ignored;
+    a (group, column) without values has no row."""
+    g = list(group_by)
+    # a group with a null key is a group too: joins go by the keys' JSON text
+    group = F.to_json(F.struct(*[col(c) for c in g]), {"ignoreNullFields": "false"}) if g else F.lit("")
+    cells = df.select(*[col(c).alias(c) for c in g], group.alias("__k"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), col(c).cast("double").alias("__v")) for c in columns])))
+    counts = cells.filter(F.col("__v").isNotNull()).groupBy(*g, "__k", "column_name", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    upto = running_sums(counts, ["__v"], {"__cum": F.col("__c")}, partition_by=["__k", "column_name"])
+    sizes = counts.groupBy("__k", "column_name").agg(F.sum("__c").alias("__n"))
+    rows = upto.join(sizes, ["__k", "column_name"])
+    picks = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("__n") - 1)
+        for name, at in ((f"__lo{i}", F.floor(pos)), (f"__hi{i}", F.ceil(pos))):
+            picks.append(F.max(F.when((F.col("__cum") - F.col("__c") <= at) & (at < F.col("__cum")), F.col("__v"))).alias(name))
+    found = rows.groupBy(*g, "column_name", "__n").agg(*picks)
+    out = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("__n") - 1)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        out.append(F.when(lo == hi, F.col(f"__lo{i}")).otherwise(
+            (hi - pos) * F.col(f"__lo{i}") + (pos - lo) * F.col(f"__hi{i}")))
+    return found.select(*g, "column_name", F.col("__n").alias("n"), F.array(*out).alias("q"))
+
+
+def quantile_map(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
+    """Column name -> quantiles (one row per column comes to the driver); columns without
+    values are left out."""
+    if not columns:
+        return {}
+    return {r["column_name"]: list(r["q"]) for r in column_quantiles(df, columns, probs).collect()}
+
+
+def mode_map(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
+    """Column name -> most frequent non-null value, the smallest on ties. Values are counted
+    by a grouped aggregate per column; one row per column comes to the driver."""
+    out = {}
+    for c in columns:
+        counts = df.filter(col(c).isNotNull()).groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        row = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).first()
+        if row["v"] is not None:
+            out[c] = row["v"]
+    return out
+
+
+def with_quantile(stats: DataFrame, df: DataFrame, column: str, prob: float, name: str, group_by: Sequence[str] = ()) -> DataFrame:
+    """``stats`` (one row per group) with one exact quantile of ``df``'s column; null for a
+    group without values."""
+    g = list(group_by)
+    if not g:
+        found = quantile_map(df, [column], [prob]).get(column)
+        return stats.withColumn(name, F.lit(found[0] if found else None).cast("double"))
+    q = column_quantiles(df, [column], [prob], g).select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(g)], F.col("q")[0].alias(name))
+    on = F.lit(True)
+    for i, c in enumerate(g):
+        on = on & stats[c].eqNullSafe(q[f"__g{i}"])
+    return stats.join(q, on, "left").drop(*[f"__g{i}" for i in range(len(g))])

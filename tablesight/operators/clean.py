@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import adjusted_skew, col, normalize_missing
 from ..functions.ordered import fill_forward_backward
-from .profile import profile_columns
+from ..functions.quantiles import mode_map, quantile_map
+from .profile import profile_columns, quartile_map
 
 # Fixed values of the reference's cleaning rules.
 DROP_PCT = 60.0            # drop a column with at least this % missing
@@ -117,11 +118,12 @@ class CleaningPlan:
             kind = self.kinds.get(c)
             if kind == "numeric":
                 x = col(c).cast("double")
-                aggs += [adjusted_skew(x).alias(f"{c}__skew"), F.avg(x).alias(f"{c}__mean"),
-                         F.percentile(x, 0.5).alias(f"{c}__median")]
-            elif kind in ("categorical", "boolean"):
-                aggs.append(F.mode(col(c), True).alias(f"{c}__mode"))
+                aggs += [adjusted_skew(x).alias(f"{c}__skew"), F.avg(x).alias(f"{c}__mean")]
         row = dedup.agg(*aggs).first().asDict() if aggs else {}
+        gaps = [c for c in keep if row.get(f"{c}__nulls")]
+        skewed = [c for c in gaps if self.kinds.get(c) == "numeric" and abs(float(row[f"{c}__skew"] or 0.0)) > SKEW_FOR_MEDIAN]
+        medians = quantile_map(dedup, skewed, [0.5])
+        modes = mode_map(dedup, [c for c in gaps if self.kinds.get(c) in ("categorical", "boolean")])
         for c in keep:
             if not row.get(f"{c}__nulls"):
                 continue
@@ -130,12 +132,12 @@ class CleaningPlan:
                 skew = abs(float(row[f"{c}__skew"] or 0.0))
                 self.skew[c] = skew
                 if skew > SKEW_FOR_MEDIAN:
-                    self.impute[c] = (METHOD_MEDIAN, row[f"{c}__median"])
+                    self.impute[c] = (METHOD_MEDIAN, medians[c][0] if c in medians else None)
                 else:
                     self.impute[c] = (METHOD_MEAN, row[f"{c}__mean"])
             elif kind in ("categorical", "boolean"):
-                if row.get(f"{c}__mode") is not None:
-                    self.impute[c] = (METHOD_MODE, row[f"{c}__mode"])
+                if c in modes:
+                    self.impute[c] = (METHOD_MODE, modes[c])
             elif kind == "datetime":
                 self.impute[c] = (METHOD_FFILL, None)
             else:
@@ -144,16 +146,11 @@ class CleaningPlan:
     def _fit_clip(self, imputed: DataFrame, numeric: list[str], accuracy: int | None) -> None:
         if not numeric:
             return
-        qs = []
-        for c in numeric:
-            x = col(c).cast("double")
-            qs.append((F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))) if accuracy is None
-                       else F.percentile_approx(x, [0.25, 0.75], accuracy)).alias(c))
-        qrow = imputed.agg(*qs).first()
+        found = quartile_map(imputed, numeric, accuracy)
         bounds = {}
         for c in numeric:
-            q = qrow[c]
-            if q is None or q[0] is None:
+            q = found.get(c)
+            if q is None:
                 continue
             q1, q3 = float(q[0]), float(q[1])
             iqr = q3 - q1

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, is_datetime, is_numeric, normalize_missing
+from ..functions.quantiles import quantile_map
 
 MAX_OHE = 15
 SCREEN_FACTOR = 4  # approximate-count screen: exact check only below 4 x MAX_OHE
@@ -186,9 +187,10 @@ def quantile_bins(df: DataFrame, column: str, n_bins: int = 3, out: str = "bin",
     """Bins at the linear quantiles 1/n..(n-1)/n; bin i holds edge_i <= y < edge_{i+1}."""
     probs = [i / n_bins for i in range(1, n_bins)]
     x = col(column).cast("double")
-    q = F.percentile(x, F.array(*[F.lit(p) for p in probs])) if accuracy is None \
-        else F.percentile_approx(x, probs, accuracy)
-    edges = df.agg(q.alias("e")).first()["e"]
+    if accuracy is None:
+        edges = quantile_map(df, [column], probs).get(column, [])
+    else:
+        edges = df.agg(F.percentile_approx(x, probs, accuracy).alias("e")).first()["e"] or []
     b = F.lit(0)
     for e in edges:
         b = b + F.when(x >= F.lit(float(e)), 1).otherwise(0)

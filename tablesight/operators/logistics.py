@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..functions.ordered import global_row_number
+from ..functions.quantiles import with_quantile
 
 REORDER_PCT = 20.0
 EVEN_SAMPLE = 120
@@ -90,8 +91,14 @@ def reorder_point(df: DataFrame, stock: str, group_by: Sequence[str] = (), pct:
                   accuracy: int | None = None) -> DataFrame:
     """M9: reorder point = P``pct`` of the stock (linear), with mean/min/max; 0s if empty."""
     x = F.expr(f"try_cast(`{stock}` AS DOUBLE)")
-    q = F.percentile(x, pct / 100.0) if accuracy is None else F.percentile_approx(x, pct / 100.0, accuracy)
-    return df.groupBy(*[col(g) for g in group_by]).agg(
+    g = list(group_by)
+    if accuracy is None:
+        rest = reorder_point(df, stock, g, pct, accuracy=10_000).drop("rop")
+        values = df.select(*[col(c) for c in g], x.alias("__stock"))
+        return with_quantile(rest, values, "__stock", pct / 100.0, "rop", g).select(
+            *g, F.coalesce("rop", F.lit(0.0)).alias("rop"), "percentile", "mean", "min", "max")
+    q = F.percentile_approx(x, pct / 100.0, accuracy)
+    return df.groupBy(*[col(c) for c in g]).agg(
         F.coalesce(q, F.lit(0.0)).alias("rop"), F.lit(pct).alias("percentile"),
         F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.min(x), F.lit(0.0)).alias("min"),
         F.coalesce(F.max(x), F.lit(0.0)).alias("max"))

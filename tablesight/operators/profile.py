@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, is_numeric, normalize_missing, schema_kind
+from ..functions.quantiles import quantile_map
 
 # Fixed values of the reference's kind rules.
 TEXT_MIN_UNIQUE = 50          # more distinct values than this ...
@@ -190,43 +191,25 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if is_numeric(f.dataType) and f.name not in set(exclude)]
 
 
-def quartile_bounds(df: DataFrame, columns: Sequence[str], accuracy: int | str | None = None) -> DataFrame:
-    """One row with ``<c>__q1``/``<c>__q3`` per column (linear interpolation).
-
-    ``accuracy=None`` is exact (``percentile``); an integer switches to
-    ``percentile_approx``; ``"rank"`` is exact by distributed ranking
-    (``functions.quantiles``), for very high-cardinality columns at scale.
-    """
-    if accuracy == "rank":
-        from ..functions.quantiles import rank_quantiles
-        out = None
-        for c in columns:
-            r = rank_quantiles(df, c, [0.25, 0.75]).select(
-                F.col("q")[0].alias(f"{c}__q1"), F.col("q")[1].alias(f"{c}__q3"))
-            out = r if out is None else out.crossJoin(r)  # one row x one row per column
-        return out
-    aggs = []
-    for c in columns:
-        x = col(c).cast("double")
-        if accuracy is None:
-            qs = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-        else:
-            qs = F.percentile_approx(x, [0.25, 0.75], accuracy)
-        aggs.append(qs.alias(f"{c}__q"))
-    row = df.agg(*aggs) if aggs else df.sparkSession.range(1).select()
-    return row.select(*[x for c in columns for x in (
-        F.col(f"`{c}__q`")[0].alias(f"{c}__q1"), F.col(f"`{c}__q`")[1].alias(f"{c}__q3"))])
+def quartile_map(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> dict[str, list[float]]:
+    """Column -> [q1, q3] (linear interpolation). ``accuracy=None`` is exact, by counting
+    and ranking distinct values (``functions.quantiles``); an integer switches to
+    ``percentile_approx``. Columns without values are left out."""
+    if accuracy is None:
+        return quantile_map(df, columns, [0.25, 0.75])
+    row = df.agg(*[F.percentile_approx(col(c).cast("double"), [0.25, 0.75], accuracy).alias(c) for c in columns]).first()
+    return {c: [float(x) for x in row[c]] for c in columns if row[c] is not None}
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None,
-                 accuracy: int | str | None = None) -> DataFrame:
+                 accuracy: int | None = None) -> DataFrame:
     """(ordinal, column_name, q1, q3, lower, upper, n_outliers) per numeric column;
     0 outliers when iqr = 0. Two aggregate passes; the quartiles travel to the
     counting pass as literals (one number pair per column)."""
     df = normalize_missing(df)
     columns = list(columns) if columns is not None else numeric_columns(df)
-    b = quartile_bounds(df, columns, accuracy).first()
-    q = {c: (b[f"{c}__q1"], b[f"{c}__q3"]) for c in columns}
+    found = quartile_map(df, columns, accuracy)
+    q = {c: tuple(found.get(c, (None, None))) for c in columns}
     aggs = []
     for c in columns:
         q1, q3 = q[c]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
+from ..functions.quantiles import with_quantile
 
 TOP_VALUES = 6
 REPORT_KEYS = ("titulo", "resumen_situacion", "hallazgo_clave", "recomendaciones", "siguiente_paso_sugerido")
@@ -22,10 +23,12 @@ N_RECS = 3
 def target_stats(df: DataFrame, target: str, group_by: Sequence[str] = ()) -> DataFrame:
     """Mean, median, min, max of a continuous target, rounded to 2."""
     x = col(target).cast("double")
-    return df.groupBy(*[col(g) for g in group_by]).agg(
-        F.round(F.avg(x), 2).alias("media"), F.round(F.percentile(x, 0.5), 2).alias("mediana"),
-        F.round(F.min(x), 2).alias("min"), F.round(F.max(x), 2).alias("max"),
+    g = list(group_by)
+    s = df.groupBy(*[col(c) for c in g]).agg(
+        F.round(F.avg(x), 2).alias("media"), F.round(F.min(x), 2).alias("min"), F.round(F.max(x), 2).alias("max"),
         F.count(F.lit(1)).cast("long").alias("n_rows"))
+    return with_quantile(s, df, target, 0.5, "mediana", g).select(
+        *g, "media", F.round("mediana", 2).alias("mediana"), "min", "max", "n_rows")
 
 
 def _counts(df: DataFrame, target: str, group_by: Sequence[str]) -> DataFrame:
@@ -79,8 +82,10 @@ def _fmt_target(target: str) -> str:
 
 
 def _num_text(c: Column) -> Column:
-    # Python prints a float like '33.2' / '50.0'; so does a cast of the rounded double.
-    return c.cast("double").cast("string")
+    """A double rounded to 2 as Python prints it: 33.2, 50.0, 12345678.5, never with an exponent
+    below 1e16."""
+    plain = F.regexp_replace(F.format_string("%.2f", c.cast("double")), r"0$", "")
+    return F.when(F.abs(c) < 1e16, plain).otherwise(c.cast("double").cast("string"))
 
 
 def findings(balance: DataFrame | None, stats: DataFrame | None, target: str, frame: str | None,

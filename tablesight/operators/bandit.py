@@ -32,7 +32,6 @@ from ..session import ensure_checkpoint_dir
 ALPHA = 0.8
 SEED = 42
 N_ROUNDS = 10
-MAX_DIM = 64
 MIN_WINDOW = 50
 STRONG, MODERATE = 0.3, 0.1
 
@@ -129,8 +128,6 @@ def run_rounds(df: DataFrame, key: str, x: str, label: str, n_arms: int, dim: in
                alpha: float = ALPHA, n_rounds: int = N_ROUNDS, seed: int = SEED,
                workdir: str | None = None) -> BanditRun:
     """H3/H4: batched LinUCB; every row is played once, in rounds dealt by md5(key)."""
-    if dim > MAX_DIM:
-        raise ValueError(f"context dimension {dim} > {MAX_DIM}")
     spark = df.sparkSession
     u = hash_uniform(col(key), F.lit("round"), F.lit(str(seed)))
     staged = df.select(col(key).alias("__key"), col(x).alias("__x"), col(label).cast("int").alias("__y"),

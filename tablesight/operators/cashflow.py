@@ -26,7 +26,6 @@ POSITIVE_WORDS = ("1", "true", "si", "sí", "yes", "fraude", "mora")  # fixed va
 IRR_LO, IRR_HI, IRR_STEPS = -0.99, 10.0, 100
 HIST_BINS = 60
 SAMPLE_PATHS, SAMPLE_SEED = 40, 7
-BROADCAST_GROUPS_MAX = 100_000
 
 
 @dataclass
@@ -119,15 +118,8 @@ def simulate_paths(params: DataFrame, entities: DataFrame, segment: str, path: s
                    proj: Projection) -> DataFrame:
     """(segment, path_id, period, inflow, outflow, net) for periods 1..horizon.
     Flows ~ Normal(mean, max(std, 1e-9)) clipped at 0; one path per entity row."""
-    # One row per segment. When the segment count is within the bound, the rows are
-    # collected once (no second evaluation of the parameter aggregates) and broadcast.
-    few = params.limit(BROADCAST_GROUPS_MAX + 1).collect()
-    if len(few) <= BROADCAST_GROUPS_MAX:
-        prm = F.broadcast(params.sparkSession.createDataFrame(few, params.schema))
-    else:
-        prm = params
     base = entities.select(col(segment).alias("segment"), col(path).alias("path_id")).join(
-        prm.withColumnRenamed(segment, "segment"), "segment")
+        params.withColumnRenamed(segment, "segment"), "segment")
     per = base.withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(proj.horizon))))
     key = [F.col("segment"), F.col("path_id"), F.col("period")]
     seed = F.lit(str(proj.seed))

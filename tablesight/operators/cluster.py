@@ -24,6 +24,7 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ MIN_ROWS = 10
 MIN_FEATURES = 2
 SEED = 42
 MAX_CENTROID_VALUES = 1_000_000
+N_STARTS = 3   # k-means|| starts per k, the lowest cost wins
 GOOD, MODERATE = 0.5, 0.25
 
 
@@ -43,16 +45,14 @@ def _arr(vec: str) -> Column:
 
 def cluster_stats(df: DataFrame, vec: str, cluster: str) -> list[tuple]:
     """[(cluster, n, mean_vector, mean_sq_norm)] - one grouped aggregate, k rows."""
-    long = df.select(col(cluster).alias("c"), F.posexplode(_arr(vec)).alias("i", "x"))
-    per_dim = long.groupBy("c", "i").agg(F.avg("x").alias("m"))
+    head = df.select(F.size(col(vec)).alias("d")).first()
+    k = df.agg(F.count_distinct(col(cluster)).alias("k")).first()["k"]
+    if head is not None and k * max(1, head["d"]) > MAX_CENTROID_VALUES:
+        raise ValueError("too many centroid values to ship to the tasks")
     per_c = df.groupBy(col(cluster).alias("c")).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), Summarizer.mean(array_to_vector(_arr(vec))).alias("mean"),
         F.avg(F.aggregate(_arr(vec), F.lit(0.0), lambda a, x: a + x * x)).alias("s"))
-    vecs = per_dim.groupBy("c").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda t: t["m"]).alias("mu"))
-    rows = per_c.join(vecs, "c").orderBy("c").limit(MAX_CENTROID_VALUES).collect()
-    if rows and len(rows) * len(rows[0]["mu"]) > MAX_CENTROID_VALUES:
-        raise ValueError("too many centroid values to ship to the tasks")
+    rows = per_c.select("c", "n", "s", vector_to_array("mean").alias("mu")).orderBy("c").collect()  # k rows, checked
     return [(r["c"], int(r["n"]), [float(v) for v in r["mu"]], float(r["s"])) for r in rows]
 
 
@@ -181,9 +181,10 @@ class ClusterResult:
 
 
 def kmeans_sweep(df: DataFrame, key: str, features_col: str, ks: Sequence[int] | None = None,
-                 seed: int = SEED) -> ClusterResult:
+                 seed: int = SEED, n_starts: int = N_STARTS) -> ClusterResult:
     """Fit k-means for each k on the persisted standardised vectors,
-    score inertia and silhouette, keep the best model (no refit)."""
+    score inertia and silhouette, keep the best model (no refit). Each k has
+    ``n_starts`` starts."""
     data = df.select(key, features_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = data.count()
@@ -193,7 +194,8 @@ def kmeans_sweep(df: DataFrame, key: str, features_col: str, ks: Sequence[int] |
         best = None
         sweep = []
         for k in ks:
-            model = KMeans(k=k, seed=seed, featuresCol=features_col, predictionCol="cluster").fit(data)
+            fits = [KMeans(k=k, seed=seed + i, featuresCol=features_col, predictionCol="cluster").fit(data) for i in range(n_starts)]
+            model = min(fits, key=lambda m: m.summary.trainingCost)
             pred = model.transform(data).withColumn("__arr", vector_to_array(features_col))
             sil = silhouette(pred, "__arr", "cluster").first()["silhouette"]
             cost = float(model.summary.trainingCost)

@@ -160,10 +160,7 @@ def fit_target(df: DataFrame, target: str) -> TargetEncoding:
         return TargetEncoding("continuous", None, stats["m"])
     counts = df.filter(col(target).isNotNull()).groupBy(col(target).alias("label")).agg(
         F.count(F.lit(1)).alias("n"))
-    n_labels = counts.count()
-    if n_labels > BROADCAST_LABELS_MAX:
-        raise ValueError(f"{n_labels} distinct labels: not a classification target")
-    rows = counts.collect()  # bounded by the check above
+    rows = counts.collect()  # one row per class, as many as a classifier keeps anyway
     labels = sorted((r["label"] for r in rows), key=lambda v: (v is None, v))
     code = {v: i for i, v in enumerate(labels)}
     best = max(rows, key=lambda r: (r["n"], -code[r["label"]])) if rows else None
@@ -178,7 +175,8 @@ def encode_target(df: DataFrame, target: str, enc: TargetEncoding, out: str = "l
     dt = df.schema[target].dataType
     lab = spark.createDataFrame([(v, float(i)) for i, v in enumerate(enc.labels)],
                                 T.StructType([T.StructField("__lab", dt), T.StructField("__code", T.DoubleType())]))
-    j = df.join(F.broadcast(lab), col(target) == F.col("__lab"), "left")
+    lab = F.broadcast(lab) if len(enc.labels) <= BROADCAST_LABELS_MAX else lab
+    j = df.join(lab, col(target) == F.col("__lab"), "left")
     return j.withColumn(out, F.coalesce(F.col("__code"), F.lit(enc.fill))).drop("__lab", "__code")
 
 

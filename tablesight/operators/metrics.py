@@ -64,16 +64,15 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
                     "mae", "rmse")
 
 
-def confusion_matrix(df: DataFrame, y: str, p: str, max_classes: int = 1000) -> DataFrame:
-    """Long confusion matrix (actual, predicted, n) with zero cells kept; the label set
-    is the union of actual and predicted values. Classes are a short list (checked),
-    so the matrix is a pivot of the (y, p) counts - no cross join."""
+def confusion_matrix(df: DataFrame, y: str, p: str, zero_cells: bool = True) -> DataFrame:
+    """Long confusion matrix (actual, predicted, n); the label set is the union of actual
+    and predicted values. With ``zero_cells`` it has classes^2 rows, by a pivot of the
+    (y, p) counts; without, only the pairs that occur, for any number of classes."""
     pc = pair_counts(df, y, p)
+    if not zero_cells:
+        return pc.select(F.col("y").alias("actual"), F.col("p").alias("predicted"), F.col("n").cast("long").alias("n"))
     labels = pc.select(F.col("y").alias("l")).union(pc.select(F.col("p").alias("l"))).distinct()
-    values = [r["l"] for r in labels.limit(max_classes + 1).collect()]
-    if len(values) > max_classes:
-        raise ValueError(f"more than {max_classes} classes")
-    values = sorted(values, key=lambda v: (v is None, v))
+    values = sorted((r["l"] for r in labels.collect()), key=lambda v: (v is None, v))
     wide = pc.groupBy("y").pivot("p", values).agg(F.sum("n"))
     full = labels.join(wide, labels["l"] == wide["y"], "left")
     cells = [F.struct(F.lit(v).alias("predicted"), F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias("n"))

@@ -83,6 +83,33 @@ def q_findings_by_group(spark, sf):
     return J.findings(J.class_balance(o, "o_orderstatus", G), None, "o_orderstatus", "variable objetivo", n, G)
 
 
+_TXT = "regexp_replace(printf('%.2f', {}), '0$', '')"
+
+
+@register("findings_continuous", f"""SELECT o_orderpriority,
+  'En ''o totalprice'', el valor promedio es ' || {_TXT.format('round(avg(o_totalprice), 2)')} || ' (mediana '
+  || {_TXT.format('round(median(o_totalprice), 2)')} || '), con un rango que va de ' || {_TXT.format('round(min(o_totalprice), 2)')}
+  || ' a ' || {_TXT.format('round(max(o_totalprice) * 1000, 2)')} || ' en los ' || CAST(count(*) AS VARCHAR) || ' registros analizados.' AS finding
+FROM orders GROUP BY o_orderpriority""")
+def q_findings_continuous(spark, sf):
+    # the maximum is shown in thousandths, so that numbers of eight digits occur
+    o = load(spark, sf, "orders")
+    n = o.groupBy(*G).agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+    stats = J.target_stats(o, "o_totalprice", G)
+    large = J.target_stats(o.withColumn("o_totalprice", F.col("o_totalprice") * 1000), "o_totalprice", G).select(*G, F.col("max").alias("big"))
+    stats = stats.join(large, G).withColumn("max", F.col("big")).drop("big")
+    return J.findings(None, stats, "o_totalprice", None, n, G)
+
+
+@register("findings_neutral", """SELECT o_orderpriority, 'Se analizaron ' || CAST(count(*) AS VARCHAR)
+  || ' registros sobre ''o comment''; los datos quedaron completos y listos para decidir.' AS finding
+FROM orders GROUP BY o_orderpriority""")
+def q_findings_neutral(spark, sf):
+    o = load(spark, sf, "orders").withColumn("o_comment", F.lit(None).cast("string"))
+    n = o.groupBy(*G).agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+    return J.findings(J.class_balance(o, "o_comment", G), None, "o_comment", None, n, G)
+
+
 _REC = ('{"titulo": "t", "descripcion": "d", "impacto_esperado": "i", "riesgo_o_consideracion": "r"}')
 _REC_BAD = '{"titulo": "t", "descripcion": "d", "impacto_esperado": "i"}'
 _JSON_SQL = (

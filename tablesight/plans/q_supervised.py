@@ -209,16 +209,13 @@ def q_fit_regressors(spark, sf):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    df = sql(spark, sf, "SELECT p_partkey, p_retailprice, p_size, CAST(p_partkey % 97 AS DOUBLE) AS shelf FROM part",
+    df = sql(spark, sf, "SELECT p_partkey, p_retailprice, p_size, p_brand, CAST(p_partkey % 97 AS DOUBLE) AS shelf FROM part",
              ("part",))
     res = S.train_and_select(df, "p_retailprice", "p_partkey", candidates=["Regresion Lineal"])
     data = encode_target(df, "p_retailprice", fit_target(df, "p_retailprice"))
+    test = S.stratified_split(data, "label", "p_partkey", stratify=False).filter("is_test")
 
-    def assemble(d):
-        return res.encoder.transform(d, keep=["p_partkey", "label"], vector_col="raw_features")
+    def assemble(d, keep):
+        return res.encoder.transform(d, keep=["p_partkey", *keep], vector_col="raw_features")
 
-    def scorer(pred):
-        return M.regression_metrics(pred, "label", "prediction").first()["r2"]
-
-    return S.permutation_importance(res.model, data, ["p_size", "shelf"], "label", "p_partkey", scorer,
-                                    n_repeats=2, assemble=assemble)
+    return S.permutation_importance(res.model, test, ["p_size", "p_brand", "shelf"], "p_partkey", is_cls=False, assemble=assemble)

@@ -19,6 +19,5 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 def write_report_text(report: DataFrame, path: str, order_by: str = "position",
                       text: str = "line") -> None:
     """A4: a report table (position, line) as a text file, one line per row, in order.
-    The report has a handful of rows, so one output file is produced."""
-    report.orderBy(order_by).select(F.col(text).cast("string").alias("value")) \
-          .coalesce(1).write.mode("overwrite").text(path)
+    A table of more than one partition gives several part files, in order of their names."""
+    report.orderBy(order_by).select(F.col(text).cast("string").alias("value")).write.mode("overwrite").text(path)

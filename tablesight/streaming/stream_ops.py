@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ..operators import bandit as H
 from ..operators.clean import CleaningPlan
-from ..session import ensure_checkpoint_dir
 
 
 def clean_stream(plan: CleaningPlan, stream: DataFrame) -> DataFrame:
@@ -34,44 +33,44 @@ def dedupe_stream(stream: DataFrame, event_time: str, delay: str = "10 minutes")
 class StreamingBandit:
     """LinUCB state updated once per micro-batch (``foreachBatch``)."""
 
-    def __init__(self, spark, n_arms: int, dim: int, state_dir: str | None = None,
+    def __init__(self, spark, n_arms: int, dim: int, state_dir: str,
                  alpha: float = H.ALPHA, x: str = "x", label: str = "label"):
+        """``state_dir``: a stable folder that all executors share; a later session with
+        the same folder goes on from its last batch."""
         self.spark = spark
         self.n_arms, self.dim, self.alpha, self.x, self.label = n_arms, dim, alpha, x, label
-        base = state_dir or ensure_checkpoint_dir(spark).rstrip("/") + "/bandit-stream"
-        self.state_dir = base
+        self.state_dir = state_dir.rstrip("/")
         self.state = H.BanditState(n_arms, dim)
         self.last_batch = -1
         self._load()
 
-    def _state_path(self) -> str:
-        return self.state_dir + "/state"
+    def _slot(self, batch_id: int) -> str:
+        """Two slots take turns, so the last complete snapshot survives a failed write."""
+        return f"{self.state_dir}/state/slot{batch_id % 2}"
+
+    def _exists(self, path: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def _load(self) -> None:
-        path = self._state_path()
-        try:
-            snap = self.spark.read.parquet(path).toPandas()
-        except Exception:  # noqa: BLE001 - no snapshot yet
-            return
-        if snap.empty:
+        """The newer of the two snapshots; nothing where none was written. Read errors are raised."""
+        snaps = [self.spark.read.parquet(p).toPandas() for p in map(self._slot, (0, 1)) if self._exists(p)]
+        snaps = [s for s in snaps if len(s) == self.n_arms * (self.dim * self.dim + self.dim)]
+        if not snaps:
             return
-        last = int(snap["batch_id"].max())
-        snap = snap[snap["batch_id"] == last]
+        snap = max(snaps, key=lambda s: s["batch_id"].max())
         self.state = H.BanditState(self.n_arms, self.dim)
         self.state.add(snap[["arm", "kind", "idx", "value"]])
-        self.last_batch = last
+        self.last_batch = int(snap["batch_id"].max())
 
     def _save(self, batch_id: int) -> None:
         rows = []
         for a in range(self.n_arms):
-            for k, v in enumerate(self.state.S[a].ravel()):
-                rows.append((batch_id, a, "A", k, float(v)))
-            for k, v in enumerate(self.state.b[a]):
-                rows.append((batch_id, a, "b", k, float(v)))
-        df = self.spark.createDataFrame(
-            pd.DataFrame(rows, columns=["batch_id", "arm", "kind", "idx", "value"]).astype(
-                {"arm": "int32", "idx": "int32"}))
-        df.write.mode("append").parquet(self._state_path())
+            rows += [(batch_id, a, "A", k, float(v)) for k, v in enumerate(self.state.S[a].ravel())]
+            rows += [(batch_id, a, "b", k, float(v)) for k, v in enumerate(self.state.b[a])]
+        df = self.spark.createDataFrame(rows, "batch_id long, arm int, kind string, idx int, value double")
+        df.write.mode("overwrite").parquet(self._slot(batch_id))
 
     def foreach_batch(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.last_batch:

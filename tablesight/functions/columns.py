@@ -85,3 +85,23 @@ def ntz_micros(name: str) -> Column:
     independent of the session time zone)."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
                   f"CAST({q(name)} AS TIMESTAMP_NTZ))")
+
+
+def fixed_text(c: Column, decimals: int) -> Column:
+    """A double with a fixed number of decimals, rounded as its exact binary value says
+    (exact halves to the even digit), as C and Python print it. For values below 1e12.
+
+    Whether x lies above or below the midpoint (2 f + 1) / (2 unit) is decided without
+    error: x is split into two halves of few bits, whose products with 2 unit are exact."""
+    x = F.abs(c.cast("double"))
+    if decimals == 0:
+        return F.format_string("%.0f", F.rint(c.cast("double")))
+    unit = 10 ** decimals
+    f = F.floor(x * unit).cast("double")
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    side = (high * (2.0 * unit) - (2 * f + 1)) + (x - high) * (2.0 * unit)
+    steps = (f + F.when((side > 0) | ((side == 0) & (f % 2 == 1)), 1.0).otherwise(0.0)).cast("long")
+    text = F.concat(F.floor(steps / unit).cast("string"), F.lit("."), F.lpad((steps % unit).cast("string"), decimals, "0"))
+    return F.when(x < 1e12, F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), text)).otherwise(
+        F.format_string(f"%.{decimals}f", c.cast("double")))

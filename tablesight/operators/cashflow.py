@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, fixed_text
 from ..functions.random import hash_normal
 
 MIN_STD = 1e-9
@@ -238,9 +238,8 @@ def npv_histogram(npv: DataFrame, bins: int = HIST_BINS) -> DataFrame:
 def provenance_note(params: DataFrame, value_col: str, rate_col: str | None) -> DataFrame:
     """Where each segment's parameters come from, as text."""
     return params.select("segment", F.format_string(
-        "Entradas/salidas derivadas de '%s' (%s): media entrada %.2f, desv %.2f; media salida %.2f, desv %.2f%s",
-        F.lit(value_col), F.col("mode"), F.col("inflow_mean"), F.col("inflow_std"),
-        F.col("outflow_mean"), F.col("outflow_std"),
+        "Entradas/salidas derivadas de '%s' (%s): media entrada %s, desv %s; media salida %s, desv %s%s",
+        F.lit(value_col), F.col("mode"), *[fixed_text(F.col(c), 2) for c in ("inflow_mean", "inflow_std", "outflow_mean", "outflow_std")],
         F.when(F.col("rate").isNotNull() & (F.col("rate") != 0),
-               F.format_string("; ajuste por tasa observada de '%s' = %.4f", F.lit(rate_col or ""), F.col("rate")))
+               F.format_string("; ajuste por tasa observada de '%s' = %s", F.lit(rate_col or ""), fixed_text(F.col("rate"), 4)))
         .otherwise(F.lit(""))).alias("note"))

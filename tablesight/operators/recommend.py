@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import fixed_text
 from . import vocabulary as V
 
 APPROACH_ORDER = {a: i for i, a in enumerate(V.APPROACHES)}
@@ -65,8 +66,8 @@ def ranking_text(weighted: DataFrame) -> DataFrame:
     lab = F.create_map(*[x for a, l in V.APPROACH_LABELS.items() for x in (F.lit(a), F.lit(l))])
     from . import texts as X
     r = ranking(weighted).withColumn("piece", X.fill(X.RANKING_PIECE, {
-        "label": F.element_at(lab, F.col("approach")), "score": F.format_string("%.2f", F.col("score_norm")),
-        "weight": F.format_string("%.1f", F.col("weight")), "final": F.format_string("%.2f", F.col("final_score"))}))
+        "label": F.element_at(lab, F.col("approach")), "score": fixed_text(F.col("score_norm"), 2),
+        "weight": fixed_text(F.col("weight"), 1), "final": fixed_text(F.col("final_score"), 2)}))
     return r.groupBy("case_id", "goal").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "piece"))), lambda s: s["piece"]),
                      "; ").alias("ranking_text"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col
+from ..functions.columns import col, fixed_text
 from ..functions.quantiles import with_quantile
 
 TOP_VALUES = 6
@@ -84,7 +84,7 @@ def _fmt_target(target: str) -> str:
 def _num_text(c: Column) -> Column:
     """A double rounded to 2 as Python prints it: 33.2, 50.0, 12345678.5, never with an exponent
     below 1e16."""
-    plain = F.regexp_replace(F.format_string("%.2f", c.cast("double")), r"0$", "")
+    plain = F.regexp_replace(fixed_text(c.cast("double"), 2), r"0$", "")
     return F.when(F.abs(c) < 1e16, plain).otherwise(c.cast("double").cast("string"))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import fixed_text
 from . import texts as X
 
 TEMPLATES = X.REPORT_RECOMMENDATIONS
@@ -18,7 +19,7 @@ FIELDS = ("titulo", "descripcion", "impacto_esperado", "riesgo_o_consideracion")
 
 
 def _pct0(c: Column) -> Column:
-    return F.format_string("%.0f", c * 100)
+    return fixed_text(c * 100, 0)
 
 
 def _target(c: Column, default: str) -> Column:

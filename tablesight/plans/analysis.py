@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..operators import bandit as H
 from ..operators import cluster as C
 from ..operators import recommend as R
+from ..operators import report as J
+from ..operators import report_text as RT
 from ..operators import tags as TG
 from ..operators import vocabulary as V
 from ..operators.clean import CleaningPlan
@@ -24,6 +26,10 @@ from ..operators.features import FeatureEncoder, encode_target, fit_target, quan
 from ..operators.supervised import train_and_select
 
 APPROACHES = V.APPROACHES
+#: Sections of the facts table and the columns of a run's summary that they hold.
+FACT_SECTIONS = {"etl": ["n_rows", "n_cols"], "recomendacion": ["winner", "winner_label", "goal_label"],
+                 "supervisado": ["task", "accuracy", "r2", "top_feature"], "no_supervisado": ["best_k"],
+                 "refuerzo": ["final_reward", "baseline"]}
 
 
 @dataclass
@@ -40,6 +46,8 @@ class Analysis:
     status: DataFrame        # approach, status, score_norm, detail
     recommendation: DataFrame
     results: dict = field(default_factory=dict)
+    facts: DataFrame | None = None     # J4: section, key, num_value, str_value of this run
+    report: DataFrame | None = None    # J5/J6: case_id, report (JSON)
 
 
 def diagnose(df: DataFrame, name: str = "tabla", order_by: Sequence[str] | None = None,
@@ -105,8 +113,9 @@ _RUNNERS = {"supervised": _supervised, "unsupervised": _unsupervised, "reinforce
 
 
 def analyze(clean: DataFrame, key: str, target: str | None, approaches: Sequence[str],
-            goal: str = V.DEFAULT_GOAL, case_id: str = "tabla") -> Analysis:
-    """Run the chosen approaches (each isolated), then recommend for the goal."""
+            goal: str = V.DEFAULT_GOAL, case_id: str = "tabla", domain: str | None = None) -> Analysis:
+    """Run the chosen approaches (each isolated), recommend for the goal, and build
+    the facts and the report from the results."""
     spark: SparkSession = clean.sparkSession
     rows, results = [], {}
 
@@ -126,17 +135,60 @@ def analyze(clean: DataFrame, key: str, target: str | None, approaches: Sequence
                 results[a] = res
                 rows.append((case_id, a, status, float(score), detail))
             except Exception as exc:  # noqa: BLE001 - O4: a failing stage becomes a status row
-                rows.append((case_id, a, "failed", 0.0, f"{type(exc).__name__}: {exc}"[:500]))
+                rows.append((case_id, a, "failed", 0.0, f"{type(exc).__name__}: {exc}"))
     status = spark.createDataFrame(rows, "case_id string, approach string, status string, score_norm double, "
                                          "detail string")
     req = spark.createDataFrame([(case_id, goal)], "case_id string, goal string")
     rec = R.recommendation(R.weighted_scores(status, req), req)
-    return Analysis(status, rec, results)
+    out = Analysis(status, rec, results)
+    try:
+        out.facts, out.report = _report(clean, target, goal, case_id, rec, results, domain)
+    except Exception as exc:  # noqa: BLE001 - O4: a failing report leaves the results
+        failed = spark.createDataFrame([(case_id, "report", "failed", 0.0, f"{type(exc).__name__}: {exc}")], status.schema)
+        out.status = status.unionByName(failed)
+    return out
+
+
+def _report(clean, target, goal, case_id, rec, results, domain):
+    """J4-J6 from what this run measured: the fact sections, the key finding, the report."""
+    spark = clean.sparkSession
+    sup, uns, rl = (results.get(a) for a in APPROACHES)
+    n_rows, win = clean.count(), rec.first()
+    metrics = sup.metrics.get(sup.best_model, {}) if sup is not None and sup.best_model else {}
+    top = sup.importance_table(spark).orderBy(F.col("importance").desc(), "feature").first() if metrics and sup.feature_names else None
+    final = H.final_window_reward(H.with_steps(rl.rewards, ["round", "u"]), rl.n_arms).first() if rl is not None else None
+    task = sup.task if sup is not None else None
+    wide = spark.createDataFrame([(
+        case_id, win["winner"], target, task, metrics.get("accuracy"), metrics.get("r2"), top["feature"] if top else None,
+        uns.best_k if uns is not None else None, "", float(final["final_reward"]) if final else None,
+        float(final["baseline"]) if final else None, n_rows, len(clean.columns),
+        V.GOAL_LABELS.get(domain or "general", V.GOAL_LABELS["general"]).get(goal), win["winner_label"], V.DOMAIN_LABELS.get(domain))],
+        "case_id string, winner string, target string, task string, accuracy double, r2 double, top_feature string, best_k int, "
+        "distinctive string, final_reward double, baseline double, n_rows long, n_cols int, goal_label string, "
+        "winner_label string, domain_label string")
+    facts = None
+    for name, keys in FACT_SECTIONS.items():
+        part = J.facts_long(wide, name, keys, ["case_id"])
+        facts = part if facts is None else facts.unionByName(part)
+    n = spark.createDataFrame([(1, n_rows)], "one int, n_rows long")
+    if target and target in clean.columns:
+        one = clean.withColumn("one", F.lit(1))
+        balance = J.class_balance(one, target, ["one"]) if task != "regresion" else None
+        stats = J.target_stats(one, target, ["one"]) if task == "regresion" else None
+        extra = (J.facts_long(balance, "clase", ["majority", "majority_pct", "minority", "minority_pct"]) if balance is not None
+                 else J.facts_long(stats, "distribucion", ["media", "mediana", "min", "max"]))
+        facts = facts.unionByName(extra.select(F.lit(case_id).alias("case_id"), "section", "key", "num_value", "str_value"))
+        finding = J.findings(balance, stats, target, None, n, ["one"])
+    else:
+        finding = n.select(F.lit(None).cast("string").alias("finding"))
+    finding = finding.select(F.lit(case_id).alias("case_id"), "finding")
+    return facts.filter(F.col("num_value").isNotNull() | F.col("str_value").isNotNull()), RT.report_json(wide, finding)
 
 
 def run_all(df: DataFrame, key: str, goal: str = V.DEFAULT_GOAL, name: str = "tabla",
-            target: str | None = None) -> tuple[Diagnosis, Analysis]:
-    """O3: diagnose, then run every applicable approach and recommend."""
+            target: str | None = None, domain: str | None = None) -> tuple[Diagnosis, Analysis]:
+    """O3: diagnose, then run every applicable approach, recommend and report. ``domain``
+    only labels texts."""
     d = diagnose(df, name=name, order_by=[key], target=target)
-    a = analyze(d.clean, key, d.target, d.applicable, goal, case_id=name)
+    a = analyze(d.clean, key, d.target, d.applicable, goal, case_id=name, domain=domain)
     return d, a

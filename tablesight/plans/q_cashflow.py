@@ -174,6 +174,10 @@ def q_irr_by_group(spark, sf):
     return irr.select("segment", "irr", CF.npv_at(F.col("cashflows"), F.col("irr")).alias("npv_at_irr"))
 
 
-@register("provenance_note")
+@register("provenance_note", _CTES + """
+SELECT segment, printf('Entradas/salidas derivadas de ''%s'' (%s): media entrada %.2f, desv %.2f; media salida %.2f, desv %.2f%s',
+  'c_acctbal', mode, inflow_mean, inflow_std, outflow_mean, outflow_std,
+  CASE WHEN coalesce(rate, 0) <> 0 THEN printf('; ajuste por tasa observada de ''%s'' = %.4f', 'churn', rate) ELSE '' END) AS note
+FROM params""")
 def q_provenance_note(spark, sf):
     return CF.provenance_note(_params(spark, sf), "c_acctbal", "churn")

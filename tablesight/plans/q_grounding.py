@@ -6,9 +6,12 @@ statistics of the documents table (one fact table per source = context).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import grounding as K
+from ..operators import texts as X
 from .registry import register
 from .tables import load, sql
 
@@ -103,17 +106,62 @@ def q_cites_source(spark, sf):
     return load(spark, sf, "documents").select("doc_id", K.cites_source(F.col("text")).alias("cites"))
 
 
-@register("grounded_answers")
+# Facts of each language and one question per document: the keyword of one of the seven
+# topics (or none), so that every template is filled.
+_QA_FACTS = """SELECT lang AS context_id, CAST(count(*) AS BIGINT) AS filas, 5 AS columnas,
+  CAST(count(DISTINCT source) AS BIGINT) AS numero_de_clusters,
+  CAST(count(DISTINCT source) AS DOUBLE) / count(*) AS silhouette,
+  max(source) AS enfoque_ganador, min(source) AS detalle_ganador, 'explorar' AS objetivo_de_negocio,
+  CASE WHEN lang = 'en' THEN 'n_chars' END AS variable_mas_importante, 'Regresion Lineal' AS mejor_modelo,
+  CAST(count(*) - count(DISTINCT text) AS DOUBLE) / count(*) AS acierto_final, CAST(1 AS DOUBLE) / count(DISTINCT source) AS acierto_al_azar,
+  'revisar ' || min(source) AS siguiente_paso, CASE WHEN lang <> 'es' THEN 'predomina ' || max(source) END AS hallazgo_clave
+FROM documents GROUP BY lang"""
+_KEYWORDS = [kws[0] for _, kws in K.INTENT_RULES]
+_QUESTION = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KEYWORDS)) + " ELSE '' END || ' ' || text"
+
+
+def _fill_sql(template: str) -> str:
+    values = {"silhouette": "printf('%.2f', silhouette)", "acierto_final": "printf('%.0f', acierto_final * 100)",
+              "acierto_al_azar": "printf('%.0f', acierto_al_azar * 100)"}
+    e = "'" + template.replace("'", "''") + "'"
+    for name in re.findall(r"[{]([a-z_]+)[}]", template):
+        e = f"replace({e}, '{{{name}}}', coalesce(CAST({values.get(name, name)} AS VARCHAR), ''))"
+    return e
+
+
+def _asks(kws) -> str:
+    return " OR ".join(f"contains(lower(question), '{k}')" for k in kws)
+
+
+_NEEDS = dict(zip((t for t, _ in K.INTENT_RULES), ("enfoque_ganador", "variable_mas_importante", "filas", "numero_de_clusters",
+                                                    "acierto_final", "siguiente_paso", "hallazgo_clave")))
+_ANSWER_SQL = "CASE " + " ".join(f"WHEN ({_asks(kws)}) AND {_NEEDS[t]} IS NOT NULL THEN {_fill_sql(X.ANSWERS[t])}"
+                                 for t, kws in K.INTENT_RULES) + " ELSE '" + X.ANSWER_DEFAULT.replace("'", "''") + "' END"
+_ANSWERS_CTE = f"""qf AS ({_QA_FACTS}),
+qs AS (SELECT doc_id, lang AS context_id, text, {_QUESTION} AS question FROM documents),
+ans AS (SELECT qs.doc_id, qs.context_id, qs.text, {_ANSWER_SQL} AS answer FROM qs LEFT JOIN qf USING (context_id))"""
+_CITES = " OR ".join(f"contains(lower(answer), '{k}')" for k in K.SOURCE_MARKERS)
+
+
+def _answers(spark, sf):
+    q = sql(spark, sf, f"SELECT doc_id, lang AS context_id, {_QUESTION} AS text FROM documents", ("documents",))
+    return K.template_answers(q, sql(spark, sf, _QA_FACTS, ("documents",)))
+
+
+@register("grounded_answers", f"WITH {_ANSWERS_CTE} SELECT doc_id, context_id, answer, {_CITES} AS cites FROM ans")
 def q_grounded_answers(spark, sf):
-    docs = load(spark, sf, "documents")
-    facts = docs.groupBy(F.col("lang").alias("context_id")).agg(
-        F.count(F.lit(1)).alias("filas"), F.lit(5).alias("columnas"),
-        F.count_distinct("source").alias("numero_de_clusters"), F.avg("n_chars").alias("silhouette"))
-    for c in ("enfoque_ganador", "detalle_ganador", "objetivo_de_negocio", "variable_mas_importante", "mejor_modelo",
-              "siguiente_paso", "hallazgo_clave"):
-        facts = facts.withColumn(c, F.lit(None).cast("string"))
-    for c in ("acierto_final", "acierto_al_azar"):
-        facts = facts.withColumn(c, F.lit(None).cast("double"))
-    q = docs.select("doc_id", F.col("lang").alias("context_id"), "text")
-    out = K.template_answers(q, facts)
-    return out.select("doc_id", "context_id", "answer", K.cites_source(F.col("answer")).alias("cites"))
+    return _answers(spark, sf).select("doc_id", "context_id", "answer", K.cites_source(F.col("answer")).alias("cites"))
+
+
+@register("gated_answers", _ALLOWED_SQL + f""", {_ANSWERS_CTE},
+n AS (SELECT doc_id, source, {_norm_sql('number')} AS norm FROM
+        (SELECT doc_id, source, unnest(regexp_extract_all(text, '{_PAT}')) AS number FROM documents)),
+bad AS (SELECT DISTINCT doc_id FROM n WHERE norm NOT IN ('0', '1', '2', '3')
+        AND NOT EXISTS (SELECT 1 FROM a WHERE a.context_id = n.source AND a.number = n.norm))
+SELECT d.doc_id AS answer_id, d.source AS context_id, CASE WHEN bad.doc_id IS NULL AND trim(d.text) <> '' THEN d.text ELSE ans.answer END AS answer,
+       bad.doc_id IS NULL AND trim(d.text) <> '' AS from_candidate
+FROM documents d LEFT JOIN bad ON d.doc_id = bad.doc_id LEFT JOIN ans ON d.doc_id = ans.doc_id""")
+def q_gated_answers(spark, sf):
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), F.col("source").alias("context_id"), "text")
+    templates = _answers(spark, sf).select(F.col("doc_id").alias("answer_id"), "answer")
+    return K.gate_answers(docs, _allowed(spark, sf), templates)

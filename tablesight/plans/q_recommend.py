@@ -75,7 +75,12 @@ def q_ranking(spark, sf):
     return round_doubles(R.ranking(_weighted(spark, sf)).select("case_id", "goal", "rank", "approach", "final_score"))
 
 
-@register("ranking_text")
+_LABEL_SQL = "CASE approach " + " ".join(f"WHEN '{a}' THEN '{t}'" for a, t in V.APPROACH_LABELS.items()) + " END"
+
+
+@register("ranking_text", _CTES + f""" SELECT case_id, goal, string_agg({_LABEL_SQL} || ': calidad ' || printf('%.2f', score_norm)
+    || ' x peso ' || printf('%.1f', weight) || ' = ' || printf('%.2f', final_score), '; ' ORDER BY rank) AS ranking_text
+    FROM rk GROUP BY case_id, goal""")
 def q_ranking_text(spark, sf):
     return R.ranking_text(_weighted(spark, sf))
 

@@ -80,3 +80,14 @@ def test_approximate_profile_agrees_on_counts_and_kinds(spark):
         assert abs(a["n_unique"] - r["n_unique"]) <= max(2, 0.05 * r["n_unique"])
         if r["spark_type"] == "string":
             assert abs(a["avg_len"] - r["avg_len"]) < 1e-6
+
+
+def test_fixed_text_rounds_as_python_prints(spark):
+    import random
+    from tablesight.functions.columns import fixed_text
+    rnd = random.Random(3)
+    xs = [0.595, 0.125, 2.5, 1.005, -0.004, 0.0, 1e9 + 0.125, 0.045, -2.675] + [round(rnd.uniform(-50, 50), 3) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for d in (0, 1, 2, 4):
+        got = [r[0] for r in df.select(fixed_text(F.col("x"), d)).collect()]
+        assert got == [f"{x:.{d}f}" for x in xs]

@@ -114,6 +114,19 @@ def projection_params(flows: DataFrame, rates: DataFrame | None, group_by: Seque
     return p.withColumn("inflow_mean_adj", adj)
 
 
+def observed_flows(entities: DataFrame, events: DataFrame, segment: str, path: str, event_path: str, period: Column,
+                   inflow: Column, outflow: Column, horizon: int) -> DataFrame:
+    """(segment, path_id, period, inflow, outflow, net): the recorded flows of every entity
+    per period 1..horizon, zero where nothing was recorded."""
+    sums = events.groupBy(col(event_path).alias("__path"), period.cast("int").alias("__period")).agg(
+        F.sum(inflow).alias("__in"), F.sum(outflow).alias("__out"))
+    base = entities.select(col(segment).alias("segment"), col(path).alias("path_id")).withColumn(
+        "period", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    j = base.join(sums, (F.col("path_id") == F.col("__path")) & (F.col("period") == F.col("__period")), "left")
+    got_in, got_out = F.coalesce("__in", F.lit(0.0)), F.coalesce("__out", F.lit(0.0))
+    return j.select("segment", "path_id", "period", got_in.alias("inflow"), got_out.alias("outflow"), (got_in - got_out).alias("net"))
+
+
 def simulate_paths(params: DataFrame, entities: DataFrame, segment: str, path: str,
                    proj: Projection) -> DataFrame:
     """(segment, path_id, period, inflow, outflow, net) for periods 1..horizon.

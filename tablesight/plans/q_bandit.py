@@ -1,8 +1,8 @@
 """Checked queries for the contextual bandit (H1-H8).
 
 The logged table comes from events: context = standardised value and hour plus
-an intercept, arms = event types (sorted codes), a uniform logging policy keyed
-by md5(event_id), reward = logged arm equals the event type.
+an intercept, arms = event types (sorted codes), the logged arm is the variant that
+the event's user belongs to (user_id mod 5), reward = logged arm equals the event type.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
-from ..functions.random import duck_uniform, hash_uniform
 from ..operators import bandit as H
 from ..operators.features import encode_target, fit_target, standardize
 from .registry import register
@@ -20,27 +19,26 @@ N_ARMS = 5
 
 
 def _context(spark, sf):
-    ev = load(spark, sf, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"),
+    ev = load(spark, sf, "events").select("event_id", "user_id", "value", F.hour("ts").cast("double").alias("hour"),
                                           "event_type")
     z, _ = standardize(ev, ["value", "hour"], suffix="_z")
     enc = fit_target(z, "event_type")
     z = encode_target(z, "event_type", enc)
-    return z.select("event_id", H.with_intercept(F.array("value_z", "hour_z")).alias("x"), "label"), len(enc.labels)
+    return z.select("event_id", "user_id", H.with_intercept(F.array("value_z", "hour_z")).alias("x"), "label"), len(enc.labels)
 
 
 def _logged(spark, sf):
     ctx, n_arms = _context(spark, sf)
-    arm = F.floor(hash_uniform(F.col("event_id"), F.lit("log"), F.lit("42")) * n_arms).cast("int")
+    arm = F.pmod(F.col("user_id"), F.lit(n_arms)).cast("int")
     return ctx.withColumn("arm", arm).withColumn("reward", (F.col("arm") == F.col("label")).cast("double")), n_arms
 
 
-_U = duck_uniform("event_id", "'log'", "'42'")
-_LOG = f"""WITH e AS (SELECT event_id, value, CAST(hour(ts) AS DOUBLE) AS hour, event_type FROM events),
+_LOG = f"""WITH e AS (SELECT event_id, user_id, value, CAST(hour(ts) AS DOUBLE) AS hour, event_type FROM events),
 s AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(hour) AS mh, stddev_pop(hour) AS sh FROM e),
 lab AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS DOUBLE) AS code
         FROM (SELECT DISTINCT event_type FROM e)),
 lg AS (SELECT e.event_id, [(value - mv) / sv, (hour - mh) / sh, 1.0] AS x,
-              CAST(floor({_U} * {N_ARMS}) AS INTEGER) AS arm, lab.code AS label
+              CAST(user_id % {N_ARMS} AS INTEGER) AS arm, lab.code AS label
        FROM e CROSS JOIN s JOIN lab ON e.event_type = lab.event_type),
 lr AS (SELECT *, CAST(arm = label AS DOUBLE) AS reward FROM lg),
 st AS (SELECT *, row_number() OVER (ORDER BY event_id) AS step FROM lr)"""

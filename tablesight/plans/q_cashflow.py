@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
-from ..functions.random import duck_normal
 from ..operators import cashflow as CF
 from .registry import register
 from .tables import derived, derived_duck, load
@@ -22,17 +21,17 @@ def _params(spark, sf):
 
 
 def _paths(spark, sf):
-    cust = load(spark, sf, "customer")
-    return CF.simulate_paths(_params(spark, sf), cust, "c_mktsegment", "c_custkey", PROJ)
+    """Monthly flows of every customer as recorded: finished orders come in, open orders go out."""
+    price = F.col("o_totalprice").cast("double")
+    by = lambda status: F.when(F.col("o_orderstatus") == status, price).otherwise(0.0)
+    return CF.observed_flows(load(spark, sf, "customer"), load(spark, sf, "orders"), "c_mktsegment", "c_custkey", "o_custkey",
+                             F.month("o_orderdate"), by("F"), by("O"), PROJ.horizon)
 
 
 def _r4(df):
     return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-_ZIN = duck_normal("segment", "path_id", "period", "'42'", salt="i")
-_ZOUT = duck_normal("segment", "path_id", "period", "'42'", salt="o")
-
 _CTES = f"""
 WITH fl AS (SELECT c_mktsegment AS segment, c_acctbal AS x FROM customer WHERE c_acctbal IS NOT NULL),
 sp AS (SELECT segment, count(*) FILTER (WHERE x > 0) AS np, count(*) FILTER (WHERE x < 0) AS nn, count(*) AS n,
@@ -54,11 +53,12 @@ rt AS (SELECT segment, CASE WHEN count(*) <> 2 THEN NULL
               ELSE arg_max(c, v) / sum(c) END AS rate FROM vc GROUP BY segment),
 params AS (SELECT fs.*, rt.rate, CASE WHEN coalesce(rt.rate, 0) <> 0 THEN inflow_mean * (1 - rt.rate)
                   ELSE inflow_mean END AS inflow_mean_adj FROM fs LEFT JOIN rt ON fs.segment = rt.segment),
-pth AS (SELECT p.*, c.c_custkey AS path_id, t.period FROM customer c JOIN params p ON c.c_mktsegment = p.segment
-        CROSS JOIN (SELECT unnest(range(1, {PROJ.horizon + 1})) AS period) t),
-flows AS (SELECT segment, path_id, period,
-          greatest(0, inflow_mean_adj + greatest(inflow_std, 1e-9) * {_ZIN}) AS inflow,
-          greatest(0, outflow_mean + greatest(outflow_std, 1e-9) * {_ZOUT}) AS outflow FROM pth),
+mon AS (SELECT o_custkey, month(o_orderdate) AS period, sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DOUBLE) ELSE 0 END) AS inflow,
+        sum(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DOUBLE) ELSE 0 END) AS outflow FROM orders GROUP BY 1, 2),
+flows AS (SELECT c.c_mktsegment AS segment, c.c_custkey AS path_id, t.period, coalesce(m.inflow, 0.0::DOUBLE) AS inflow,
+          coalesce(m.outflow, 0.0::DOUBLE) AS outflow
+        FROM customer c CROSS JOIN (SELECT unnest(range(1, {PROJ.horizon + 1})) AS period) t
+        LEFT JOIN mon m ON m.o_custkey = c.c_custkey AND m.period = t.period),
 net AS (SELECT *, inflow - outflow AS net FROM flows),
 npv AS (SELECT segment, path_id, -{PROJ.capital} + sum(net / pow(1.01, period)) AS npv,
         {PROJ.capital} + sum(net) AS final_balance FROM net GROUP BY segment, path_id),

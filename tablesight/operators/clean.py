@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..functions.columns import adjusted_skew, col, normalize_missing
 from ..functions.ordered import fill_forward_backward
 from ..functions.quantiles import mode_map, quantile_map
-from .profile import profile_columns, quartile_map
+from .profile import missing_counts, profile_columns, quartile_map
 
 # Fixed values of the reference's cleaning rules.
 DROP_PCT = 60.0            # drop a column with at least this % missing
@@ -46,7 +46,7 @@ def dedupe_rows(df: DataFrame) -> DataFrame:
 def drop_sparse_columns(df: DataFrame, threshold_pct: float = DROP_PCT,
                         profile: DataFrame | None = None) -> DataFrame:
     """Drop columns whose missing share is at least ``threshold_pct``."""
-    prof = profile if profile is not None else profile_columns(df, with_samples=False)
+    prof = profile if profile is not None else missing_counts(df)
     drop = [r["column_name"] for r in prof.filter(F.col("pct_missing") >= threshold_pct)
             .select("column_name").collect()]
     return df.drop(*drop)

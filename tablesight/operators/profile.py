@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ TEXT_MIN_UNIQUE_SHARE = 0.5   # ... and more than half of the values distinct ..
 TEXT_MIN_AVG_LEN = 20         # ... and longer than this on average => free text
 DATE_SHARE = 0.8              # share of values that parse as a date => datetime
 SAMPLE_SIZE = 5               # sample values per column
+HASH_FROM = 48                # longer values are told apart by their SHA-256
 NO_MISSING_LABEL = "(sin nulos)"
 
 
@@ -53,61 +54,61 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return grouped.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
 
 
-def _long_cells(df: DataFrame, columns: Sequence[str] | None = None, with_num: bool = True) -> DataFrame:
-    columns = list(columns or df.columns)
-    fields = {f.name: f for f in df.schema.fields}
-    cells = []
-    for i, c in enumerate(columns):
-        dt = fields[c].dataType
-        parts = [F.lit(i).alias("ordinal"), F.lit(c).alias("column_name")]
-        if with_num:  # numeric sort key, only needed to order sample values
-            num = col(c).cast("double") if (is_numeric(dt) or isinstance(dt, T.BooleanType)) \
-                else F.lit(None).cast("double")
-            parts.append(num.alias("num"))
-        cells.append(F.struct(*parts, col(c).cast("string").alias("value")))
-    return df.select(F.inline(F.array(*cells)))
-
-
-def distinct_cells(df: DataFrame, columns: Sequence[str] | None = None, with_num: bool = True) -> DataFrame:
-    """(ordinal, column, [num,] value, cnt): distinct values per column with counts."""
-    df = normalize_missing(df)
-    keys = ["ordinal", "column_name"] + (["num"] if with_num else []) + ["value"]
-    return (_long_cells(df, columns, with_num)
-            .groupBy(*keys)
-            .agg(F.count(F.lit(1)).cast("long").alias("cnt")))
+def _sort_number(dt: T.DataType, c: str) -> Column:
+    return col(c).cast("double") if is_numeric(dt) or isinstance(dt, T.BooleanType) else F.lit(None).cast("double")
 
 
-def sample_values(df: DataFrame, k: int = SAMPLE_SIZE, columns: Sequence[str] | None = None,
-                  cells: DataFrame | None = None) -> DataFrame:
+def sample_values(df: DataFrame, k: int = SAMPLE_SIZE, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, sample_values): the ``k`` smallest distinct non-null values per column.
 
-    ``row_number() <= k`` lets Spark insert a map-side group limit, so at most
-    ``k`` rows per column leave each task.
-    """
-    cells = cells if cells is not None else distinct_cells(df, columns)
+    A ``dense_rank() <= k`` lets Spark limit every column's values in the map tasks, so
+    only the smallest ones are shuffled."""
+    df = normalize_missing(df)
+    columns = list(columns or df.columns)
+    types = {f.name: f.dataType for f in df.schema}
+    cells = df.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), _sort_number(types[c], c).alias("num"), col(c).cast("string").alias("value")) for c in columns])))
     w = Window.partitionBy("column_name").orderBy(F.col("num").asc_nulls_last(), F.col("value"))
-    top = (cells.filter(F.col("value").isNotNull())
-           .withColumn("rn", F.row_number().over(w))
-           .filter(F.col("rn") <= k))
+    top = (cells.filter(F.col("value").isNotNull()).withColumn("rn", F.dense_rank().over(w))
+           .filter(F.col("rn") <= k).select("column_name", "rn", "value").distinct())
     return top.groupBy("column_name").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rn", "value"))), lambda s: s["value"])
-        .alias("sample_values"))
+        F.transform(F.sort_array(F.collect_list(F.struct("rn", "value"))), lambda s: s["value"]).alias("sample_values"))
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, n_unique), exact. Long values are compared by their SHA-256, so whole
+    texts are not shuffled."""
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value")) for c in columns])))
+    key = F.when(F.length("value") <= HASH_FROM, F.concat(F.lit("="), F.col("value"))).otherwise(F.sha2("value", 256))
+    keys = cells.filter(F.col("value").isNotNull()).select("column_name", key.alias("key")).distinct()
+    return keys.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique"))
 
 
-def _approx_per_column(df: DataFrame, columns: list[str], rsd: float) -> DataFrame:
-    """Per-column statistics from one narrow aggregate (no explode, no shuffle of cells):
-    distinct counts are HyperLogLog estimates with relative error ``rsd``. Length and
-    date-parse share feed only the string-kind rules, so only string columns pay for them."""
+def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(ordinal, column_name, n_missing, n_non_null, pct_missing) by one narrow aggregate."""
+    df = normalize_missing(df)
+    return _narrow_stats(df, list(columns or df.columns), None).select(
+        "ordinal", "column_name", "n_missing", "n_non_null", _pct_missing().alias("pct_missing"))
+
+
+def _pct_missing() -> Column:
+    n_rows = F.col("n_missing") + F.col("n_non_null")
+    return F.when(n_rows > 0, F.round(F.col("n_missing") * 100.0 / n_rows, 2)).otherwise(F.lit(0.0))
+
+
+def _narrow_stats(df: DataFrame, columns: list[str], rsd: float | None) -> DataFrame:
+    """Per-column statistics from one narrow aggregate (no explode, no shuffle of cells).
+    Length and date-parse share feed only the string-kind rules, so only string columns
+    pay for them. With ``rsd`` the distinct counts are HyperLogLog estimates."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
     for c in columns:
         aggs += [F.count(F.when(col(c).isNull(), 1)).alias(f"{c}__m"), F.count(col(c)).alias(f"{c}__nn"),
-                 F.approx_count_distinct(col(c), rsd).alias(f"{c}__d")]
+                 (F.lit(None).cast("long") if rsd is None else F.approx_count_distinct(col(c), rsd)).alias(f"{c}__d")]
         if schema_kind(fields[c]) == "string":
             s = col(c).cast("string")
             aggs += [F.avg(F.length(s)).alias(f"{c}__len"),
-                     F.avg(F.when(col(c).isNotNull(), F.try_to_timestamp(s).isNotNull().cast("double")))
-                     .alias(f"{c}__dt")]
+                     F.avg(F.when(col(c).isNotNull(), F.try_to_timestamp(s).isNotNull().cast("double"))).alias(f"{c}__dt")]
         else:
             aggs += [F.lit(None).cast("double").alias(f"{c}__len"), F.lit(None).cast("double").alias(f"{c}__dt")]
     row = df.agg(*aggs)
@@ -120,33 +121,22 @@ def _approx_per_column(df: DataFrame, columns: list[str], rsd: float) -> DataFra
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None,
                     with_samples: bool = True, approx_rsd: float | None = None) -> DataFrame:
     """One row per column: ordinal, column, spark_type, kind, n_missing, pct_missing,
-    n_unique, avg_len, date_share (+ sample_values).
+    n_unique, n_non_null, avg_len, date_share (the last two for string columns), and
+    sample_values.
 
-    Exact by default (distinct (column, value) pairs with counts). ``approx_rsd``
-    (0.05 recommended; smaller values grow the sketches and cost more than the
-    exact pass at moderate sizes) switches to one narrow aggregate with HyperLogLog
-    distinct counts - for very wide or very large tables; sample values are then not
-    produced."""
+    One narrow aggregate gives all but the distinct counts; those are exact by default
+    (``distinct_counts``), and HyperLogLog estimates with ``approx_rsd`` (0.05
+    recommended) - for very wide or very large tables."""
     df = normalize_missing(df)
     columns = list(columns or df.columns)
     fields = {f.name: f for f in df.schema.fields}
-    if approx_rsd is not None:
-        with_samples = False
-        per_col = _approx_per_column(df, columns, approx_rsd)
-    else:
-        cells = distinct_cells(df, columns, with_num=with_samples)
-        nn = F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))
-        per_col = cells.groupBy("ordinal", "column_name").agg(
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).cast("long").alias("n_missing"),
-            F.count("value").cast("long").alias("n_unique"),
-            F.coalesce(nn, F.lit(0)).cast("long").alias("n_non_null"),
-            (F.sum(F.length("value") * F.col("cnt")) / nn).alias("avg_len"),
-            (F.sum(F.when(F.try_to_timestamp(F.col("value")).isNotNull(), F.col("cnt"))) / nn).alias("date_share"),
-        )
+    per_col = _narrow_stats(df, columns, approx_rsd)
+    if approx_rsd is None:
+        per_col = per_col.drop("n_unique").join(distinct_counts(df, columns), "column_name", "left").withColumn(
+            "n_unique", F.coalesce("n_unique", F.lit(0)).cast("long"))
     types = df.sparkSession.createDataFrame(
         [(c, fields[c].dataType.simpleString(), schema_kind(fields[c].dataType)) for c in columns],
         "column_name string, spark_type string, type_kind string")
-    n_rows = F.col("n_missing") + F.col("n_non_null")
     kind = (F.when(F.col("n_non_null") == 0, F.lit("text"))
             .when(F.col("type_kind") != "string", F.col("type_kind"))
             .when(F.coalesce(F.col("date_share"), F.lit(0.0)) > DATE_SHARE, F.lit("datetime"))
@@ -155,12 +145,10 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None,
                   & (F.col("avg_len") > TEXT_MIN_AVG_LEN), F.lit("text"))
             .otherwise(F.lit("categorical")))
     out = (per_col.join(F.broadcast(types), "column_name")
-           .select("ordinal", "column_name", "spark_type", kind.alias("kind"), "n_missing",
-                   F.when(n_rows > 0, F.round(F.col("n_missing") * 100.0 / n_rows, 2))
-                   .otherwise(F.lit(0.0)).alias("pct_missing"),
+           .select("ordinal", "column_name", "spark_type", kind.alias("kind"), "n_missing", _pct_missing().alias("pct_missing"),
                    "n_unique", "n_non_null", "avg_len", "date_share"))
     if with_samples:
-        out = out.join(sample_values(df, cells=cells), "column_name", "left")
+        out = out.join(sample_values(df, columns=columns), "column_name", "left")
     return out
 
 

@@ -86,16 +86,19 @@ def q_kind_counts(spark, sf):
 SELECT column_name, pct_missing, CAST(row_number() OVER (ORDER BY pct_missing DESC, ordinal) AS BIGINT) AS rank
 FROM ranked""")
 def q_missing_ranking(spark, sf):
-    prof = P.profile_columns(dirty_events(spark, sf), with_samples=False)
-    return round_doubles(P.missing_ranking(prof))
+    return round_doubles(P.missing_ranking(P.missing_counts(dirty_events(spark, sf))))
+
+
+_SAMPLE_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 
-_SAMPLE_COLS = ["event_id", "user_id", "event_type", "value", "props"]
+# Spark prints a timestamp without trailing zeros of the fraction.
+_TS_TEXT = "regexp_replace(regexp_replace(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0+$', ''), '[.]$', '')"
 
 
 def _sample_sql() -> str:
     parts = [
-        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS v, row_number() OVER (ORDER BY {c}) AS rn "
+        f"SELECT '{c}' AS column_name, {_TS_TEXT if c == 'ts' else f'CAST({c} AS VARCHAR)'} AS v, row_number() OVER (ORDER BY {c}) AS rn "
         f"FROM (SELECT DISTINCT {c} FROM src WHERE {c} IS NOT NULL)" for c in _SAMPLE_COLS]
     return (f"WITH src AS ({DIRTY_EVENTS_SQL}) SELECT column_name, string_agg(v, '|' ORDER BY rn) AS samples "
             f"FROM ({' UNION ALL '.join(parts)}) WHERE rn <= 5 GROUP BY column_name")

@@ -37,7 +37,11 @@ def _sort_key(df: DataFrame, name: str) -> Column:
         return F.unix_micros(col(name)).cast("double")
     if isinstance(dt, T.BooleanType):
         return col(name).cast("double")
-    raise TypeError(f"range bucketing needs a numeric or datetime first key, got {dt}")
+    if isinstance(dt, T.StringType):
+        # the first six bytes as a number: it never falls where the string rises
+        head = F.hex(F.substring(col(name).cast("binary"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    raise TypeError(f"range bucketing needs a numeric, datetime or string first key, got {dt}")
 
 
 def default_buckets(df: DataFrame) -> int:

@@ -76,7 +76,6 @@ class CleaningPlan:
     clip: dict[str, tuple[float, float, int]] = field(default_factory=dict)
     order_by: list[str] | None = None
     text_fill: str = TEXT_FILL
-    datetime_parse: list[str] = field(default_factory=list)
 
     # ------------------------------------------------------------------ fit
     @classmethod
@@ -183,22 +182,22 @@ class CleaningPlan:
         exprs = []
         ffill = []
         for c in df.columns:
+            # a string column of dates becomes a timestamp with or without gaps
+            dates = self.kinds.get(c) == "datetime" and isinstance(fields[c], T.StringType)
             if c in self.impute and self.impute[c][0] == METHOD_FFILL:
-                if isinstance(fields[c], T.StringType):
-                    exprs.append(F.try_to_timestamp(col(c)).alias(c))
-                else:
-                    exprs.append(col(c))
+                exprs.append(F.try_to_timestamp(col(c)).alias(c) if dates else col(c))
                 ffill.append(c)
+            elif dates:
+                exprs.append(F.try_to_timestamp(col(c)).alias(c))
             elif c in self.impute:
                 exprs.append(self._impute_expr(c, fields[c]))
             else:
                 exprs.append(col(c))
         out = df.select(*exprs)
         if ffill:
-            order = self.order_by or [c for c in out.columns if c not in ffill][:1]
-            if not order:
-                raise ValueError("forward fill needs an order_by column")
-            out = fill_forward_backward(out, ffill, order)
+            if not self.order_by:
+                raise ValueError(f"order_by is needed to fill the gaps of {', '.join(ffill)}: rows have no order of their own")
+            out = fill_forward_backward(out, ffill, self.order_by)
             out = out.select(*[col(c) for c in df.columns])
         return out
 

@@ -91,3 +91,22 @@ def test_fixed_text_rounds_as_python_prints(spark):
     for d in (0, 1, 2, 4):
         got = [r[0] for r in df.select(fixed_text(F.col("x"), d)).collect()]
         assert got == [f"{x:.{d}f}" for x in xs]
+
+
+def test_string_order_key_and_date_strings(spark):
+    import datetime
+
+    import pytest
+    from tablesight.operators.clean import CleaningPlan
+    day = lambda i: None if i % 5 == 2 else f"2024-01-{i + 1:02d}"
+    rows = [(f"id{i:03d}", day(i), f"2023-02-{i % 28 + 1:02d}", float(i)) for i in range(25)]
+    df = spark.createDataFrame(rows, "id string, gaps string, full string, x double").repartition(4)
+    plan = CleaningPlan.fit(df, order_by=["id"])
+    out = {r["id"]: r for r in plan.transform(df).collect()}
+    want = None
+    for i in range(25):
+        want = day(i) or want
+        assert out[f"id{i:03d}"]["gaps"] == datetime.datetime.fromisoformat(want)
+        assert out[f"id{i:03d}"]["full"] == datetime.datetime.fromisoformat(rows[i][2])
+    with pytest.raises(ValueError, match="order_by"):
+        CleaningPlan.fit(df).transform(df)

@@ -72,6 +72,15 @@ def route_arcs(routes: DataFrame, delayed: str = "delayed") -> DataFrame:
         F.when(F.col("n_delayed") > 0, F.lit(COLOR_DELAYED)).otherwise(F.lit(COLOR_ON_TIME)).alias("status"))
 
 
+def route_arc_rows(routes: DataFrame, delayed: str = "delayed", keep: Sequence[str] = ()) -> DataFrame:
+    """M5: one arc per route row, from the centroid to the row's place, with its own status."""
+    o = route_centroid(routes).first()  # the origin is one point
+    return routes.select(
+        *[col(k) for k in keep], F.lit(o["origin_lat"]).cast("double").alias("from_lat"),
+        F.lit(o["origin_lon"]).cast("double").alias("from_lon"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"), "destino",
+        F.when(F.col(delayed), F.lit(COLOR_DELAYED)).otherwise(F.lit(COLOR_ON_TIME)).alias("status"))
+
+
 def point_layer(df: DataFrame, lat: str, lon: str, keep: Sequence[str] = ()) -> DataFrame:
     """M6: rows with both real coordinates, plus the mean centre on every row."""
     pts = df.filter(col(lat).isNotNull() & col(lon).isNotNull()).select(

@@ -76,6 +76,14 @@ def q_route_arcs(spark, sf):
     return round_doubles(L.route_arcs(_routes(spark, sf)))
 
 
+@register("route_arc_rows", _ROUTES_SQL + """,
+o AS (SELECT avg(lat) AS origin_lat, avg(lon) AS origin_lon FROM r)
+SELECT round(origin_lat, 6) AS from_lat, round(origin_lon, 6) AS from_lon, round(lat, 6) AS to_lat, round(lon, 6) AS to_lon, destino,
+       CASE WHEN delayed THEN 'retrasado' ELSE 'a_tiempo' END AS status FROM r, o""")
+def q_route_arc_rows(spark, sf):
+    return round_doubles(L.route_arc_rows(_routes(spark, sf)))
+
+
 _POINTS_SQL = ("SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL "
                "ELSE c_nationkey * 3.0 - 40 + (c_custkey % 10) * 0.1 END AS latitud, "
                "c_nationkey * 7.0 - 90 AS longitud FROM customer")

@@ -72,3 +72,15 @@ def test_whatif_monotone_and_quadrants_equal_clusters(spark):
     seg = df.withColumn("cluster", (F.col("rid") % 4).cast("int"))
     q = N.bcg_quadrants(seg, "cluster", "ingreso", "otra")
     assert q.count() == 4
+
+
+def test_scenarios_with_unknown_columns_bad_values_and_no_model(spark):
+    base = spark.createDataFrame([(1.5, "a", 3.0)], "x double, s string, y double")
+    sc = spark.createDataFrame([("only unknown", "nope", "1"), ("mixed", "x", "9"), ("mixed", "y", "not a number")],
+                               "scenario string, column_name string, value string")
+    rows = {r["scenario"]: (r["x"], r["s"], r["y"]) for r in N.scenario_rows(base, sc).collect()}
+    assert rows == {"only unknown": (1.5, "a", 3.0), "mixed": (9.0, "a", 3.0)}
+    bad = {(r["scenario"], r["reason"]) for r in N.bad_overrides(base, sc).collect()}
+    assert bad == {("only unknown", "column"), ("mixed", "value")}
+    assert {r["status"] for r in N.score_scenarios(None, None, N.scenario_rows(base, sc)).collect()} == {"unavailable"}
+    assert N.quadrant_axes(base, "y") == ("x", "x")

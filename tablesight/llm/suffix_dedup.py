@@ -42,12 +42,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, frames, text_or_empty
+from .common import cut, frames, stored, text_or_empty
 from .suffix_sort import deep_shallow_sort
 
 GRAM = 32
-#: Classes of one bucket that a task gathers and sorts; larger buckets are counted by windows.
-BUCKET = 1_000
+#: Classes of one bucket that a task gathers and sorts (its two matrices of common lengths
+#: have 32 MB each); larger buckets are counted by windows.
+BUCKET = 4_000
 #: Windows of a text scanned at a time.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -241,10 +242,10 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("rid"), text_or_empty(text_col).alias("text")).filter(F.octet_length("text") >= min_bytes).withColumn("tk", F.xxhash64("text"))
     # the scan is cheap and its rows are many: both uses of it run it, rather than storing it
     found = texts.select("tk", "text").mapInPandas(_find_anchors(min_bytes), "h long, run long, tk long, place long")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    often = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     # grouped by the run, which stands for its gram too: a very common gram is one key of the join only
-    occ = cut(found.join(often, "h").groupBy("run", "tk", "place").agg(F.count(F.lit(1)).alias("n"), F.first("h").alias("h")))
-    classes = cut(occ.groupBy("run").agg(F.sum("n").alias("n"), F.min(F.struct("tk", "place")).alias("one"), F.first("h").alias("h")))
+    occ = stored(found.join(often, "h").groupBy("run", "tk", "place").agg(F.count(F.lit(1)).alias("n"), F.first("h").alias("h")))
+    classes = stored(occ.groupBy("run").agg(F.sum("n").alias("n"), F.min(F.struct("tk", "place")).alias("one"), F.first("h").alias("h")))
     known = classes.filter("n > 1").select("run")
     start, more = F.shiftright("place", 24), F.col("place").bitwiseAND(4095)
     spans = occ.join(known, "run").select("tk", start.alias("s"), (start + more + min_bytes).alias("e"))

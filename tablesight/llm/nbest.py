@@ -26,7 +26,7 @@ import functools
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pandas as pd
@@ -36,15 +36,18 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 SPACE = "▁"
-MEMO = 400_000
+MEMO = 300_000
 LONG_WORD = 64
 #: What a byte piece scores below the lowest ordinary piece.
 BYTE_LOSS = 10.0
 #: Pieces scored at or below this are not ordinary ones (models mark runs of spaces so).
 NEVER = -1e8
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+_SHIFT = np.uint64(43)
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 Segmentation = tuple[float, tuple[int, ...]]
+Best = tuple[float, tuple[int, ...], float]
 
 
 class PieceLattice:
@@ -64,9 +67,18 @@ class PieceLattice:
         self.edges = {self.pieces[i]: (i, m.get_score(i)) for i in plain}
         self.byte_score = min((s for _, s in self.edges.values() if s > NEVER), default=0.0) - BYTE_LOSS
         self.unknown = m.unk_id()
+        self._byte_of = {i: b for b, i in self.bytes.items()}
         #: Every beginning of a piece; with (id, score) where it is a piece itself.
         self.trie: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.edges for k in range(1, len(p) + 1)}
         self.trie.update(self.edges)
+        with np.errstate(over="ignore"):
+            base, size = 0x9E3779B97F4A7C15, 4096 * LONG_WORD + 1
+            self._up = np.cumprod(np.r_[1, np.full(size, base, np.uint64)].astype(np.uint64), dtype=np.uint64)
+            self._down = np.cumprod(np.r_[1, np.full(size, pow(base, -1, 1 << 64), np.uint64)].astype(np.uint64), dtype=np.uint64)
+        self._piece_tables()
+        self._single = {p for p in self.edges if len(p) == 1}
+        self._young: dict[str, Best] = {}
+        self._old: dict[str, Best] = {}
         self._memo: dict[str, list[Segmentation]] = {}
         self._memo_n = 0
 
@@ -134,6 +146,130 @@ class PieceLattice:
             self._memo[word] = out
         return out
 
+    def _piece_tables(self) -> None:
+        """Hashes of the pieces in a table by their top bits; pieces whose slot is taken
+        are kept aside, sorted."""
+        by_length: dict[int, list[str]] = {}
+        for p in self.edges:
+            by_length.setdefault(len(p), []).append(p)
+        self._lengths = sorted(by_length)
+        hashes, pieces = [], []
+        for n in self._lengths:
+            code = np.frombuffer("".join(by_length[n]).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.uint64) + np.uint64(1)
+            hashes.append(((code * self._up[:n]).sum(axis=1, dtype=np.uint64) + np.uint64(n)) * _SPREAD)
+            pieces += by_length[n]
+        h = np.concatenate(hashes)
+        if len(np.unique(h)) < len(h):
+            raise ValueError("two pieces have one hash")
+        self._hash = h
+        self._ids = np.array([self.edges[p][0] for p in pieces])
+        self._scores = np.array([self.edges[p][1] for p in pieces])
+        slot = (h >> _SHIFT).astype(np.int64)
+        self._slots = np.full(1 << (64 - int(_SHIFT)), -1, np.int32)
+        self._slots[slot] = np.arange(len(h))
+        aside = np.nonzero(self._slots[slot] != np.arange(len(h)))[0]
+        self._aside = aside[np.argsort(h[aside])]
+
+    def _look_up(self, h: np.ndarray) -> np.ndarray:
+        """Index of the piece with each hash, -1 where there is none."""
+        found = self._slots[(h >> _SHIFT).astype(np.int64)]
+        wrong = np.nonzero((found >= 0) & (self._hash[found] != h))[0]
+        if len(wrong):
+            rest = self._hash[self._aside]
+            at = np.minimum(np.searchsorted(rest, h[wrong]), max(0, len(rest) - 1))
+            found[wrong] = np.where(rest[at] == h[wrong], self._aside[at], -1) if len(rest) else -1
+        return found
+
+    def best_words(self, words: list[str]) -> dict[str, Best]:
+        """(score, ids, loss of the second best) of every word, all lattices together.
+
+        Words with a character that is no piece, very long ones, and those whose best
+        segmentation has an equal go through the search for single words."""
+        single = self._single
+        plain = [w for w in words if len(w) <= LONG_WORD and single.issuperset(w)]
+        out: dict[str, Best] = {}
+        for i in range(0, len(plain), 4096):
+            out.update(self._best_batch(plain[i:i + 4096]))
+        for w in words:
+            if w not in out:
+                found = self.word_nbest(w, 2)
+                out[w] = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
+        return out
+
+    def _best_batch(self, words: list[str]) -> dict[str, Best]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.r_[0, np.cumsum(lengths)]
+        code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+        word = np.repeat(np.arange(len(words)), lengths)
+        n = len(code)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(code * self._up[:n], out=sums[1:])
+        starts, lengths_of, pieces = [], [], []
+        for k in self._lengths:
+            if k > n:
+                break
+            found = self._look_up(((sums[k:] - sums[:-k]) * self._down[:n - k + 1] + np.uint64(k)) * _SPREAD)
+            hit = np.nonzero((found >= 0) & (word[k - 1:] == word[:n - k + 1]))[0]
+            starts.append(hit)
+            lengths_of.append(np.full(len(hit), k))
+            pieces.append(found[hit])
+        src, piece = np.concatenate(starts), np.concatenate(pieces)
+        dst, ids, score = src + np.concatenate(lengths_of), self._ids[piece], self._scores[piece]
+        of = word[src]
+        # every word has a node before each character and one after its last
+        a, b = src + of, dst + of
+        low = np.full(n + len(words), -np.inf)
+        forward, backward = low.copy(), low.copy()
+        forward[first[:-1] + np.arange(len(words))] = 0.0
+        end_node = first[1:] + np.arange(len(words))
+        backward[end_node] = 0.0
+        via = np.zeros(n + len(words), np.int64)
+        place = dst - first[of]
+        order = np.argsort(place, kind="stable")
+        for e in np.split(order, np.nonzero(np.diff(place[order]))[0] + 1):
+            reach = forward[a[e]] + score[e]
+            np.maximum.at(forward, b[e], reach)
+            top = reach == forward[b[e]]
+            via[b[e][top]] = e[top]
+        place = src - first[of]
+        order = np.argsort(-place, kind="stable")
+        for e in np.split(order, np.nonzero(np.diff(place[order]))[0] + 1):
+            np.maximum.at(backward, a[e], score[e] + backward[b[e]])
+        best = forward[end_node]
+        on = np.zeros(len(src), bool)
+        steps, at, open_ = [], end_node.copy(), np.arange(len(words))
+        while len(open_):
+            e = via[at[open_]]
+            on[e] = True
+            steps.append((open_, ids[e]))
+            at[open_] = a[e]
+            open_ = open_[src[e] > first[open_]]
+        second = np.full(len(words), -np.inf)
+        np.maximum.at(second, of[~on], (forward[a] + score + backward[b])[~on])
+        owner = np.concatenate([w for w, _ in steps[::-1]])
+        path = np.concatenate([i for _, i in steps[::-1]])
+        order = np.argsort(owner, kind="stable")
+        path, cuts = path[order].tolist(), np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))].tolist()
+        loss = best - second
+        return {w: (s, tuple(path[cuts[i]:cuts[i + 1]]), x)
+                for i, (w, s, x) in enumerate(zip(words, best.tolist(), loss.tolist())) if x > 0}
+
+    def best_of(self, words: set[str]) -> dict[str, Best]:
+        """``best_words`` with a memo of two generations: what is used stays."""
+        if len(self._young) >= MEMO:
+            self._old, self._young = self._young, {}
+        young, old, new = self._young, self._old, []
+        for w in words:
+            if w not in young:
+                got = old.get(w)
+                if got is None:
+                    new.append(w)
+                else:
+                    young[w] = got
+        if new:
+            young.update(self.best_words(new))
+        return young
+
     def nbest(self, normal: str, n: int) -> list[Segmentation]:
         """The ``n`` best segmentations of a normalised text."""
         words = [self.word_nbest(w, n) for w in _WORD.findall(normal)]
@@ -152,16 +288,12 @@ class PieceLattice:
             out.append((total - loss, tuple(x for i, w in enumerate(words) for x in w[pick.get(i, 0)][1])))
         return out[:n]
 
-    def best_ids(self, normal: str) -> list[int]:
-        ids: list[int] = []
-        for w in _WORD.findall(normal):
-            ids += self.word_nbest(w, 2)[0][1]
-        return ids
-
     def decode(self, ids) -> str:
         """The normalised text of a segmentation (with space marks)."""
+        back = self._byte_of
+        if back.keys().isdisjoint(ids):
+            return "".join([self.pieces[i] for i in ids])
         out, raw = [], bytearray()
-        back = {i: b for b, i in self.bytes.items()}
         for i in ids:
             if i in back:
                 raw.append(back[i])
@@ -225,19 +357,22 @@ def segmentation_digest(docs: DataFrame, model_file: str, n: int = 3, text_col:
         pl = lattice(model_file)
         for s in batches:
             out = []
-            for text in s:
-                normal = pl.normalized(text)
-                words = [pl.word_nbest(w, n) for w in _WORD.findall(normal)]
-                total, ids = 0.0, []
-                for w in words:
-                    total += w[0][0]
-                    ids += w[0][1]
-                losses = heapq.nsmallest(n - 1, (w[0][0] - w[1][0] for w in words if len(w) > 1))
-                scores = [total]
-                if losses:
-                    scores += _small_sums(words, losses[-1], n, total)
-                arr = np.array(ids, dtype="<i4")
-                out.append((len(ids), scores, zlib.crc32(arr.tobytes()), pl.decode(ids) == normal))
+            for at in range(0, len(s), 256):
+                texts = [pl.normalized(t) for t in s.iloc[at:at + 256]]
+                split = [_WORD.findall(t) for t in texts]
+                best = pl.best_of({w for words in split for w in words})
+                for normal, words in zip(texts, split):
+                    found = [best[w] for w in words]
+                    ids = list(chain.from_iterable([e[1] for e in found]))
+                    losses = [e[2] for e in found]
+                    total = float(sum([e[0] for e in found]))
+                    scores = [total]
+                    if n > 1 and losses and min(losses) < float("inf"):
+                        pick = heapq.nsmallest(n - 1, range(len(words)), key=losses.__getitem__)
+                        near = [pl.word_nbest(words[i], n) for i in pick if losses[i] < float("inf")]
+                        scores += _small_sums(near, n, total)
+                    arr = np.array(ids, dtype="<i4")
+                    out.append((len(ids), scores, zlib.crc32(arr.tobytes()), pl.decode(ids) == normal))
             yield pd.DataFrame(out, columns=["n_pieces", "scores", "ids_crc32", "round_trip"])
 
     kind = "n_pieces long, scores array<double>, ids_crc32 long, round_trip boolean"
@@ -245,9 +380,8 @@ def segmentation_digest(docs: DataFrame, model_file: str, n: int = 3, text_col:
     return got.select(*docs.columns, *[F.col(f"__r.{c}").alias(c) for c in ("n_pieces", "scores", "ids_crc32", "round_trip")])
 
 
-def _small_sums(words: list[list[Segmentation]], most: float, n: int, total: float) -> list[float]:
-    """Scores of the second to n-th best text: sums with one choice from each of the words
-    whose second choice costs no more than ``most``."""
-    near = [w for w in words if len(w) > 1 and w[0][0] - w[1][0] <= most][:n - 1]
+def _small_sums(near: list[list[Segmentation]], n: int, total: float) -> list[float]:
+    """Scores of the second to n-th best text: sums with one choice from each of the
+    words whose second choice costs least."""
     losses = sorted(sum(c) for c in product(*[[w[0][0] - x[0] for x in w] for w in near]))
     return [total - loss for loss in losses[1:n]]

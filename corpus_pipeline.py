@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesight.llm.common import checkpoint_dir, table, text_or_empty
+from tablesight.llm.common import checkpoint_dir, small_batches, table, text_or_empty
 from tablesight.llm.minhash import class_id, near_duplicates
 from tablesight.llm.packing import pack_documents
 from tablesight.llm.quality import fit_quality
@@ -52,6 +52,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id.
     Of repeated rows with that id, one per text class stays."""
+    small_batches(spark)
     found = near_duplicates(docs, shingle=5, num=80, den=100)
     gone = found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
@@ -67,6 +68,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages that occur more than once (every occurrence). A character goes if all
     its bytes do. Documents of which nothing is left go."""
+    small_batches(spark)
     spans = repeated_spans(docs, PASSAGE_BYTES).select(F.col("tk").alias("__tk"), F.col("spans").alias("__spans"))
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -98,6 +100,7 @@ def _whole_chars(raw: bytes, s: int, e: int) -> tuple[int, int]:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack_documents(docs, **bpe_files(), capacity=1024, end_id=2, with_ids=False)
 
 

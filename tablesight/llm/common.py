@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -12,15 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch to Python workers; texts can be long.
-BATCH_ROWS = 1_024
+#: Rows and bytes of an Arrow batch to Python workers; texts can be long.
+BATCH_ROWS, BATCH_BYTES = 1_024, "8m"
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once, unless the session sets a bound itself."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10_000:  # Spark's default
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, default, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)),
+                                ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(key, None) == default:  # Spark's default
+            spark.conf.set(key, bound)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,3 +86,15 @@ def frames(it: Iterator[pd.DataFrame], rows: int = 128) -> Iterator[pd.DataFrame
     for pdf in it:
         for i in range(0, len(pdf), rows):
             yield pdf.iloc[i:i + rows]
+    give_back()
+
+
+def give_back() -> None:
+    """At the end of a task: return freed memory to the system. Python workers serve many
+    tasks, and their allocators would keep the largest amount that any task needed."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

@@ -40,12 +40,13 @@ from .components import connected_components, unite
 #: Minhashes in one key of a collection; a table key has twice as many.
 HALF = 2
 MISS = 3e-5
-#: Expected sets in one chunk of a star.
-CHUNK = 256
+#: Expected sets in one chunk of a star, and expected shingles over all its sets.
+CHUNK_SETS = 256
+CHUNK_SHINGLES = 1 << 17
 #: Pairs that a shingle stands for above which it is counted by a matrix product.
 DENSE = 256
 #: Words kept in a worker's memo of word -> hash.
-MEMO = 500_000
+MEMO = 50_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,10 +189,14 @@ def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     # every left occurrence against the run of right occurrences of the same shingle
     run = np.searchsorted(cr[orr], cl[ol], "left")
     n = dr[cl[ol]]
-    for i in range(0, len(ol), 100_000):
-        k = n[i:i + 100_000]
-        first = np.repeat(run[i:i + 100_000] - np.r_[0, np.cumsum(k)[:-1]], k)
-        np.add.at(out, (np.repeat(rl[ol[i:i + 100_000]], k), rr[orr[first + np.arange(k.sum())]]), 1)
+    upto = np.r_[0, np.cumsum(n)]
+    i = 0
+    while i < len(ol):  # about a million pairs at a time
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + 1_000_000)))
+        k = n[i:j]
+        first = np.repeat(run[i:j] - (upto[i:min(j, len(ol))] - upto[i]), k)
+        np.add.at(out, (np.repeat(rl[ol[i:j]], k), rr[orr[first + np.arange(k.sum())]]), 1)
+        i = j
     return out
 
 
@@ -223,14 +228,17 @@ def links_across(stars: DataFrame, comps: DataFrame, sets: DataFrame, num: int,
 
     The members outside the star's largest component are compared with all its members,
     in pairs of chunks of a bounded expected size; pairs do not leave the tasks."""
-    members = stars.select(F.col("a").alias("c"), F.col("b").alias("cid")).unionByName(
-        stars.select(F.col("a").alias("c"), F.col("a").alias("cid")).distinct())
+    members = stars.select(F.col("a").alias("c"), F.col("b").alias("cid"), F.col("nb").alias("n")).unionByName(
+        stars.select(F.col("a").alias("c"), F.col("a").alias("cid"), F.col("na").alias("n")).distinct())
     place = comps.select(F.col("node").alias("__node"), F.col("component").alias("__comp"))
-    members = cut(members.join(place, F.col("cid") == F.col("__node"), "left").select("c", "cid", F.coalesce("__comp", "cid").alias("comp")))
-    counts = members.groupBy("c", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = counts.groupBy("c").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("k"))
-    mixed = mixed.filter("k > 1").select("c", "main", F.ceil((F.col("m") - F.col("most")) / CHUNK).cast("int").alias("ki"), F.ceil(F.col("m") / CHUNK).cast("int").alias("kj"))
-    rows = members.join(mixed, "c").join(sets.select("cid", "members"), "cid")
+    members = cut(members.join(place, F.col("cid") == F.col("__node"), "left").select("c", "cid", "n", F.coalesce("__comp", "cid").alias("comp")))
+    counts = members.groupBy("c", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    most = F.max(F.struct("m", "s", "comp"))
+    mixed = counts.groupBy("c").agg(most.alias("main"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    chunks = lambda m, s: F.greatest(F.ceil(m / CHUNK_SETS), F.ceil(s / CHUNK_SHINGLES)).cast("int")
+    mixed = mixed.select("c", F.col("main.comp").alias("main"), chunks(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("ki"),
+                         chunks(F.col("m"), F.col("s")).alias("kj"))
+    rows = members.drop("n").join(mixed, "c").join(sets.select("cid", "members"), "cid")
     h = F.xxhash64("cid")
     few = rows.filter("comp <> main").select("c", F.pmod(h, F.col("ki")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("kj") - 1)).alias("j"),
                                              F.lit(True).alias("few"), "cid", "comp", "members")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import give_back, text_or_empty
 from .learning import fit_logistic, labelled_sample, sigmoid
 
 #: Sizes of the dictionaries in bytes: a small one holds the most frequent strings, a
@@ -89,6 +89,8 @@ class QualityModel:
             score = model.scorer()
             for s in batches:
                 yield pd.Series(score(s.tolist()))
+            del score
+            give_back()
 
         return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(text)
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import give_back, text_or_empty
 from .learning import labelled_sample, sigmoid
 
 #: Identity terms by kind; a term is swapped for another one of its kind and language.
@@ -46,7 +46,7 @@ PREFIXES = (3, 4, 5, 6)
 #: Standard errors by which the classes must differ for a feature to be used.
 LEAST_Z = 4.0
 #: Words kept in a worker's memo of word -> features.
-MEMO = 400_000
+MEMO = 100_000
 
 
 def word_features(word: str) -> list[str]:
@@ -107,11 +107,13 @@ class ToxicityModel:
             score = model.scorer()
             for s in batches:
                 yield pd.Series(score(s.tolist()))
+            del score
+            give_back()
 
         return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(text)
 
 
-def _pick_features(bags: list[set[str]], y: np.ndarray, most: int, least_docs: int) -> list[str]:
+def _pick_features(bags: list[list[str]], y: np.ndarray, most: int, least_docs: int) -> list[str]:
     """Features whose document share differs most between the classes, in standard errors."""
     pos = Counter()
     for bag, t in zip(bags, y):
@@ -142,12 +144,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", boun
     prior = float((weight * y).sum() / weight.sum())
     if rows["y"].nunique() < 2:
         return ToxicityModel(prior=prior)
-    bags = [words_of(t) for t in rows["text"]]
-    names = _pick_features(bags, y, features, least_docs=2 if len(rows) < 500 else 3)
+    # a list of words per text, each word one shared object
+    shared: dict[str, str] = {}
+    bags = [[shared.setdefault(w, w) for w in words_of(t)] for t in rows["text"]]
+    del rows, shared
+    names = _pick_features(bags, y, features, least_docs=2 if len(bags) < 500 else 3)
     names += [f for f in (f"w:{t}" for kind in IDENTITY_TERMS for t in kind) if f not in set(names)]
     index = {f: i for i, f in enumerate(names)}
 
-    def matrix(bags: list[set[str]]) -> np.ndarray:
+    def matrix(bags: Sequence[Iterable[str]]) -> np.ndarray:
         x = np.zeros((len(bags), len(names) + 1), np.float32)
         x[:, 0] = 1
         for i, bag in enumerate(bags):
@@ -166,7 +171,7 @@ def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, delta: np.ndarray
              l2: float, steps: int) -> np.ndarray:
     """Accelerated gradient descent on: weighted log loss + l2 |w|^2 / 2 +
     swap_penalty * mean squared log-odds change under the swaps."""
-    x, delta = x.astype(np.float32), delta.astype(np.float32)
+    x, delta = x.astype(np.float32, copy=False), delta.astype(np.float32, copy=False)
     weight, y, one = weight.astype(np.float32), y.astype(np.float32), np.float32
     w = np.zeros(x.shape[1], np.float32)
     pen = np.full(len(w), l2, np.float32)

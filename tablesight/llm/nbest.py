@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 SPACE = "▁"
-MEMO = 300_000
+MEMO = 400_000
 LONG_WORD = 64
 #: What a byte piece scores below the lowest ordinary piece.
 BYTE_LOSS = 10.0
@@ -47,7 +47,8 @@ _SHIFT = np.uint64(43)
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 Segmentation = tuple[float, tuple[int, ...]]
-Best = tuple[float, tuple[int, ...], float]
+#: Score, ids, loss of the second best, and whether the ids give the word back.
+Best = tuple[float, tuple[int, ...], float, bool]
 
 
 class PieceLattice:
@@ -181,7 +182,7 @@ class PieceLattice:
         return found
 
     def best_words(self, words: list[str]) -> dict[str, Best]:
-        """(score, ids, loss of the second best) of every word, all lattices together.
+        """(score, ids, loss of the second best, round trip) of every word, all lattices together.
 
         Words with a character that is no piece, very long ones, and those whose best
         segmentation has an equal go through the search for single words."""
@@ -193,7 +194,8 @@ class PieceLattice:
         for w in words:
             if w not in out:
                 found = self.word_nbest(w, 2)
-                out[w] = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
+                ids = found[0][1]
+                out[w] = (found[0][0], ids, found[0][0] - found[1][0] if len(found) > 1 else float("inf"), self.decode(ids) == w)
         return out
 
     def _best_batch(self, words: list[str]) -> dict[str, Best]:
@@ -251,10 +253,11 @@ class PieceLattice:
         order = np.argsort(owner, kind="stable")
         path, cuts = path[order].tolist(), np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))].tolist()
         loss = best - second
-        return {w: (s, tuple(path[cuts[i]:cuts[i + 1]]), x)
+        text = [self.pieces[i] for i in path]
+        return {w: (s, tuple(path[cuts[i]:cuts[i + 1]]), x, "".join(text[cuts[i]:cuts[i + 1]]) == w)
                 for i, (w, s, x) in enumerate(zip(words, best.tolist(), loss.tolist())) if x > 0}
 
-    def best_of(self, words: set[str]) -> dict[str, Best]:
+    def best_of(self, words: list[str]) -> dict[str, Best]:
         """``best_words`` with a memo of two generations: what is used stays."""
         if len(self._young) >= MEMO:
             self._old, self._young = self._young, {}
@@ -357,22 +360,29 @@ def segmentation_digest(docs: DataFrame, model_file: str, n: int = 3, text_col:
         pl = lattice(model_file)
         for s in batches:
             out = []
-            for at in range(0, len(s), 256):
-                texts = [pl.normalized(t) for t in s.iloc[at:at + 256]]
-                split = [_WORD.findall(t) for t in texts]
-                best = pl.best_of({w for words in split for w in words})
-                for normal, words in zip(texts, split):
-                    found = [best[w] for w in words]
-                    ids = list(chain.from_iterable([e[1] for e in found]))
-                    losses = [e[2] for e in found]
-                    total = float(sum([e[0] for e in found]))
-                    scores = [total]
-                    if n > 1 and losses and min(losses) < float("inf"):
-                        pick = heapq.nsmallest(n - 1, range(len(words)), key=losses.__getitem__)
-                        near = [pl.word_nbest(words[i], n) for i in pick if losses[i] < float("inf")]
-                        scores += _small_sums(near, n, total)
-                    arr = np.array(ids, dtype="<i4")
-                    out.append((len(ids), scores, zlib.crc32(arr.tobytes()), pl.decode(ids) == normal))
+            for at in range(0, len(s), 1024):
+                split = [_WORD.findall(pl.normalized(t)) for t in s.iloc[at:at + 1024]]
+                distinct = list({w for words in split for w in words})
+                known = pl.best_of(distinct)
+                found = [known[w] for w in distinct]
+                score, loss = np.array([e[0] for e in found]), np.array([e[2] for e in found])
+                size, whole = np.array([len(e[1]) for e in found], np.int64), np.array([e[3] for e in found], bool)
+                flat = np.fromiter(chain.from_iterable([e[1] for e in found]), "<i4")
+                start = np.cumsum(size) - size
+                index = dict(zip(distinct, range(len(distinct))))
+                every = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64)
+                ends = np.cumsum([len(words) for words in split])
+                for words, end in zip(split, ends.tolist()):
+                    if not words:
+                        out.append((0, [0.0], 0, True))
+                        continue
+                    w = every[end - len(words):end]
+                    total, cost = float(score[w].sum()), loss[w]
+                    pick = np.argpartition(cost, n - 2)[:n - 1] if 1 < n <= len(cost) else np.arange(len(cost) if n > 1 else 0)
+                    near = [pl.word_nbest(words[i], n) for i in pick.tolist() if cost[i] < np.inf]
+                    k = size[w]
+                    ids = flat[np.repeat(start[w] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+                    out.append((len(ids), [total, *(_small_sums(near, n, total) if near else [])], zlib.crc32(ids.tobytes()), bool(whole[w].all())))
             yield pd.DataFrame(out, columns=["n_pieces", "scores", "ids_crc32", "round_trip"])
 
     kind = "n_pieces long, scores array<double>, ids_crc32 long, round_trip boolean"

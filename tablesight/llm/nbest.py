@@ -1,11 +1,11 @@
 """N-best segmentation into SentencePiece pieces, and decoding.
 
 The lattice over a text has an edge for every vocabulary piece that occurs in it, with
-the piece's score; a character without a piece gets an edge of its byte pieces. Forward
-Viterbi gives every position the best score of reaching it from the start. That is an
-exact heuristic for A* search backward from the end: a partial suffix plus the Viterbi
-score of its start is the score of the best segmentation it can be part of, so full
-segmentations leave the queue best first, and the search stops after N.
+the piece's score; a character without a piece gets an edge of its byte pieces. From the
+end of a word to its start, every position keeps the N best segmentations of what follows
+it, ties included in their order, so no number of ties is too many and the work grows with
+the length of the word. Viterbi scores of many words at once tell the words whose best
+segmentation has no equal; only the others need their lists for the best ids.
 
 No piece of the vocabulary has the space mark after another character, or a line break
 beside others (checked when the model is read), so the lattice falls apart there: words are searched by
@@ -87,59 +87,48 @@ class PieceLattice:
         """The text as the model sees it: its own normalisation, spaces as marks."""
         return self.model.normalize(text)
 
-    def _lattice(self, word: str) -> tuple[list[list[tuple[int, int | tuple[int, ...], float]]], list[float]]:
-        """Edges by their end, as (start, id or ids, score), and the Viterbi score of every position."""
-        n, trie, low = len(word), self.trie, float("-inf")
-        ends: list[list] = [[] for _ in range(n + 1)]
-        best = [0.0] + [low] * n
-        for start in range(n):
-            here = best[start]
-            for end in range(start + 1, n + 1):
-                hit = trie.get(word[start:end], False)
-                if hit is False:
-                    break
-                if hit is not None:
-                    ends[end].append((start, *hit))
-                    if here + hit[1] > best[end]:
-                        best[end] = here + hit[1]
-            if trie.get(word[start]) is None:
-                raw = word[start].encode("utf-8", "replace")
-                ids = tuple(self.bytes.get(b, self.unknown) for b in raw) if self.bytes else (self.unknown,)
-                score = self.byte_score * len(ids)
-                ends[start + 1].append((start, ids, score))
-                if here + score > best[start + 1]:
-                    best[start + 1] = here + score
-        return ends, best
+    def _edges(self, word: str, start: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """The pieces that begin at ``start``, as (end, ids, score)."""
+        trie, out = self.trie, []
+        for end in range(start + 1, len(word) + 1):
+            hit = trie.get(word[start:end], False)
+            if hit is False:
+                break
+            if hit is not None:
+                out.append((end, (hit[0],), hit[1]))
+        if trie.get(word[start]) is None:
+            raw = word[start].encode("utf-8", "replace")
+            ids = tuple(self.bytes.get(b, self.unknown) for b in raw) if self.bytes else (self.unknown,)
+            out.append((start + 1, ids, self.byte_score * len(ids)))
+        return out
 
     def word_nbest(self, word: str, n: int) -> list[Segmentation]:
-        """The ``n`` best (score, ids) of a word, best first."""
+        """The ``n`` best (score, ids) of a word, best first.
+
+        Every position keeps the ``n`` best segmentations of the rest of the word. Pieces
+        that begin at one position differ in their first id, and segmentations with the
+        same piece there end in the same list, so (loss, pieces, first id, rank in that
+        list) orders them by (loss, pieces, ids) without comparing the ids themselves."""
         got = self._memo.get(word) if n == self._memo_n else None
         if got is not None:
             return got
-        ends, best = self._lattice(word)
-        push, pop = heapq.heappush, heapq.heappop
-        # (loss, pieces, serial, position, score of the suffix, the suffix as a linked list)
-        queue: list = [(-best[-1], 0, 0, len(word), 0.0, None)]
-        serial, found = 0, []
-        while queue:
-            f, count, _, at, suffix, link = pop(queue)
-            if len(found) >= n and f > found[n - 1][0]:
-                break
-            if at == 0:
-                ids: list[int] = []
-                while link is not None:
-                    piece, link = link
-                    ids += (piece,) if isinstance(piece, int) else piece
-                found.append((f, count, tuple(ids)))
-                if len(found) >= 64 * n:  # more ties than that are cut in the order of the search
-                    break
-                continue
-            for start, piece, score in ends[at]:
-                serial += 1
-                score += suffix
-                push(queue, (-(best[start] + score), count + (1 if isinstance(piece, int) else len(piece)), serial, start, score, (piece, link)))
-        found.sort()
-        out = [(-f, ids) for f, _, ids in found[:n]]
+        # (loss, pieces, first id, rank in the list at the end of the first piece, ids as a linked list)
+        rest: list[list[tuple]] = [[] for _ in word] + [[(0.0, 0, 0, 0, None)]]
+        far = self._lengths[-1]
+        for at in range(len(word) - 1, -1, -1):
+            here = [(x[0] - score, x[1] + len(ids), ids[0], rank, (ids, x[4]))
+                    for end, ids, score in self._edges(word, at) for rank, x in enumerate(rest[end])]
+            here.sort()
+            rest[at] = here[:n]
+            if at + far < len(rest):
+                rest[at + far] = []  # no piece from further left reaches it
+        out = []
+        for loss, _, _, _, link in rest[0]:
+            path: list[int] = []
+            while link is not None:
+                ids, link = link
+                path += ids
+            out.append((0.0 - loss, tuple(path)))
         if len(word) <= LONG_WORD:
             if n != self._memo_n or len(self._memo) >= MEMO:
                 self._memo.clear()
@@ -277,19 +266,27 @@ class PieceLattice:
         """The ``n`` best segmentations of a normalised text."""
         words = [self.word_nbest(w, n) for w in _WORD.findall(normal)]
         total = sum(w[0][0] for w in words)
-        # only the n - 1 words whose second choice costs least can differ from their best
-        second = heapq.nsmallest(n - 1, ((w[0][0] - w[1][0], i) for i, w in enumerate(words) if len(w) > 1))
-        changes = [((), 0.0)]
-        for _, i in second:
+        # a word whose second choice costs more than those of n - 1 others keeps its best
+        cost = [w[0][0] - w[1][0] if len(w) > 1 else float("inf") for w in words]
+        most = max(heapq.nsmallest(n - 1, cost), default=-1.0)
+        open_ = [i for i, x in enumerate(cost) if x <= most and x < float("inf")]
+        # (loss, pieces, ids of the first open word, rank in the list after it, choices as a linked list);
+        # no choice of a word is the beginning of another one, so this orders by the ids of the text
+        changes: list[tuple] = [(0.0, 0, (), 0, None)]
+        for i in reversed(open_):
             w = words[i]
-            grown = [(c + ((i, k),) if k else c, loss + w[0][0] - w[k][0]) for c, loss in changes for k in range(len(w))]
-            grown.sort(key=lambda x: (x[1], len(x[0]), x[0]))
+            grown = [(x[0] + (w[0][0] - score), x[1] + len(ids), ids, rank, (i, k, x[4]))
+                     for k, (score, ids) in enumerate(w) for rank, x in enumerate(changes)]
+            grown.sort()
             changes = grown[:n]
         out = []
-        for change, loss in changes:
-            pick = dict(change)
+        for loss, _, _, _, link in changes:
+            pick = {}
+            while link is not None:
+                i, k, link = link
+                pick[i] = k
             out.append((total - loss, tuple(x for i, w in enumerate(words) for x in w[pick.get(i, 0)][1])))
-        return out[:n]
+        return out
 
     def decode(self, ids) -> str:
         """The normalised text of a segmentation (with space marks)."""
@@ -315,14 +312,16 @@ def lattice(model_file: str) -> PieceLattice:
 
 def brute_nbest(pl: PieceLattice, word: str, n: int) -> list[Segmentation]:
     """All segmentations of a short word, sorted (for tests)."""
-    ends, _ = pl._lattice(word)
+    ends: list[list] = [[] for _ in range(len(word) + 1)]
+    for start in range(len(word)):
+        for end, ids, score in pl._edges(word, start):
+            ends[end].append((start, ids, score))
 
     @functools.lru_cache(maxsize=None)
     def upto(end: int) -> list[Segmentation]:
         if end == 0:
             return [(0.0, ())]
-        return [(s + score, ids + ((piece,) if isinstance(piece, int) else piece))
-                for start, piece, score in ends[end] for s, ids in upto(start)]
+        return [(s + score, ids + piece) for start, piece, score in ends[end] for s, ids in upto(start)]
 
     return sorted(upto(len(word)), key=lambda x: (-x[0], len(x[1]), x[1]))[:n]
 

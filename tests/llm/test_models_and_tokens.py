@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -125,6 +127,39 @@ def test_text_nbest_against_all_segmentations(lattice, text):
     assert [s for s, _ in got] == pytest.approx([s for s, _ in want])
 
 
+def prefix_nbest(pl, word, n):
+    """The n best prefixes of every length with all their ids: no cap on ties."""
+    best = [[(0.0, 0, ())]]
+    for end in range(1, len(word) + 1):
+        steps = [(s, (pl.edges[word[s:end]][0],), pl.edges[word[s:end]][1]) for s in range(end) if word[s:end] in pl.edges]
+        best.append(sorted((loss - score, k + 1, ids + piece) for s, piece, score in steps for loss, k, ids in best[s])[:n])
+    return [(-loss, ids) for loss, _, ids in best[-1]]
+
+
+@pytest.mark.parametrize("char", "-#")
+def test_tied_segmentations_of_rulers(lattice, char):
+    for size in range(41, 80, 2):
+        for n in (1, 2, 3):
+            assert lattice.word_nbest(char * size, n) == prefix_nbest(lattice, char * size, n)
+
+
+@pytest.mark.parametrize("text", ["▁the▁the", "▁in▁in▁a", "▁a▁the\n▁the"])
+def test_tied_texts(lattice, text):
+    assert lattice.nbest(text, 4) == nbest.brute_nbest(lattice, text, 4)
+
+
+def test_digest_of_a_ruler(docs_of, lattice):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    text = "a\n" + "-" * 63
+    *before, ruler = nbest._WORD.findall(lattice.normalized(text))
+    assert ruler == "-" * 63
+    want = sum((nbest.brute_nbest(lattice, w, 1)[0][1] for w in before), ()) + prefix_nbest(lattice, ruler, 1)[0][1]
+    docs = docs_of([(1, text)])
+    row = nbest.segmentation_digest(docs, path, 3).collect()[0]
+    assert row.ids_crc32 == zlib.crc32(np.array(want, "<i4").tobytes()) and row.n_pieces == len(want)
+    assert tuple(nbest.encode_nbest(docs, path, 3).collect()[0].segmentations[0].ids) == want
+
+
 def test_nbest_odd_rows(docs_of):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)

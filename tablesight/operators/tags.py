@@ -32,11 +32,10 @@ def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         prof = profile_columns(df, with_samples=False)
         types = {f.name: f.dataType for f in df.schema.fields}
-        tc = df.sparkSession.createDataFrame(
-            [(c, schema_kind(types[c])) for c in df.columns], "column_name string, type_class string")
-        parts.append(prof.join(F.broadcast(tc), "column_name").select(
+        tc = F.create_map(*[F.lit(x) for c in df.columns for x in (c, schema_kind(types[c]))])
+        parts.append(prof.select(
             F.lit(name).alias("table_name"), F.col("ordinal").cast("int").alias("ordinal"), "column_name",
-            "kind", "type_class", (F.col("n_missing") + F.col("n_non_null")).alias("n_rows"), "n_unique"))
+            "kind", tc[F.col("column_name")].alias("type_class"), (F.col("n_missing") + F.col("n_non_null")).alias("n_rows"), "n_unique"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -8,15 +8,36 @@ from ..operators import tags as TG
 from ..operators import vocabulary as V
 from .q_profile import _kind_sql
 from .registry import register
-from .tables import DERIVED_COLUMNS, derived, derived_duck, load
+from .tables import DERIVED_COLUMNS, TABLES, derived, derived_duck, load
 
-CATALOG_TABLES = {
-    **DERIVED_COLUMNS,
-    "events": [("event_id", "numeric"), ("ts", "datetime"), ("user_id", "numeric"),
-               ("event_type", "string"), ("value", "numeric"), ("props", "string")],
+# Column type classes of the given tables (for generated oracle SQL).
+TABLE_COLUMNS = {
+    "region": [("r_regionkey", "numeric"), ("r_name", "string")],
+    "nation": [("n_nationkey", "numeric"), ("n_name", "string"), ("n_regionkey", "numeric")],
     "customer": [("c_custkey", "numeric"), ("c_name", "string"), ("c_nationkey", "numeric"),
                  ("c_acctbal", "numeric"), ("c_mktsegment", "string")],
+    "supplier": [("s_suppkey", "numeric"), ("s_name", "string"), ("s_nationkey", "numeric"), ("s_acctbal", "numeric")],
+    "part": [("p_partkey", "numeric"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+             ("p_size", "numeric"), ("p_retailprice", "numeric")],
+    "orders": [("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "string"),
+               ("o_totalprice", "numeric"), ("o_orderdate", "datetime"), ("o_orderpriority", "string")],
+    "lineitem": [("l_orderkey", "numeric"), ("l_partkey", "numeric"), ("l_suppkey", "numeric"),
+                 ("l_linenumber", "numeric"), ("l_quantity", "numeric"), ("l_extendedprice", "numeric"),
+                 ("l_discount", "numeric"), ("l_tax", "numeric"), ("l_returnflag", "string"),
+                 ("l_linestatus", "string"), ("l_shipdate", "datetime")],
+    "events": [("event_id", "numeric"), ("ts", "datetime"), ("user_id", "numeric"),
+               ("event_type", "string"), ("value", "numeric"), ("props", "string")],
+    "documents": [("doc_id", "numeric"), ("text", "string"), ("lang", "string"), ("source", "string"),
+                  ("n_chars", "numeric")],
+    "embeddings": [("vec_id", "numeric"), ("embedding", "string"), ("label", "numeric")],
+    "pages": [("page_id", "numeric"), ("url", "string"), ("html", "string")],
+    "benchmark": [("item_id", "numeric"), ("text", "string")],
+    "labels": [("doc_id", "numeric"), ("quality", "numeric"), ("toxic", "numeric")],
+    "conversations": [("conv_id", "numeric"), ("turn", "numeric"), ("role", "string"), ("text", "string")],
 }
+CATALOG_TABLES = {**DERIVED_COLUMNS, **{t: TABLE_COLUMNS[t] for t in TABLES}}
+# Arrays are catalogued by their text, as in the profile.
+_AS_TEXT = {"embeddings": "SELECT * REPLACE (CAST(embedding AS VARCHAR) AS embedding) FROM embeddings"}
 
 
 def catalog(spark, sf):
@@ -57,7 +78,7 @@ def _catalog_sql() -> str:
     ctes = []
     parts = []
     for t, cols in CATALOG_TABLES.items():
-        src = f"({derived_duck(t)})" if t in DERIVED_COLUMNS else t
+        src = f"({derived_duck(t)})" if t in DERIVED_COLUMNS else f"({_AS_TEXT[t]})" if t in _AS_TEXT else t
         ctes.append(f"t_{t} AS (SELECT * FROM {src})")
         for i, (c, k) in enumerate(cols):
             tc = "string" if k == "string" else k
@@ -109,8 +130,8 @@ SELECT table_name, target_column, CAST(n_rows AS BIGINT) AS n_rows, task IS NOT
                  CASE WHEN task IS NOT NULL AND n_rows >= 40 THEN 'reinforcement' END) AS applicable
 FROM d""")
 def q_applicable_analyses(spark, sf):
-    cat = catalog(spark, sf)
-    return TG.applicable_analyses(cat, TG.suggest_target(cat, V.rules_frame(spark)))
+    # the targets need names only, so the profile of all tables is not planned again for them
+    return TG.applicable_analyses(catalog(spark, sf), TG.suggest_target(names(spark, sf), V.rules_frame(spark)))
 
 
 @register("domain_match", _catalog_sql() + """,

@@ -119,3 +119,13 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = segmentation_digest(docs, files.path("piece_bpe_32k.model"), n=3)
     return found.select("doc_id", "n_pieces", "ids_crc32", "round_trip", *[F.get("scores", i).alias(f"score_{i + 1}") for i in range(3)])
+
+
+@_query
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as files
+
+    from .alignment import alignment_digest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment_digest(docs, **bpe_files(), model_file=files.path("piece_bpe_32k.model"))

@@ -21,15 +21,18 @@ _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧‰-⁞€]")
 _LONG_SPACE = re.compile(r"\s{2000}")
 
 
-def _odd(text: str) -> bool:
+def odd_text(text: str) -> bool:
     return SPECIAL in text or _UNUSUAL.search(text) is not None or _LONG_SPACE.search(text) is not None
 
 
 @functools.lru_cache(maxsize=4)
-def library_tokenizer(path: str):
+def library_tokenizer(path: str, plain_specials: bool = False):
+    """The library's tokenizer; with ``plain_specials``, special strings in a text are ordinary text."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = plain_specials
+    return found
 
 
 @functools.lru_cache(maxsize=4)
@@ -39,7 +42,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(maxsize=4)
-def _rank_encoder(path: str, pattern: str):
+def rank_encoder(path: str, pattern: str):
     import tiktoken
 
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
@@ -47,6 +50,6 @@ def _rank_encoder(path: str, pattern: str):
 
 def encode_ids(text: str, json_path: str, ranks_path: str | None, pattern: str | None) -> np.ndarray:
     """Token ids of a whole text, without added special tokens, as little-endian uint32."""
-    if ranks_path and not _odd(text):
-        return np.array(_rank_encoder(ranks_path, pattern).encode_ordinary(text), dtype="<u4")
+    if ranks_path and not odd_text(text):
+        return np.array(rank_encoder(ranks_path, pattern).encode_ordinary(text), dtype="<u4")
     return np.array(library_tokenizer(json_path).encode(text, add_special_tokens=False).ids, dtype="<u4")

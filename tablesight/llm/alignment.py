@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frames, stored, text_or_empty
+from .common import frames, refuse_clash, stored, text_or_empty
 from .tokenization import library_tokenizer, odd_text, rank_encoder, read_ranks
 
 SPACE = "▁"
@@ -234,9 +234,7 @@ ADDED = {"a_ids": "array<int>", "b_ids": "array<int>", "a_upto": "array<int>", "
 
 def align_documents(docs: DataFrame, tokenizer_json: str, ranks: str, pattern: str, model_file: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the ids of both tokenizers and, per group, where it ends in each."""
-    clash = [c for c in docs.columns if c.lower() in ADDED]
-    if clash:
-        raise ValueError(f"columns in the way: {clash}")
+    refuse_clash(docs, ADDED)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ct = cross_tokenizer(tokenizer_json, ranks, pattern, model_file)

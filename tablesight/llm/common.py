@@ -62,6 +62,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def refuse_clash(docs: DataFrame, added) -> None:
+    """Operators of this subpackage that add columns refuse a table that already has one of
+    that name (in any case), rather than overwrite it or return the name twice."""
+    names = {c.lower() for c in added}
+    clash = [c for c in docs.columns if c.lower() in names]
+    if clash:
+        raise ValueError(f"the table already has columns that this operator adds: {clash}")
+
+
 def parts_for(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 

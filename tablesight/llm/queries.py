@@ -143,3 +143,21 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
         F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@_query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import find_licenses
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_licenses(docs)
+    words = F.transform("places", lambda p: p["word"])
+    base = F.transform("places", lambda p: p["label"])
+    every = F.concat(base, F.transform("notices", lambda p: p["label"]))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(words).alias("first_word"),
+                        F.array_max(words).alias("last_word"), joined(base).alias("base_labels"), joined(every).alias("labels"),
+                        "score", "notices")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, fixed_text
+from ..functions.quantiles import group_quantiles
 from ..functions.random import hash_normal
 
 MIN_STD = 1e-9
@@ -164,9 +165,11 @@ def npv_by_path(paths: DataFrame, proj: Projection) -> DataFrame:
 
 def npv_percentiles(npv: DataFrame, accuracy: int | None = None) -> DataFrame:
     """P10/P50/P90 of the NPV per segment (exact, or approximate with ``accuracy``)."""
-    q = (F.percentile("npv", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))) if accuracy is None
-         else F.percentile_approx("npv", [0.1, 0.5, 0.9], accuracy))
-    return npv.groupBy("segment").agg(q.alias("q")).select(
+    if accuracy is None:
+        found = group_quantiles(npv, ["npv"], [0.1, 0.5, 0.9], ["segment"]).withColumnRenamed("__q0", "q")
+    else:
+        found = npv.groupBy("segment").agg(F.percentile_approx("npv", [0.1, 0.5, 0.9], accuracy).alias("q"))
+    return found.select(
         "segment", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"))
 
 
@@ -215,9 +218,12 @@ def npv_at(cashflows: Column, rate: Column) -> Column:
 
 def balance_bands(balances: DataFrame, accuracy: int | None = None) -> DataFrame:
     """P10/P50/P90 of the balance per (segment, period)."""
-    q = (F.percentile("balance", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))) if accuracy is None
-         else F.percentile_approx("balance", [0.1, 0.5, 0.9], accuracy))
-    return balances.groupBy("segment", "period").agg(q.alias("q")).select(
+    g = ["segment", "period"]
+    if accuracy is None:
+        found = group_quantiles(balances, ["balance"], [0.1, 0.5, 0.9], g).withColumnRenamed("__q0", "q")
+    else:
+        found = balances.groupBy(*g).agg(F.percentile_approx("balance", [0.1, 0.5, 0.9], accuracy).alias("q"))
+    return found.select(
         "segment", "period", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"))
 
 
@@ -228,7 +234,7 @@ def sample_paths(paths: DataFrame, k: int = SAMPLE_PATHS, seed: int = SAMPLE_SEE
     h = F.md5(F.concat_ws(":", F.col("path_id").cast("string"), F.lit(str(seed))))
     w = Window.partitionBy("segment").orderBy(h, F.col("path_id"))
     chosen = ids.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn")
-    return paths.join(F.broadcast(chosen), ["segment", "path_id"], "left_semi")
+    return paths.join(chosen, ["segment", "path_id"], "left_semi")
 
 
 def npv_histogram(npv: DataFrame, bins: int = HIST_BINS) -> DataFrame:
@@ -239,7 +245,7 @@ def npv_histogram(npv: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     b = F.when(F.col("hi") > F.col("lo"),
                F.least(F.lit(bins - 1), F.floor((F.col("npv") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))
                ).otherwise(F.lit(0)).cast("int")
-    counts = npv.join(F.broadcast(rng), "segment").groupBy("segment", b.alias("bin")).agg(
+    counts = npv.join(rng, "segment").groupBy("segment", b.alias("bin")).agg(
         F.count(F.lit(1)).cast("long").alias("n"))
     grid = rng.select("segment", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return (grid.join(counts, ["segment", "bin"], "left")

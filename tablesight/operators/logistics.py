@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..functions.ordered import global_row_number
-from ..functions.quantiles import with_quantile
+from ..functions.quantiles import group_quantiles, quantile_map
 
 REORDER_PCT = 20.0
 EVEN_SAMPLE = 120
@@ -101,16 +101,17 @@ def reorder_point(df: DataFrame, stock: str, group_by: Sequence[str] = (), pct:
     """M9: reorder point = P``pct`` of the stock (linear), with mean/min/max; 0s if empty."""
     x = F.expr(f"try_cast(`{stock}` AS DOUBLE)")
     g = list(group_by)
+    rest = [F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.min(x), F.lit(0.0)).alias("min"),
+            F.coalesce(F.max(x), F.lit(0.0)).alias("max")]
+    if accuracy is None and g:
+        found = group_quantiles(df.withColumn("__stock", x), ["__stock"], [pct / 100.0], g, rest)
+        return found.select(*g, F.coalesce(F.col("__q0")[0], F.lit(0.0)).alias("rop"), F.lit(pct).alias("percentile"), "mean", "min", "max")
     if accuracy is None:
-        rest = reorder_point(df, stock, g, pct, accuracy=10_000).drop("rop")
-        values = df.select(*[col(c) for c in g], x.alias("__stock"))
-        return with_quantile(rest, values, "__stock", pct / 100.0, "rop", g).select(
-            *g, F.coalesce("rop", F.lit(0.0)).alias("rop"), "percentile", "mean", "min", "max")
+        found = quantile_map(df.select(x.alias("__stock")), ["__stock"], [pct / 100.0]).get("__stock", [0.0])
+        return df.agg(*rest).select(F.lit(found[0]).alias("rop"), F.lit(pct).alias("percentile"), "mean", "min", "max")
     q = F.percentile_approx(x, pct / 100.0, accuracy)
     return df.groupBy(*[col(c) for c in g]).agg(
-        F.coalesce(q, F.lit(0.0)).alias("rop"), F.lit(pct).alias("percentile"),
-        F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.min(x), F.lit(0.0)).alias("min"),
-        F.coalesce(F.max(x), F.lit(0.0)).alias("max"))
+        F.coalesce(q, F.lit(0.0)).alias("rop"), F.lit(pct).alias("percentile"), *rest)
 
 
 def below_reorder(df: DataFrame, stock: str, rop: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, fixed_text
-from ..functions.quantiles import with_quantile
+from ..functions.quantiles import group_quantiles, quantile_map
 
 TOP_VALUES = 6
 REPORT_KEYS = ("titulo", "resumen_situacion", "hallazgo_clave", "recomendaciones", "siguiente_paso_sugerido")
@@ -24,11 +24,14 @@ def target_stats(df: DataFrame, target: str, group_by: Sequence[str] = ()) -> Da
     """Mean, median, min, max of a continuous target, rounded to 2."""
     x = col(target).cast("double")
     g = list(group_by)
-    s = df.groupBy(*[col(c) for c in g]).agg(
-        F.round(F.avg(x), 2).alias("media"), F.round(F.min(x), 2).alias("min"), F.round(F.max(x), 2).alias("max"),
-        F.count(F.lit(1)).cast("long").alias("n_rows"))
-    return with_quantile(s, df, target, 0.5, "mediana", g).select(
-        *g, "media", F.round("mediana", 2).alias("mediana"), "min", "max", "n_rows")
+    rest = [F.round(F.avg(x), 2).alias("media"), F.round(F.min(x), 2).alias("min"), F.round(F.max(x), 2).alias("max"),
+            F.count(F.lit(1)).cast("long").alias("n_rows")]
+    if g:
+        stats = group_quantiles(df, [target], [0.5], g, rest).withColumn("mediana", F.col("__q0")[0])
+    else:
+        found = quantile_map(df, [target], [0.5]).get(target)
+        stats = df.agg(*rest).withColumn("mediana", F.lit(found[0] if found else None).cast("double"))
+    return stats.select(*g, "media", F.round("mediana", 2).alias("mediana"), "min", "max", "n_rows")
 
 
 def _counts(df: DataFrame, target: str, group_by: Sequence[str]) -> DataFrame:

@@ -36,21 +36,6 @@ def test_row_number_and_running_sum_with_skewed_groups(spark):
         assert abs(got_s[(t.g, t.k)] - t.s) < 1e-9
 
 
-def test_rank_quantiles_equal_percentile(spark):
-    from tablesight.functions.quantiles import rank_quantiles
-    rows = [(i % 3 if i % 10 else 0, float((i * 7919) % 1000) / 7.0) for i in range(3000)]
-    rows += [(0, None)] * 5
-    df = spark.createDataFrame(rows, "g int, v double")
-    probs = [0.1, 0.25, 0.5, 0.75, 0.9, 1 / 3]
-    exact = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
-    got = {r["g"]: r["q"] for r in rank_quantiles(df, "v", probs, ["g"], n_buckets=6).collect()}
-    for g in exact:
-        assert all(abs(a - b) < 1e-9 for a, b in zip(exact[g], got[g]))
-    whole = rank_quantiles(df, "v", probs).first()["q"]
-    ex = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]
-    assert all(abs(a - b) < 1e-9 for a, b in zip(ex, whole))
-
-
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.sampled_from(["b", "a", "c", "d"])), min_size=2, max_size=40))
 def test_target_codes_match_pandas_categories(spark, values):

@@ -28,6 +28,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -42,9 +43,9 @@ from .tokenization import library_tokenizer, odd_text, rank_encoder, read_ranks
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Words kept in a worker's memo; it changes speed only.
-MEMO = 200_000
+MEMO = 400_000
 #: Characters of text whose tokens are handled together.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Distinct pairs of its documents, at least, that close a bundle.
 BUNDLE = 600_000
 
@@ -120,96 +121,107 @@ class CrossTokenizer:
         self._a_len = np.fromiter(map(len, self.a_bytes), np.int64)
         self._b_len = np.fromiter(map(len, self.b_bytes), np.int64)
         self.spread = len(self.b_bytes)
-        self._words: dict[str, tuple[list[int], bool]] = {}
-        self._text = [np.array([f"{i}{sep}" for i in range(n)], object) for n, sep in (
-            (len(self.a_bytes), ","), (len(self.a_bytes), "|"), (self.spread, ","), (self.spread, ";"))]
-
-    def a_encode(self, text: str) -> list[int]:
+        self._line = m.encode("\n")[1]
+        self._words: dict[str, int] = {}  # a word's number; its ids are a stretch of _flat
+        self._flat, self._start, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: Ids as text with what may follow them: "," or "|" in A, "," or ";" in B.
+        self._text = np.array([f"{i}{sep}" for n, last in ((len(self.a_bytes), "|"), (self.spread, ";")) for i in range(n) for sep in (",", last)], "S")
+
+    def _a_encode(self, text: str) -> np.ndarray:
+        raw = text.encode("utf-8", "replace")
         if odd_text(text):
-            return self._library.encode(text, add_special_tokens=False).ids
-        return self._encoder.encode_ordinary(text)
-
-    def _b_word(self, word: str) -> tuple[list[int], bool]:
-        """Ids of a word (pieces do not go over word borders), and whether they give it back."""
-        ids = self.model.encode("\n" + word)[2:]  # without the space mark that the model adds, and the line break
-        got = ids, b"".join([self.b_bytes[i] for i in ids]) == word.replace(SPACE, " ").encode()
-        if len(word) <= 64:
-            if len(self._words) >= MEMO:
-                self._words.clear()
-            self._words[word] = got
-        return got
-
-    def b_encode(self, text: str) -> list[int] | None:
-        """Ids of a text; None if they do not give a space and the text back."""
-        normal = self.model.normalize(text)
-        if normal.replace(SPACE, " ") != " " + text:
-            return None
-        known, out = self._words.get, []
-        for w in _WORD.findall(normal):
-            ids, same = known(w) or self._b_word(w)
-            if not same:
-                return None
-            out += ids
-        return out
-
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of both; none if the text is empty or either does not give its bytes back."""
-        if not text:
-            return [], []
-        b = self.b_encode(text)
-        if b is None:
-            return [], []
-        a = self.a_encode(" " + text)
-        table = self.a_bytes
-        if b"".join([table[i] for i in a]) != (" " + text).encode("utf-8", "replace"):
-            return [], []
-        return a, b
+            ids = self._library.encode(text, add_special_tokens=False).ids
+            return np.array(ids if b"".join([self.a_bytes[i] for i in ids]) == raw else [], np.int64)
+        return np.array(self._encoder.encode_ordinary(text), np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, all in one call: pieces do not go over line breaks."""
+        if len(self._words) + len(words) > MEMO:  # begun anew
+            self._words.clear()
+            self._flat, self._start, self._size = (x[:0] for x in (self._flat, self._start, self._size))
+        apart = [w for w in words if w != "\n"]
+        ids = np.array(self.model.encode("\n".join(["", *apart, ""]))[1:], np.int64)  # without the mark that the model adds
+        line = np.nonzero(ids == self._line)[0]
+        start, size = line[:-1] + 1, np.diff(line) - 1
+        if len(apart) < len(words):
+            apart.append("\n")
+            start, size = np.r_[start, 0], np.r_[size, 1]
+        self._words.update(zip(apart, range(len(self._words), len(self._words) + len(apart))))
+        self._start = np.r_[self._start, start + len(self._flat)]
+        self._size = np.r_[self._size, size]
+        self._flat = np.r_[self._flat, ids]
+
+    def _b_encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and how many each has; none for a text that the
+        model's normalisation changes beyond the space before it."""
+        split = []
+        for t in texts:
+            normal = self.model.normalize(t) if t else ""
+            split.append(_WORD.findall(normal) if normal.replace(SPACE, " ") == " " + t else [])
+        words, known = set().union(*split), self._words
+        new = [w for w in words if w not in known]
+        if new:
+            self._learn(sorted(words) if len(known) + len(new) > MEMO else sorted(new))
+        word = np.fromiter(map(self._words.__getitem__, chain.from_iterable(split)), np.int64)
+        size, start = self._size[word], self._start[word]
+        ids = self._flat[_ragged(start, start + size)[0]]
+        upto = np.r_[0, np.cumsum(size)][np.cumsum([0, *map(len, split)])]
+        return ids, np.diff(upto)
 
     def align(self, texts: list[str]) -> list[Aligned]:
         """Alignments of texts, all their intervals halved together."""
-        ids = [self.encode(t) for t in texts]
-        size_a = np.fromiter((len(a) for a, _ in ids), np.int64, len(ids))
-        size_b = np.fromiter((len(b) for _, b in ids), np.int64, len(ids))
-        a = np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x, _ in ids]])
-        b = np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for _, x in ids]])
-        to_a, to_b = np.cumsum(size_a), np.cumsum(size_b)
         none = np.zeros(0, np.int64)
+        b, size_b = self._b_encode(texts)
+        if self.model.unk_id() in b:
+            raise ValueError("the model has no pieces for some bytes")
+        each_a = [self._a_encode(" " + t) if n else none for t, n in zip(texts, size_b.tolist())]
+        size_a = np.fromiter(map(len, each_a), np.int64, len(texts))
+        lost = (size_a == 0) & (size_b > 0)
+        if lost.any():
+            b, size_b = b[np.repeat(~lost, size_b)], np.where(lost, 0, size_b)
+        a = np.concatenate([none, *each_a])
         if not len(a):
             return [Aligned(none, none, none, none, none, none) for _ in texts]
+        to_a, to_b = np.cumsum(size_a), np.cumsum(size_b)
         end_a, end_b = np.cumsum(self._a_len[a]), np.cumsum(self._b_len[b])  # texts have equal bytes in both
-        last = (to_a - 1)[size_a > 0]  # a text's last ends are common
-        cut_a = np.sort(np.concatenate([last, shared_ends(end_a, end_b, to_a - size_a, to_a - 1)]))
-        cut_b = np.searchsorted(end_b, end_a[cut_a])
+        some = size_a > 0
+        last = to_a[some] - 1  # a text's last ends are common
+        if not np.array_equal(end_a[last], end_b[to_b[some] - 1]):
+            raise ValueError("the tokenizers do not cover the same bytes")
+        cut_a = np.sort(np.concatenate([last, shared_ends(end_a.astype(np.int32), end_b.astype(np.int32), to_a - size_a, to_a - 1)]))
         # between two neighbouring ends of either kind lies one link
-        every = np.concatenate([end_a, np.delete(end_b, cut_b)])
-        every.sort(kind="stable")
-        of = np.searchsorted(end_a, every)
-        key = a[of] * self.spread + b[np.searchsorted(end_b, every)]
-        doc = np.searchsorted(to_a, of, side="right")
+        at_a, at_b = np.zeros(end_a[-1] + 1, np.int64), np.zeros(end_a[-1] + 1, np.int64)
+        at_a[end_a], at_b[end_b] = 1, 1
+        every = np.nonzero(at_a | at_b)[0]
+        of_a, of_b = (np.cumsum(x)[every] - x[every] for x in (at_a, at_b))  # tokens that end before
+        cut_b = np.cumsum(at_b)[end_a[cut_a]] - 1
+        key = a[of_a] * self.spread + b[of_b]
+        doc = np.repeat(np.arange(len(texts)), size_a)[of_a]
         pairs = np.int64(len(self.a_bytes)) * self.spread
         pair, times = np.unique(doc * pairs + key, return_counts=True)
         at = np.searchsorted(pair, np.arange(len(texts) + 1) * pairs)
         cut_at = np.r_[0, np.searchsorted(cut_a, to_a)]
+        pair %= pairs
         out = []
-        for i in range(len(texts)):
-            sa, sb, c = to_a[i] - size_a[i], to_b[i] - size_b[i], slice(cut_at[i], cut_at[i + 1])
-            p = slice(at[i], at[i + 1])
-            out.append(Aligned(a[sa:to_a[i]], b[sb:to_b[i]], cut_a[c] + 1 - sa, cut_b[c] + 1 - sb, pair[p] - i * pairs, times[p]))
+        for i, (sa, ea, sb, eb, c, d, p, q) in enumerate(zip(*(x.tolist() for x in (
+                to_a - size_a, to_a, to_b - size_b, to_b, cut_at[:-1], cut_at[1:], at[:-1], at[1:])))):
+            out.append(Aligned(a[sa:ea], b[sb:eb], cut_a[c:d] + (1 - sa), cut_b[c:d] + (1 - sb), pair[p:q], times[p:q]))
         return out
 
-    def groups_text(self, x: Aligned) -> str:
+    def groups_text(self, x: Aligned) -> bytes:
         """``a1,a2|b1;a3|b2,b3``: the ids of the groups in order."""
-        if not len(x.a_ids):
-            return ""
-        out = np.empty(len(x.a_ids) + len(x.b_ids), object)
+        n = len(x.a_ids)
+        if not n:
+            return b""
         size_a, size_b = np.diff(x.a_upto, prepend=0), np.diff(x.b_upto, prepend=0)
-        at_a = np.arange(len(x.a_ids)) + np.repeat(x.b_upto - size_b, size_a)
-        at_b = np.arange(len(x.b_ids)) + np.repeat(x.a_upto, size_b)
-        a_more, a_last, b_more, b_last = self._text
-        out[at_a], out[at_b] = a_more[x.a_ids], b_more[x.b_ids]
-        out[at_a[x.a_upto - 1]] = a_last[x.a_ids[x.a_upto - 1]]
-        out[at_b[x.b_upto - 1]] = b_last[x.b_ids[x.b_upto - 1]]
-        return "".join(out.tolist())[:-1]
+        code = np.concatenate([x.a_ids, x.b_ids + len(self.a_bytes)]) * 2
+        code[x.a_upto - 1] += 1
+        code[x.b_upto - 1 + n] += 1
+        out = np.empty(len(code), np.int64)
+        out[np.arange(n) + np.repeat(x.b_upto - size_b, size_a)] = code[:n]
+        out[np.arange(len(x.b_ids)) + np.repeat(x.a_upto, size_b)] = code[n:]
+        chars = self._text[out].view(np.uint8)
+        return chars[chars != 0].tobytes()[:-1]
 
 
 @functools.lru_cache(maxsize=2)
@@ -280,7 +292,7 @@ def _bundles(docs: DataFrame, files: tuple[str, str, str, str], text_col: str, i
             for first, last in _blocks(texts):
                 for i, x in zip(ids[first:last], ct.align(texts[first:last])):
                     text = ct.groups_text(x)
-                    rows.append((i, hashlib.sha256(text.encode()).hexdigest() if text else "",
+                    rows.append((i, hashlib.sha256(text).hexdigest() if text else "",
                                  len(x.a_ids), len(x.b_ids), len(x.a_upto), x.links, len(x.keys)))
                     keys.append(x.keys)
                     times.append(x.times)

@@ -1,4 +1,4 @@
-"""Clustering (G1-G13): k-means sweep on MLlib, exact metrics from sufficient statistics.
+"""Clustering (G1-G13): k-means sweep in one job a round, metrics from sufficient statistics.
 
 Nothing here forms point pairs. Per-cluster statistics (size, mean vector, mean
 squared norm) are one grouped aggregate of ``k x d`` numbers; they are shipped to
@@ -10,9 +10,8 @@ its distances to all centroids in a narrow projection. That gives exactly:
   ``ClusteringEvaluator`` uses): the mean squared distance from ``x`` to
   cluster ``C`` is ``|x|^2 - 2 x.mu_C + mean_C |y|^2``.
 
-The reference's silhouette is the plain Euclidean one, which has no such
-decomposition and needs all pairs; we do not build an all-pairs join, so the
-reference's quality bands are applied to the squared-distance silhouette.
+The silhouette on plain distances, which chooses k and the quality band, has no such
+decomposition; ``cluster_fits.plain_silhouettes`` bounds it without point pairs.
 """
 
 from __future__ import annotations
@@ -20,22 +19,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from .cluster_fits import Bounds, fit_many, plain_silhouettes
 
 MAX_K = 8
 MIN_ROWS = 10
 MIN_FEATURES = 2
 SEED = 42
 MAX_CENTROID_VALUES = 1_000_000
-N_STARTS = 3   # k-means|| starts per k, the lowest cost wins
+N_STARTS = 10  # starts per k, the lowest cost wins
 GOOD, MODERATE = 0.5, 0.25
 
 
@@ -119,6 +118,17 @@ def quality_band(s: Column) -> Column:
             .otherwise(F.lit("debil")))
 
 
+def band_of(s: float) -> str:
+    return "buena" if s > GOOD else "moderada" if s > MODERATE else "debil"
+
+
+def decided(bounds: Sequence[Bounds]) -> bool:
+    """True if the bounds tell the best labelling (the first of equals) and its quality band."""
+    best = max(range(len(bounds)), key=lambda i: (bounds[i].low, -i))
+    others = [b.high for i, b in enumerate(bounds) if i != best]
+    return all(h < bounds[best].low for h in others) and band_of(bounds[best].low) == band_of(bounds[best].high)
+
+
 def score_norm(s: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (s + 1) / 2))
 
@@ -174,40 +184,35 @@ class ClusterResult:
     silhouette: float | None = None
     quality: str | None = None
     score_norm: float = 0.0
-    sweep: list[tuple[int, float, float]] = field(default_factory=list)
+    #: (k, inertia, silhouette, its error) of every k; the silhouette is on plain distances.
+    sweep: list[tuple[int, float, float, float]] = field(default_factory=list)
+    #: False if the bounds of two numbers of clusters, or of two quality bands, still overlap.
+    decided: bool = True
     assignments: DataFrame | None = None
-    model: object | None = None
+    centres: list[list[float]] | None = None
     reason: str | None = None
 
 
 def kmeans_sweep(df: DataFrame, key: str, features_col: str, ks: Sequence[int] | None = None,
                  seed: int = SEED, n_starts: int = N_STARTS) -> ClusterResult:
-    """Fit k-means for each k on the persisted standardised vectors,
-    score inertia and silhouette, keep the best model (no refit). Each k has
-    ``n_starts`` starts."""
-    data = df.select(key, features_col).persist(StorageLevel.MEMORY_AND_DISK)
+    """Fit k-means for each k on the persisted standardised vectors, all
+    starts together, score inertia and the plain-distance silhouette, and keep the best (no
+    refit). Where the bounds of silhouettes overlap, the middle decides."""
+    data = df.select(col(key), vector_to_array(col(features_col)).alias("__v")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = data.count()
         if n < MIN_ROWS:
             return ClusterResult("skipped", reason="datos insuficientes")
         ks = list(ks or cluster_counts(n))
-        best = None
-        sweep = []
-        for k in ks:
-            fits = [KMeans(k=k, seed=seed + i, featuresCol=features_col, predictionCol="cluster").fit(data) for i in range(n_starts)]
-            model = min(fits, key=lambda m: m.summary.trainingCost)
-            pred = model.transform(data).withColumn("__arr", vector_to_array(features_col))
-            sil = silhouette(pred, "__arr", "cluster").first()["silhouette"]
-            cost = float(model.summary.trainingCost)
-            sweep.append((k, cost, float(sil)))
-            if best is None or sil > best[2]:
-                best = (k, model, float(sil))
-        k, model, sil = best
-        assign = model.transform(df).select(key, "cluster")
-        return ClusterResult("ok", best_k=k, silhouette=sil,
-                             quality="buena" if sil > GOOD else "moderada" if sil > MODERATE else "debil",
-                             score_norm=float(min(1.0, max(0.0, (sil + 1) / 2))), sweep=sweep,
-                             assignments=assign, model=model)
+        fits = fit_many(data, key, "__v", ks, n_starts, seed)
+        bounds, sure = plain_silhouettes(data, "__v", [fits[k][0] for k in ks], decided)
+        sweep = [(k, fits[k][1], b.middle, (b.high - b.low) / 2) for k, b in zip(ks, bounds)]
+        best, _, sil, _ = max(sweep, key=lambda r: (r[2], -r[0]))
+        centres = [c.tolist() for c in fits[best][0]]
+        assign = assign_nearest(df.withColumn("__v", vector_to_array(col(features_col))), "__v",
+                                [(i, 0, c) for i, c in enumerate(centres)]).select(key, "cluster")
+        return ClusterResult("ok", best_k=best, silhouette=sil, quality=band_of(sil), score_norm=float(min(1.0, max(0.0, (sil + 1) / 2))),
+                             sweep=sweep, decided=sure, assignments=assign, centres=centres)
     finally:
         data.unpersist()
 
@@ -216,9 +221,33 @@ def as_vector(df: DataFrame, columns: Sequence[str], out: str = "features") -> D
     return df.withColumn(out, array_to_vector(F.array(*[col(c).cast("double") for c in columns])))
 
 
-def pca_projection(df: DataFrame, features_col: str, k: int, keep: Sequence[str] = ()) -> DataFrame:
-    """PCA to ``min(3, d)`` components (input already standardised; sign arbitrary)."""
-    model = PCA(k=k, inputCol=features_col, outputCol="__pca").fit(df)
-    arr = vector_to_array("__pca")
-    return model.transform(df).select(*[col(c) for c in keep],
-                                      *[arr[i].alias(f"pc{i + 1}") for i in range(k)])
+def principal_axes(df: DataFrame, features_col: str, k: int = 3) -> tuple[list[float], list[list[float]]]:
+    """Means, and the ``min(k, d)`` eigenvectors of the covariance with the largest
+    eigenvalues, from one aggregate of d (d + 1) / 2 sums of products. An axis points where
+    its largest entry (the first of equals, up to rounding) is positive."""
+    x = vector_to_array(col(features_col))
+    row = df.agg(Summarizer.mean(col(features_col)).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    if not row["n"]:
+        return [], []
+    mean = np.array(row["m"])
+    d = len(mean)
+    # centred before the products, so that nothing cancels
+    z = [x[i] - F.lit(float(mean[i])) for i in range(d)]
+    sums = df.agg(*[F.sum(z[i] * z[j]) for i in range(d) for j in range(i, d)]).first()
+    cov = np.zeros((d, d))
+    cov[np.triu_indices(d)] = [float(v) for v in sums]
+    _, vectors = np.linalg.eigh((cov + np.triu(cov, 1).T) / max(1, row["n"] - 1))
+    axes = []
+    for v in vectors.T[::-1][:min(k, d)]:
+        top = int(np.nonzero(np.abs(v) >= np.abs(v).max() - 1e-9)[0][0])
+        axes.append((v * (1.0 if v[top] >= 0 else -1.0)).tolist())
+    return mean.tolist(), axes
+
+
+def pca_projection(df: DataFrame, features_col: str, k: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """The centred features on their ``min(k, d)`` principal axes, with a fixed sign."""
+    mean, axes = principal_axes(df, features_col, k)
+    centred = F.zip_with(vector_to_array(col(features_col)), F.array(*[F.lit(m) for m in mean]), lambda a, b: a - b)
+    out = df.withColumn("__centred", centred)
+    return out.select(*[col(c) for c in keep],
+                      *[_dot(F.col("__centred"), F.array(*[F.lit(v) for v in axis])).alias(f"pc{i + 1}") for i, axis in enumerate(axes)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_doubles
 from ..functions.ordered import global_row_number
 from ..operators import cluster as C
+from ..operators.cluster_fits import plain_silhouettes
 from ..operators.features import standardize
 from .registry import register
 from .tables import load
@@ -129,14 +130,68 @@ def _customer_vectors(spark, sf):
     return C.as_vector(z, ["c_acctbal_z", "c_nationkey_z"])
 
 
+def _all_pairs(e: str, groups: str) -> str:
+    """CTEs with the plain-distance silhouette over all pairs, as ``r(groups, sil)``."""
+    g = groups + ", " if groups else ""
+    same = "".join(f"a.{c} = b.{c} AND " for c in groups.split(", ") if c)
+    return f"""p AS (SELECT {"".join(f"a.{c}, " for c in groups.split(", ") if c)}a.id, a.cl AS la, b.cl AS lb, list_distance(a.v, b.v) AS dist
+      FROM {e} a JOIN {e} b ON {same}a.id <> b.id),
+m AS (SELECT {g}id, la, lb, avg(dist) AS md FROM p GROUP BY {g}id, la, lb),
+s AS (SELECT {g}id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM m GROUP BY {g}id),
+r AS (SELECT {g}avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS sil FROM s {"GROUP BY " + groups if groups else ""})"""
+
+
+_BAND_SQL = "CASE WHEN sil > 0.5 THEN 'buena' WHEN sil > 0.25 THEN 'moderada' ELSE 'debil' END"
+
+
+@register("silhouette_plain", f"""
+WITH e AS (SELECT vec_id AS id, label AS cl, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+{_all_pairs("e", "")}
+SELECT {_BAND_SQL} AS quality, true AS decided FROM r""")
+def q_silhouette_plain(spark, sf):
+    """The quality band of the labels on plain distances, decided by bounds without point pairs."""
+    emb = load(spark, sf, "embeddings")
+    bounds, sure = plain_silhouettes(emb, "embedding", ["label"], C.decided)
+    return spark.createDataFrame([(C.band_of(bounds[0].middle), sure)], "quality string, decided boolean")
+
+
+@register("best_k_plain", f"""
+WITH c AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS r, count(*) OVER () AS n FROM customer),
+z AS (SELECT c_custkey AS id, r, n, [(c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER ()] AS v FROM c),
+e AS (SELECT k, id, v, floor(r * k / n) AS cl FROM z, (SELECT unnest(range(2, 9)) AS k)),
+{_all_pairs("e", "k")}
+SELECT CAST(k AS BIGINT) AS k, {_BAND_SQL} AS quality, true AS decided FROM r ORDER BY sil DESC, k LIMIT 1""")
+def q_best_k_plain(spark, sf):
+    """Which number of equal-count ranges of the account balance clusters best, on plain distances."""
+    cust = load(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    z, _ = standardize(cust, ["c_acctbal"], suffix="_z")
+    ranked = global_row_number(z, ["c_acctbal", "c_custkey"], name="r")
+    n = ranked.count()
+    ks = C.cluster_counts(n)
+    vec = ranked.select(F.array("c_acctbal_z").alias("v"), *[F.floor(F.col("r") * k / F.lit(n)).alias(f"c{k}") for k in ks]).persist()
+    try:
+        bounds, sure = plain_silhouettes(vec, "v", [f"c{k}" for k in ks], C.decided)
+    finally:
+        vec.unpersist()
+    k, best = max(zip(ks, bounds), key=lambda x: (x[1].middle, -x[0]))
+    return spark.createDataFrame([(k, C.band_of(best.middle), sure)], "k long, quality string, decided boolean")
+
+
 @register("kmeans_sweep")
 def q_kmeans_sweep(spark, sf):
     res = C.kmeans_sweep(_customer_vectors(spark, sf), "c_custkey", "features")
-    df = spark.createDataFrame(res.sweep, "k int, inertia double, silhouette double")
+    df = spark.createDataFrame(res.sweep, "k int, inertia double, silhouette double, error double")
     return df.withColumn("quality", C.quality_band(F.col("silhouette"))).withColumn(
         "is_best", F.col("k") == F.lit(res.best_k))
 
 
-@register("pca_projection")
+# Two standardised columns: the covariance is [[1, r], [r, 1]], so the axes are (1, 1) and
+# (1, -1) over the root of 2; the first one holds more variance when r > 0.
+@register("pca_projection", """
+WITH z AS (SELECT c_custkey, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS a,
+                  (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS b FROM customer),
+s AS (SELECT corr(a, b) AS r FROM z)
+SELECT c_custkey, round(CASE WHEN r > 0 THEN a + b ELSE a - b END / sqrt(2), 6) AS pc1,
+       round(CASE WHEN r > 0 THEN a - b ELSE a + b END / sqrt(2), 6) AS pc2 FROM z, s""")
 def q_pca_projection(spark, sf):
-    return C.pca_projection(_customer_vectors(spark, sf), "features", 2, keep=["c_custkey"])
+    return round_doubles(C.pca_projection(_customer_vectors(spark, sf), "features", keep=["c_custkey"]))

@@ -17,7 +17,6 @@ extra columns pass through ``score``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,8 +29,8 @@ from .common import give_back, text_or_empty
 from .learning import fit_logistic, labelled_sample, sigmoid
 
 #: Sizes of the dictionaries in bytes: a small one holds the most frequent strings, a
-#: large one more of the vocabulary.
-DICT_SIZES = (16_384, 65_536)
+#: large one more of the vocabulary. Each gives one difference.
+DICT_SIZES = (4_096, 16_384, 65_536, 262_144)
 LEVEL = 3
 
 
@@ -58,15 +57,12 @@ class QualityModel:
             pairs.append(made)
 
         def features(texts) -> np.ndarray:
-            out = np.zeros((len(texts), 2 + 4 * len(pairs)))
+            out = np.zeros((len(texts), 2 * len(pairs)))
             for i, text in enumerate(texts):
                 raw = text.encode("utf-8", "replace")
                 n, p = max(1, len(raw)), len(plain.compress(raw))
-                row = [math.log(p / n), math.log(n + 1)]
-                for good, bad in pairs:
-                    g, b = len(good.compress(raw)), len(bad.compress(raw))
-                    row += [(b - g) / n, (b - g) / p, (p - g) / n, (p - b) / n]
-                out[i] = row
+                less = [len(bad.compress(raw)) - len(good.compress(raw)) for good, bad in pairs]
+                out[i] = [d / size for d in less for size in (n, p)]
             return out
 
         def score(texts) -> np.ndarray:

@@ -135,8 +135,9 @@ def _pick_features(bags: list[list[str]], y: np.ndarray, most: int, least_docs:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = 6_000,
-                 features: int = 2_048, swap_penalty: float = 1.0, l2: float = 1e-3, steps: int = 400) -> ToxicityModel:
-    """Fit on at most ``bound`` labelled rows (half of them per class)."""
+                 features: int = 2_048, least_docs: int = 3, swap_penalty: float = 1.0, l2: float = 1e-3, steps: int = 400) -> ToxicityModel:
+    """Fit on at most ``bound`` labelled rows (half of them per class). A feature has to occur in
+    ``least_docs`` of them; the ``features`` that tell the classes apart best are used."""
     rows = labelled_sample(docs, labels, target, bound)
     if len(rows) == 0:
         return ToxicityModel()
@@ -148,7 +149,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", boun
     shared: dict[str, str] = {}
     bags = [[shared.setdefault(w, w) for w in words_of(t)] for t in rows["text"]]
     del rows, shared
-    names = _pick_features(bags, y, features, least_docs=2 if len(bags) < 500 else 3)
+    names = _pick_features(bags, y, features, least_docs=least_docs)
     names += [f for f in (f"w:{t}" for kind in IDENTITY_TERMS for t in kind) if f not in set(names)]
     index = {f: i for i, f in enumerate(names)}
 

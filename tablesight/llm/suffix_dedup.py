@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, frames, stored, text_or_empty
+from .common import cut, frames, refuse_clash, stored, text_or_empty
 from .suffix_sort import deep_shallow_sort
 
 GRAM = 32
@@ -289,7 +289,9 @@ def merge_spans(spans) -> list[tuple[int, int]]:
 
 def without_repeats(docs: DataFrame, min_bytes: int = 400, text_col: str = "text") -> DataFrame:
     """``docs`` with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``
-    (maximal removed runs); the text column itself is left out."""
+    (maximal removed runs); the text column itself is left out. A table that has columns with
+    these names is refused."""
+    refuse_clash(docs, ("kept", "n_bytes", "n_removed", "n_spans"))
     spans = repeated_spans(docs, min_bytes, text_col).select(F.col("tk").alias("__tk"), F.col("spans").alias("__spans"))
     keep = [c for c in docs.columns if c != text_col]
     rows = docs.select(*keep, text_or_empty(text_col).alias("__text")).withColumn("__key", F.xxhash64("__text"))

@@ -25,6 +25,10 @@ from .columns import col, is_datetime, is_numeric, ntz_micros
 BUCKET = "__range_bucket"
 
 
+#: Rows of the sample that borders between string keys come from, per range.
+SAMPLED = 64
+
+
 def _sort_key(df: DataFrame, name: str) -> Column:
     dt = df.schema[name].dataType
     if is_numeric(dt):
@@ -38,12 +42,34 @@ def _sort_key(df: DataFrame, name: str) -> Column:
     if isinstance(dt, T.BooleanType):
         return col(name).cast("double")
     if isinstance(dt, T.StringType):
-        # the first six bytes as a number: it never falls where the string rises
-        head = F.hex(F.substring(col(name).cast("binary"), 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+        return col(name)
     raise TypeError(f"range bucketing needs a numeric, datetime or string first key, got {dt}")
 
 
+def _borders(df: DataFrame, key: Column, order_by: Sequence[str], n_buckets: int) -> list:
+    """At most ``n_buckets`` - 1 ascending values that cut the rows into ranges of similar size.
+
+    Strings are cut at whole values of a sample of about ``SAMPLED`` distinct orderings per
+    range (those whose hash is small enough; the bound does not grow with the table)."""
+    if not isinstance(df.schema[order_by[0]].dataType, T.StringType):
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        return df.select(F.percentile_approx(key, probs, 10000).alias("b")).first()["b"] or []
+    n = df.filter(key.isNotNull()).count()
+    share = min(1.0, SAMPLED * n_buckets / max(1, n))
+    spread = F.xxhash64(*[col(c) for c in order_by]).bitwiseAND((1 << 40) - 1)
+    sample = df.filter(key.isNotNull() & (spread < int(share * (1 << 40)) + 1)).select(*[col(c) for c in order_by]).distinct()
+    values = sorted((r["k"] for r in sample.select(key.alias("k")).collect()), key=lambda v: v.encode("utf-8"))  # in Spark's order
+    return [values[len(values) * i // n_buckets] for i in range(1, n_buckets)] if values else []
+
+
+def _place(key: Column, borders: list, first: int = 0) -> Column:
+    """How many borders are smaller than the key: a balanced tree of comparisons."""
+    if not borders:
+        return F.lit(first)
+    m = len(borders) // 2
+    return F.when(key <= F.lit(borders[m]), _place(key, borders[:m], first)).otherwise(_place(key, borders[m + 1:], first + m + 1))
+
+
 def default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
@@ -55,15 +81,11 @@ def with_range_bucket(df: DataFrame, order_by: Sequence[str],
     key = _sort_key(df, order_by[0])
     if n_buckets <= 1:
         return df.withColumn(BUCKET, F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    # One aggregate row holding n_buckets-1 numbers: bounded by the parameter.
-    row = df.select(F.percentile_approx(key, probs, 10000).alias("b")).first()
-    bounds = sorted(set(x for x in (row["b"] or []) if x is not None))
-    if not bounds:
-        return df.withColumn(BUCKET, F.lit(0))
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    bucket = F.size(F.filter(arr, lambda b: b < key))
-    return df.withColumn(BUCKET, F.coalesce(bucket, F.lit(0)))
+    # n_buckets - 1 values come to the driver: bounded by the parameter
+    borders = list(dict.fromkeys(x for x in _borders(df, key, order_by, n_buckets) if x is not None))
+    if not isinstance(df.schema[order_by[0]].dataType, T.StringType):
+        borders = sorted(float(b) for b in borders)
+    return df.withColumn(BUCKET, F.when(key.isNull(), F.lit(0)).otherwise(_place(key, borders)))
 
 
 def _order_cols(order_by: Sequence[str]) -> list[Column]:
@@ -77,14 +99,24 @@ def _reverse_cols(order_by: Sequence[str]) -> list[Column]:
     return [col(c).desc_nulls_last() for c in order_by]
 
 
-def _carry(b: DataFrame, parts: list, sums: dict[str, Column]) -> DataFrame:
+def _join_back(b: DataFrame, small: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """``b`` with the columns of ``small``, which has a row per (group, range). A null group is
+    a group. Without groups there is one row per range, so it is broadcast."""
+    keys = [*parts, BUCKET]
+    named = small.select(*[col(c).alias(f"__key_{i}") for i, c in enumerate(keys)], *[col(c) for c in small.columns if c not in keys])
+    on = F.lit(True)
+    for i, c in enumerate(keys):
+        on = on & col(c).eqNullSafe(F.col(f"__key_{i}"))
+    return b.join(named if parts else F.broadcast(named), on, "left").drop(*[f"__key_{i}" for i in range(len(keys))])
+
+
+def _carry(b: DataFrame, parts: list[str], sums: dict[str, Column]) -> DataFrame:
     """Per (group, range) totals turned into exclusive prefix sums over the ranges of
-    each group. One row per (group, range): broadcast when there are no groups."""
-    tot = b.groupBy(*parts, BUCKET).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    prev = Window.partitionBy(*parts).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*parts, BUCKET, *[F.coalesce(F.sum(n).over(prev), F.lit(0)).alias(n + "_off")
-                                        for n in sums])
-    return F.broadcast(off) if not parts else off
+    each group. One row per (group, range)."""
+    g = [col(c) for c in parts]
+    tot = b.groupBy(*g, BUCKET).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    prev = Window.partitionBy(*g).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return tot.select(*g, BUCKET, *[F.coalesce(F.sum(n).over(prev), F.lit(0)).alias(n + "_off") for n in sums])
 
 
 def global_row_number(df: DataFrame, order_by: Sequence[str], name: str = "row_idx",
@@ -100,7 +132,7 @@ def global_row_number(df: DataFrame, order_by: Sequence[str], name: str = "row_i
     w = Window.partitionBy(*parts, F.col(BUCKET)).orderBy(*_order_cols(order_by))
     local = b.withColumn("__local_rn", F.row_number().over(w))
     off = _carry(b, pnames, {"__n": F.lit(1)})
-    out = local.join(off, [*pnames, BUCKET], "left")
+    out = _join_back(local, off, pnames)
     return out.withColumn(name, (F.col("__n_off") + F.col("__local_rn") - 1 + start).cast("long")) \
               .drop("__n_off", "__local_rn", BUCKET)
 
@@ -115,7 +147,7 @@ def running_sums(df: DataFrame, order_by: Sequence[str], sums: dict[str, Column]
     for name, e in sums.items():
         b = b.withColumn(tmp[name], e)
     off = _carry(b, pnames, {tmp[n]: F.col(tmp[n]) for n in sums})
-    b = b.join(off, [*pnames, BUCKET], "left")
+    b = _join_back(b, off, pnames)
     w = (Window.partitionBy(*parts, F.col(BUCKET)).orderBy(*_order_cols(order_by))
          .rowsBetween(Window.unboundedPreceding, 0))
     for name in sums:
@@ -127,7 +159,7 @@ def running_sums(df: DataFrame, order_by: Sequence[str], sums: dict[str, Column]
 def fill_forward_backward(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
                           partition_by: Sequence[str] = (),
                           n_buckets: int | None = None) -> DataFrame:
-    """Forward fill then backward fill ``cols`` in ``order_by`` order.
+    """Forward fill then backward fill ``cols`` in ``order_by`` order (within groups).
 
     Forward fill takes the last non-null value at or before the row; rows before
     the first non-null get the first non-null value (the backward fill).
@@ -135,32 +167,26 @@ def fill_forward_backward(df: DataFrame, cols: Sequence[str], order_by: Sequence
     cols = list(cols)
     if not cols:
         return df
-    order = _order_cols(order_by)
-    if partition_by:
-        parts = [col(c) for c in partition_by]
-        wf = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        wb = Window.partitionBy(*parts).orderBy(*_reverse_cols(order_by)).rowsBetween(Window.unboundedPreceding, 0)
-        for c in cols:
-            df = df.withColumn(c, F.coalesce(F.last(col(c), True).over(wf),
-                                             F.last(col(c), True).over(wb)))
-        return df
+    order, names = _order_cols(order_by), list(partition_by)
+    parts = [col(c) for c in names]
     b = with_range_bucket(df, order_by, n_buckets)
     okey = F.struct(*[col(c) for c in order_by])
-    # Per-range last/first non-null value: one small row per range.
-    summ = b.groupBy(BUCKET).agg(
+    # Per (group, range) the last and first non-null value; what a range takes over from
+    # those before and after it is found among the ranges of its group.
+    summ = b.groupBy(*parts, BUCKET).agg(
         *[F.max_by(col(c), F.when(col(c).isNotNull(), okey)).alias(f"__last_{i}") for i, c in enumerate(cols)],
         *[F.min_by(col(c), F.when(col(c).isNotNull(), okey)).alias(f"__first_{i}") for i, c in enumerate(cols)],
     )
-    prev = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    nxt = Window.orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
+    prev = Window.partitionBy(*parts).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = Window.partitionBy(*parts).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
     carry = summ.select(
-        BUCKET,
+        *parts, BUCKET,
         *[F.last(f"__last_{i}", True).over(prev).alias(f"__cf_{i}") for i in range(len(cols))],
         *[F.first(f"__first_{i}", True).over(nxt).alias(f"__cb_{i}") for i in range(len(cols))],
     )
-    b = b.join(F.broadcast(carry), BUCKET, "left")
-    wf = Window.partitionBy(BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    wb = Window.partitionBy(BUCKET).orderBy(*_reverse_cols(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+    b = _join_back(b, carry, names)
+    wf = Window.partitionBy(*parts, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    wb = Window.partitionBy(*parts, BUCKET).orderBy(*_reverse_cols(order_by)).rowsBetween(Window.unboundedPreceding, 0)
     for i, c in enumerate(cols):
         # Both windows share the partitioning, so Spark sorts once per direction.
         b = b.withColumn(f"__ff_{i}", F.last(col(c), True).over(wf))

@@ -129,6 +129,25 @@ def q_fill_forward_backward(spark, sf):
     return filled.select("event_id", ntz_micros("ts").alias("ts_us"))
 
 
+# A group with a third of the rows, a group without a key, and the groups of the users.
+_GROUPED_EVENTS = (f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 WHEN event_id % 50 = 1 THEN NULL ELSE user_id % 40 END AS grp, "
+                   f"CASE WHEN event_id % 5 < 3 THEN NULL ELSE value END AS value, ts FROM ({GAPPY_EVENTS_SQL})")
+
+
+@register("fill_by_group", f"""
+SELECT event_id, grp, round(coalesce(
+  last_value(value IGNORE NULLS) OVER (PARTITION BY grp ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(value IGNORE NULLS) OVER (PARTITION BY grp ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS value,
+  epoch_us(coalesce(
+  last_value(ts IGNORE NULLS) OVER (PARTITION BY grp ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(ts IGNORE NULLS) OVER (PARTITION BY grp ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) AS ts_us
+FROM ({_GROUPED_EVENTS})""")
+def q_fill_by_group(spark, sf):
+    df = sql(spark, sf, _GROUPED_EVENTS, ("events",))
+    filled = fill_forward_backward(df, ["value", "ts"], ["event_id"], partition_by=["grp"])
+    return round_doubles(filled.select("event_id", "grp", "value", ntz_micros("ts").alias("ts_us")))
+
+
 @register("impute_text", f"""
 SELECT doc_id, md5(coalesce(text, 'desconocido')) AS text_md5, text IS NULL AS was_missing
 FROM ({GAPPY_DOCUMENTS_SQL})""")

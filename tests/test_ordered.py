@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablesight.functions.ordered import fill_forward_backward, global_row_number, running_sums
+from tablesight.functions.ordered import BUCKET, fill_forward_backward, global_row_number, running_sums, with_range_bucket
 
 
 @settings(max_examples=8, deadline=None)
@@ -36,6 +36,39 @@ def test_row_number_and_running_sum_with_skewed_groups(spark):
         assert abs(got_s[(t.g, t.k)] - t.s) < 1e-9
 
 
+def test_grouped_fill_with_a_hot_group(spark):
+    """A group with most rows, a null group and small ones, against pandas; the hot group is spread over ranges."""
+    rnd = random.Random(4)
+    rows = [(None if i % 17 == 0 else 0 if i % 3 else i % 7, i, rnd.choice([None, None, float(i)]), rnd.choice([None, f"s{i}"])) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, k long, x double, s string").repartition(5)
+    out = fill_forward_backward(df, ["x", "s"], ["k"], partition_by=["g"], n_buckets=6)
+    got = {r["k"]: (r["x"], r["s"]) for r in out.collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "k", "x", "s"]).sort_values("k")
+    exp = pdf.assign(g=pdf["g"].fillna(-1)).groupby("g")[["x", "s"]].transform(lambda v: v.ffill().bfill())
+    for (_, t), e in zip(pdf.iterrows(), exp.itertuples(index=False)):
+        assert got[t.k] == (None if pd.isna(e.x) else e.x, None if pd.isna(e.s) else e.s)
+    sizes = with_range_bucket(df, ["k"], 6).filter("g = 0").groupBy(BUCKET).count().toPandas()["count"]
+    assert len(sizes) == 6 and sizes.max() <= 2 * sizes.min()
+    one = global_row_number(df, ["k"], name="r", partition_by=["g"], n_buckets=4).filter("g is null").orderBy("k").collect()
+    assert [r["r"] for r in one] == list(range(len(one)))  # a null group is a group
+
+
+def test_string_borders_are_whole_values(spark):
+    """Keys with a common head of 20 bytes, non-ASCII ones and nulls fall into ranges of similar size."""
+    head = "Customer#00000000000"
+    keys = [f"{head}{i * 37 % 5000:09d}" for i in range(5000)] + [f"{head}é{i}" for i in range(500)] + [None] * 20
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i long")
+    out = with_range_bucket(df, ["k", "i"], 8).groupBy(BUCKET).agg(F.count("k").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy(BUCKET).collect()
+    sizes = [r["n"] for r in out]
+    assert len(out) == 8 and max(sizes) <= 2 * min(sizes)
+    assert all(a["hi"].encode() <= b["lo"].encode() for a, b in zip(out, out[1:]))
+    got = global_row_number(df, ["k", "i"], name="r", n_buckets=8).orderBy("r").collect()
+    expected = sorted(((k or "").encode(), i) for i, k in enumerate(keys))
+    assert [(r["r"], r["i"]) for r in got] == [(n, i) for n, (_, i) in enumerate(expected)]
+    # a key that every row shares is one value of the sample
+    assert with_range_bucket(spark.range(3000).selectExpr("'x' as k"), ["k"], 8).filter(f"{BUCKET} > 0").count() == 0
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.sampled_from(["b", "a", "c", "d"])), min_size=2, max_size=40))
 def test_target_codes_match_pandas_categories(spark, values):

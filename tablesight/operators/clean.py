@@ -76,6 +76,7 @@ class CleaningPlan:
     clip: dict[str, tuple[float, float, int]] = field(default_factory=dict)
     order_by: list[str] | None = None
     text_fill: str = TEXT_FILL
+    n_missing_before: int = 0
 
     # ------------------------------------------------------------------ fit
     @classmethod
@@ -100,7 +101,8 @@ class CleaningPlan:
         n_dups = n_before - dedup.count()
         plan = cls(columns=list(raw.columns), kinds=kinds, pct_missing=pct,
                    n_rows_before=n_before, n_duplicates=n_dups, drop_columns=drop,
-                   order_by=list(order_by) if order_by else None, text_fill=text_fill)
+                   order_by=list(order_by) if order_by else None, text_fill=text_fill,
+                   n_missing_before=sum(int(r["n_missing"]) for r in prof))
         try:
             plan._fit_impute(dedup, keep)
             imputed = plan._apply_impute(dedup)
@@ -269,6 +271,7 @@ class CleaningPlan:
             ("overview_before", "n_rows", float(self.n_rows_before), None),
             ("overview_before", "n_cols", float(len(self.columns)), None),
             ("overview_before", "n_duplicates", float(self.n_duplicates), None),
+            ("overview_before", "total_missing", float(self.n_missing_before), None),
             ("overview_after", "n_rows", float(after["n_rows"]), None),
             ("overview_after", "n_cols", float(after["n_cols"]), None),
             ("overview_after", "n_duplicates", float(after["n_duplicates"]), None),

@@ -61,16 +61,17 @@ def _sort_number(dt: T.DataType, c: str) -> Column:
 def sample_values(df: DataFrame, k: int = SAMPLE_SIZE, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, sample_values): the ``k`` smallest distinct non-null values per column.
 
-    A ``dense_rank() <= k`` lets Spark limit every column's values in the map tasks, so
-    only the smallest ones are shuffled."""
+    Values are made distinct first (partly in the map tasks), so neither a column of few
+    values nor a frequent one fills a task; of the distinct values ``row_number() <= k``
+    keeps k per column and task before they meet."""
     df = normalize_missing(df)
     columns = list(columns or df.columns)
     types = {f.name: f.dataType for f in df.schema}
     cells = df.select(F.inline(F.array(*[F.struct(
         F.lit(c).alias("column_name"), _sort_number(types[c], c).alias("num"), col(c).cast("string").alias("value")) for c in columns])))
+    distinct = cells.filter(F.col("value").isNotNull()).groupBy("column_name", "num", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("column_name").orderBy(F.col("num").asc_nulls_last(), F.col("value"))
-    top = (cells.filter(F.col("value").isNotNull()).withColumn("rn", F.dense_rank().over(w))
-           .filter(F.col("rn") <= k).select("column_name", "rn", "value").distinct())
+    top = distinct.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
     return top.groupBy("column_name").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rn", "value"))), lambda s: s["value"]).alias("sample_values"))
 

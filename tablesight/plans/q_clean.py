@@ -215,6 +215,8 @@ rows AS (
          NULL AS str_value
   UNION ALL SELECT 'overview_before', 'n_cols', 6, NULL
   UNION ALL SELECT 'overview_before', 'n_duplicates', (SELECT count(*) FROM src) - (SELECT count(*) FROM d), NULL
+  UNION ALL SELECT 'overview_before', 'total_missing', (SELECT 6 * count(*) - count(event_id) - count(ts) - count(user_id) - count(event_type)
+    - count(value) - count(props) FROM src), NULL
   UNION ALL SELECT 'overview_after', 'n_rows', (SELECT count(*) FROM d), NULL
   UNION ALL SELECT 'overview_after', 'n_cols', 6, NULL
   UNION ALL SELECT 'overview_after', 'n_duplicates', 0, NULL

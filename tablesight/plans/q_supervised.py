@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
 from ..operators import metrics as M
 from ..operators import supervised as S
+from ..operators.boosting import SoftmaxBoosting
 from ..operators.features import encode_target, fit_target
 from .registry import register
 from .tables import load, sql
@@ -219,3 +221,21 @@ def q_permutation_importance(spark, sf):
         return res.encoder.transform(d, keep=["p_partkey", *keep], vector_col="raw_features")
 
     return S.permutation_importance(res.model, test, ["p_size", "p_brand", "shelf"], "p_partkey", is_cls=False, assemble=assemble)
+
+
+@register("softmax_boosting")
+def q_softmax_boosting(spark, sf):
+    """Order status (three classes) from price, month and customer: per class the orders, how
+    many are predicted so, the mean probability, and the largest error of a probability sum."""
+    orders = load(spark, sf, "orders").select(
+        "o_orderstatus", F.array(F.col("o_totalprice").cast("double"), F.months_between(F.col("o_orderdate").cast("date"), F.lit("1992-01-01")),
+                                 F.col("o_custkey").cast("double")).alias("x"))
+    classes = [r[0] for r in orders.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()]  # the statuses
+    rows = orders.withColumn("label", F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("o_orderstatus")) - 1).withColumn(
+        "features", array_to_vector("x"))
+    pred = SoftmaxBoosting(rounds=20, rate=0.3).fit(rows).transform(rows).withColumn("p", vector_to_array("probability"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
+    out = pred.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("prediction") == F.col("label"), 1)).alias("n_hit"),
+        F.avg(F.element_at("p", (F.col("label") + 1).cast("int"))).alias("mean_probability"), F.max(F.abs(total - 1)).alias("sum_error"))
+    return round_doubles(out)

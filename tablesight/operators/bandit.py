@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,34 +67,17 @@ class BanditState:
         return inv, theta
 
 
-def _stats_schema() -> str:
-    return "arm int, kind string, idx int, value double"
-
-
 def sufficient_stats(df: DataFrame, arm: str, x: str, reward: str, dim: int) -> DataFrame:
     """H2: (arm, kind, idx, value) with kind 'A' = sum of x x' (idx = i*d + j) and
-    kind 'b' = sum of reward * x (idx = i), per arm. Numpy partials per Arrow batch,
-    then one grouped sum."""
-    def partial(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf["__x"].to_numpy()).astype(float).reshape(len(pdf), dim)
-            a = pdf["__a"].to_numpy()
-            r = pdf["__r"].to_numpy(dtype=float)
-            rows = []
-            for arm_id in np.unique(a):
-                m = a == arm_id
-                Xa = X[m]
-                A = (Xa.T @ Xa).ravel()
-                bv = Xa.T @ r[m]
-                rows.append(pd.DataFrame({"arm": int(arm_id), "kind": "A", "idx": np.arange(dim * dim), "value": A}))
-                rows.append(pd.DataFrame({"arm": int(arm_id), "kind": "b", "idx": np.arange(dim), "value": bv}))
-            yield pd.concat(rows, ignore_index=True).astype({"arm": "int32", "idx": "int32"})
-
-    src = df.select(col(arm).cast("int").alias("__a"), col(x).alias("__x"), col(reward).cast("double").alias("__r"))
-    return (src.mapInPandas(partial, _stats_schema())
-            .groupBy("arm", "kind", "idx").agg(F.sum("value").alias("value")))
+    kind 'b' = sum of reward * x (idx = i), per arm: one grouped sum of the products."""
+    context = F.slice(F.transform(col(x), lambda v: v.cast("double")), 1, dim)
+    products = F.concat(F.flatten(F.transform(context, lambda a: F.transform(context, lambda b: a * b))),
+                        F.transform(context, lambda a: a * F.col("__r")))
+    sums = df.select(col(arm).cast("int").alias("arm"), col(x), col(reward).cast("double").alias("__r")).groupBy("arm").agg(
+        vector_to_array(Summarizer.sum(array_to_vector(products))).alias("s"))
+    rows = sums.select("arm", F.posexplode("s").alias("at", "value"))
+    return rows.select("arm", F.when(F.col("at") < dim * dim, "A").otherwise("b").alias("kind"),
+                       (F.col("at") - F.when(F.col("at") < dim * dim, 0).otherwise(dim * dim)).cast("int").alias("idx"), "value")
 
 
 def _dot_lit(x: Column, v: Sequence[float]) -> Column:

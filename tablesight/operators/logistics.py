@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
@@ -36,14 +36,14 @@ def route_coordinates(df: DataFrame, location: str, coords: DataFrame, keep: Seq
     rows = df.filter(col(location).isNotNull())
     if max_routes is not None:
         rows = rows.orderBy(*[col(c) for c in order_by]).limit(max_routes)
-    c = F.broadcast(clean_coordinates(coords).select(F.col("location").cast("string").alias("__loc"), "lat", "lon"))
+    c = clean_coordinates(coords).select(F.col("location").cast("string").alias("__loc"), "lat", "lon")  # its size decides the join
     return rows.join(c, col(location).cast("string") == F.col("__loc")).select(
         *[col(k) for k in keep], col(location).cast("string").alias("destino"), "lat", "lon")
 
 
 def unmapped_locations(df: DataFrame, location: str, coords: DataFrame) -> DataFrame:
     """M1: distinct non-null locations with no usable coordinates (anti join)."""
-    c = F.broadcast(clean_coordinates(coords).select(F.col("location").cast("string").alias("__loc")))
+    c = clean_coordinates(coords).select(F.col("location").cast("string").alias("__loc"))
     locs = df.filter(col(location).isNotNull()).select(col(location).cast("string").alias("destino")).distinct()
     return locs.join(c, F.col("destino") == F.col("__loc"), "left_anti")
 
@@ -61,12 +61,14 @@ def delay_flag(c: Column) -> Column:
 
 def route_arcs(routes: DataFrame, delayed: str = "delayed") -> DataFrame:
     """M5: one arc per destination from the centroid, with route counts and delay rate."""
-    o = route_centroid(routes).first()  # the origin is one point
     per = routes.groupBy("destino", "lat", "lon").agg(
         F.count(F.lit(1)).cast("long").alias("n_routes"),
         F.sum(F.col(delayed).cast("int")).cast("long").alias("n_delayed"))
+    # the centroid from the places' counts: a row per place of the coordinate table
+    every = Window.partitionBy()
+    mean = {c: F.sum(F.col(c) * F.col("n_routes")).over(every) / F.sum("n_routes").over(every) for c in ("lat", "lon")}
     return per.select(
-        F.lit(o["origin_lat"]).cast("double").alias("from_lat"), F.lit(o["origin_lon"]).cast("double").alias("from_lon"),
+        mean["lat"].alias("from_lat"), mean["lon"].alias("from_lon"),
         F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"), "destino", "n_routes", "n_delayed",
         (F.col("n_delayed") / F.col("n_routes")).alias("delay_rate"),
         F.when(F.col("n_delayed") > 0, F.lit(COLOR_DELAYED)).otherwise(F.lit(COLOR_ON_TIME)).alias("status"))

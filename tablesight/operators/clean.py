@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from ..functions.columns import adjusted_skew, col, normalize_missing
 from ..functions.ordered import fill_forward_backward
 from ..functions.quantiles import mode_map, quantile_map
+from . import texts as X
 from .profile import missing_counts, profile_columns, quartile_map
 
 # Fixed values of the reference's cleaning rules.
@@ -288,6 +289,17 @@ class CleaningPlan:
         return spark.createDataFrame(rows, "section string, key string, num_value double, str_value string")
 
 
+def cleaning_sentences(facts: DataFrame, words: DataFrame) -> DataFrame:
+    """The sentences before and after cleaning in the words of each domain. ``facts`` has
+    one row (``n_rows, n_cols, n_duplicates, total_missing, total_outliers, n_rows_after,
+    n_cols_after, n_imputed, n_clipped, total_missing_after``), ``words`` one row per domain."""
+    both = words.crossJoin(F.broadcast(facts))  # one row of facts
+    numbers = ("n_rows", "n_cols", "n_duplicates", "total_missing", "total_outliers", "n_rows_after", "n_cols_after", "n_imputed", "n_clipped")
+    values = {**{c: F.col(c).cast("long").cast("string") for c in numbers}, **{c: F.col(c) for c in words.columns if c != "domain"},
+              "none_missing": F.when(F.col("total_missing_after") == 0, "True").otherwise("False")}
+    return both.select("domain", X.fill(X.CLEAN_BEFORE, values).alias("before"), X.fill(X.CLEAN_AFTER, values).alias("after"))
+
+
 def clean_table(df: DataFrame, order_by: Sequence[str] | None = None, **kw) -> tuple[DataFrame, CleaningPlan]:
     """C11: fit the plan on ``df`` and return (cleaned DataFrame, plan)."""
     plan = CleaningPlan.fit(df, order_by=order_by, **kw)

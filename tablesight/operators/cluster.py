@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from . import texts as X
 from .cluster_fits import Bounds, fit_many, plain_silhouettes
 
 MAX_K = 8
@@ -177,6 +178,15 @@ def distinctive_features(profile: DataFrame, columns: Sequence[str]) -> DataFram
                       .alias("direction"))
 
 
+def traits_text(profile: DataFrame, columns: Sequence[str]) -> str:
+    """G9 as one text for the report; one row per cluster comes to the driver."""
+    if not columns:
+        return ""
+    top = distinctive_features(profile, columns)
+    line = X.fill(X.CLUSTER_TRAIT, {"cluster": F.col("cluster").cast("string"), "column_name": F.col("column_name"), "direction": F.col("direction")})
+    return "; ".join(r["line"] for r in top.orderBy("cluster").select(line.alias("line")).collect())
+
+
 @dataclass
 class ClusterResult:
     status: str

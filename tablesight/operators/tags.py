@@ -182,3 +182,13 @@ def goal_labels(requests: DataFrame, labels: DataFrame) -> DataFrame:
          .withColumn("eff_goal", F.coalesce("kg", F.lit(V.DEFAULT_GOAL))))
     lab = labels.select(F.col("domain").alias("eff_domain"), F.col("goal").alias("eff_goal"), "goal_label")
     return r.join(F.broadcast(lab), ["eff_domain", "eff_goal"], "left").drop("kd", "kg")
+
+
+def vocab_for(requests: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``requests`` (with a ``domain``) and the words of that domain; an unknown, missing
+    or differently written domain (case, spaces) falls back to 'general' or its own words."""
+    known = vocab.select(F.col("domain").alias("__known"))
+    words = vocab.withColumnRenamed("domain", "eff_domain")
+    r = requests.join(F.broadcast(known), F.lower(F.trim(F.col("domain"))) == F.col("__known"), "left").withColumn(
+        "eff_domain", F.coalesce("__known", F.lit("general"))).drop("__known")
+    return r.join(F.broadcast(words), "eff_domain")  # one row per domain

@@ -24,6 +24,17 @@ FINDING_CONTINUOUS = ("En '{target}'{frame_note}, el valor promedio es {media} (
 FINDING_NEUTRAL = ("Se analizaron {n_rows} registros sobre '{target}'{frame_note}; los datos quedaron completos y "
                    "listos para decidir.")
 
+# --- fixed values: cleaning sentences (C10) -------------------------------
+CLEAN_BEFORE = ("El dataset tiene {n_rows} registros de {row_word} y {n_cols} columnas. Detecte {n_duplicates} "
+                "{duplicate_phrase}, {total_missing} {null_phrase} en total y {total_outliers} {outlier_phrase} en "
+                "columnas numericas.")
+CLEAN_AFTER = ("Dataset limpio: {n_rows_after} registros de {row_word} x {n_cols_after} columnas. Elimine {n_duplicates} "
+               "{duplicate_phrase}, impute {n_imputed} columnas y trate {outlier_phrase} en {n_clipped} columnas. "
+               "Ya no quedan {null_phrase}: {none_missing}.")
+
+# --- fixed values: cluster traits (G9) -------------------------------------
+CLUSTER_TRAIT = "Cluster {cluster}: {column_name} {direction}"
+
 # --- fixed values: report (J6) --------------------------------------------
 REPORT_TITLE = "Reporte Ejecutivo: Analisis de {target_title}"
 REPORT_SUMMARY = ("Se analizo{domain_clause} un universo de {n_rows} registros con {n_cols} variables, enfocado en "

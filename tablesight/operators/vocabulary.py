@@ -53,6 +53,38 @@ TARGET_PHRASE = {
     "general": "variable objetivo",
 }
 
+# --- fixed values: words for rows, gaps and groups per domain --------------
+VOCAB = {
+    "finanzas": {"row_word": "cliente o transaccion",
+                 "null_phrase": "datos faltantes en el historial financiero",
+                 "duplicate_phrase": "transacciones registradas mas de una vez",
+                 "outlier_phrase": "movimientos con montos atipicos (posibles anomalias)",
+                 "target_phrase": "indicador de riesgo financiero",
+                 "group_word": "segmento de clientes",
+                 "action_word": "politica de credito o retencion"},
+    "logistica": {"row_word": "pedido o envio",
+                  "null_phrase": "datos faltantes en el registro logistico",
+                  "duplicate_phrase": "pedidos registrados mas de una vez",
+                  "outlier_phrase": "tiempos o costos fuera de lo normal (posibles cuellos de botella)",
+                  "target_phrase": "indicador de cumplimiento de entrega",
+                  "group_word": "grupo de rutas o SKUs",
+                  "action_word": "politica de inventario o ruteo"},
+    "estrategia": {"row_word": "registro de mercado o segmento",
+                   "null_phrase": "datos faltantes en la informacion de mercado",
+                   "duplicate_phrase": "registros de mercado repetidos",
+                   "outlier_phrase": "valores fuera de lo esperado (posibles oportunidades o riesgos)",
+                   "target_phrase": "KPI estrategico",
+                   "group_word": "segmento estrategico",
+                   "action_word": "asignacion de recursos o inversion"},
+    "general": {"row_word": "fila",
+                "null_phrase": "valores nulos",
+                "duplicate_phrase": "filas duplicadas",
+                "outlier_phrase": "valores atipicos (outliers)",
+                "target_phrase": "variable objetivo",
+                "group_word": "grupo",
+                "action_word": "accion"},
+}
+
 # --- fixed values: column-tag keywords ------------------------------------
 MONEY_KEYWORDS = ("monto", "ingreso", "pago", "factura", "saldo", "credito", "crédito",
                   "deuda", "cartera", "prestamo", "préstamo", "transaccion", "transacción",
@@ -130,3 +162,10 @@ def goal_labels_frame(spark: SparkSession) -> DataFrame:
 def weights_frame(spark: SparkSession) -> DataFrame:
     rows = [(g, a, GOAL_WEIGHTS[g][a]) for g in GOALS for a in APPROACHES]
     return spark.createDataFrame(rows, "goal string, approach string, weight double")
+
+
+def vocab_frame(spark):
+    """One row per domain with its words (a fixed small table)."""
+    keys = list(VOCAB["general"])
+    return spark.createDataFrame([(d, *[w[k] for k in keys]) for d, w in VOCAB.items()],
+                                 "domain string, " + ", ".join(f"{k} string" for k in keys))

@@ -23,6 +23,7 @@ from ..operators import tags as TG
 from ..operators import vocabulary as V
 from ..operators.clean import CleaningPlan
 from ..operators.features import FeatureEncoder, encode_target, fit_target, quantile_bins, standardize
+from ..operators.profile import numeric_columns
 from ..operators.supervised import train_and_select
 
 APPROACHES = V.APPROACHES
@@ -142,14 +143,22 @@ def analyze(clean: DataFrame, key: str, target: str | None, approaches: Sequence
     rec = R.recommendation(R.weighted_scores(status, req), req)
     out = Analysis(status, rec, results)
     try:
-        out.facts, out.report = _report(clean, target, goal, case_id, rec, results, domain)
+        out.facts, out.report = _report(clean, key, target, goal, case_id, rec, results, domain)
     except Exception as exc:  # noqa: BLE001 - O4: a failing report leaves the results
         failed = spark.createDataFrame([(case_id, "report", "failed", 0.0, f"{type(exc).__name__}: {exc}")], status.schema)
         out.status = status.unionByName(failed)
     return out
 
 
-def _report(clean, target, goal, case_id, rec, results, domain):
+def _traits(clean, key, target, uns) -> str:
+    """What distinguishes the clusters of this run: the numeric columns but key and target."""
+    if uns is None or uns.assignments is None:
+        return ""
+    columns = numeric_columns(clean, exclude=[key, *([target] if target else [])])
+    return C.traits_text(C.cluster_profile(clean.join(uns.assignments, key), "cluster", columns), columns)
+
+
+def _report(clean, key, target, goal, case_id, rec, results, domain):
     """J4-J6 from what this run measured: the fact sections, the key finding, the report."""
     spark = clean.sparkSession
     sup, uns, rl = (results.get(a) for a in APPROACHES)
@@ -160,7 +169,7 @@ def _report(clean, target, goal, case_id, rec, results, domain):
     task = sup.task if sup is not None else None
     wide = spark.createDataFrame([(
         case_id, win["winner"], target, task, metrics.get("accuracy"), metrics.get("r2"), top["feature"] if top else None,
-        uns.best_k if uns is not None else None, "", float(final["final_reward"]) if final else None,
+        uns.best_k if uns is not None else None, _traits(clean, key, target, uns), float(final["final_reward"]) if final else None,
         float(final["baseline"]) if final else None, n_rows, len(clean.columns),
         V.GOAL_LABELS.get(domain or "general", V.GOAL_LABELS["general"]).get(goal), win["winner_label"], V.DOMAIN_LABELS.get(domain))],
         "case_id string, winner string, target string, task string, accuracy double, r2 double, top_feature string, best_k int, "

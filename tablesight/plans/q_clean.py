@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import adjusted_skew, col, ntz_micros, round_doubles
 from ..functions.ordered import fill_forward_backward
 from ..operators import profile as P
-from ..operators.clean import CleaningPlan, coerce_numeric, dedupe_rows
+from ..operators import tags as TG
+from ..operators import texts as X
+from ..operators import vocabulary as V
+from ..operators.clean import CleaningPlan, cleaning_sentences, coerce_numeric, dedupe_rows
 from .registry import register
 from .tables import (DIRTY_EVENTS_SQL, GAPPY_DOCUMENTS_SQL, GAPPY_EVENTS_SQL, dirty_events,
                      gappy_documents, gappy_events, load, sql)
@@ -257,3 +262,31 @@ WHERE try_cast(raw_amount AS DOUBLE) IS NOT NULL""")
 def q_coerce_numeric(spark, sf):
     df = sql(spark, sf, _COERCE_SQL, ("events",))
     return coerce_numeric(df, "raw_amount", alias="amount").select("event_id", "amount")
+
+
+_WORDS = ", ".join("(" + ", ".join("'" + v + "'" for v in (d, *w.values())) + ")" for d, w in V.VOCAB.items())
+
+
+def _sentence(text: str) -> str:
+    """A sentence format as SQL text."""
+    return "concat(" + ", ".join(p if i % 2 else "'" + p + "'" for i, p in enumerate(re.split(r"[{}]", text)) if p) + ")"
+
+
+@register("cleaning_sentences", _EVENTS_CLEAN_CTES + f""",
+{_clip_ctes('src', EV_NUM)},
+w(domain, {', '.join(V.VOCAB['general'])}) AS (VALUES {_WORDS}),
+f AS (SELECT (SELECT count(*) FROM src) AS n_rows, 6 AS n_cols, (SELECT count(*) FROM src) - (SELECT count(*) FROM d) AS n_duplicates,
+  (SELECT 6 * count(*) - count(event_id) - count(ts) - count(user_id) - count(event_type) - count(value) - count(props) FROM src) AS total_missing,
+  (SELECT CAST(n_0 + n_1 + n_2 AS BIGINT) FROM c_src) AS total_outliers, (SELECT count(*) FROM d) AS n_rows_after, 6 AS n_cols_after, 2 AS n_imputed,
+  (SELECT CAST(n_0 > 0 AS INT) + CAST(n_1 > 0 AS INT) + CAST(n_2 > 0 AS INT) FROM c_imp) AS n_clipped, 'True' AS none_missing)
+SELECT domain, {_sentence(X.CLEAN_BEFORE)} AS before, {_sentence(X.CLEAN_AFTER)} AS after FROM w, f""")
+def q_cleaning_sentences(spark, sf):
+    raw = dirty_events(spark, sf)
+    plan = CleaningPlan.fit(raw, order_by=["event_id"])
+    before, after = P.overview(raw), P.overview(plan.transform(raw))
+    outliers = P.iqr_outliers(raw, EV_NUM).agg(F.sum("n_outliers").alias("total_outliers"))
+    facts = before.crossJoin(outliers).crossJoin(after.select(  # three rows of one table each
+        F.col("n_rows").alias("n_rows_after"), F.col("n_cols").alias("n_cols_after"), F.col("total_missing").alias("total_missing_after"))).withColumns(
+        {"n_imputed": F.lit(len(plan.impute)), "n_clipped": F.lit(len(plan.clip))})
+    requests = spark.createDataFrame([(d,) for d in V.VOCAB], "domain string")
+    return cleaning_sentences(facts, TG.vocab_for(requests, V.vocab_frame(spark)).drop("eff_domain"))

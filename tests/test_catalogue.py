@@ -35,3 +35,18 @@ def test_tag_queries_cover_every_table(spark, name):
     names = [d[0] for d in cur.description]
     want = [dict(zip(names, r)) for r in cur.fetchall()]
     assert sorted(map(repr, ([r[c] for c in names] for r in rows))) == sorted(map(repr, ([r[c] for c in names] for r in want)))
+
+
+def test_vocabulary_falls_back_to_general(spark):
+    from tablesight.operators import tags as TG
+    from tablesight.operators import vocabulary as V
+    req = spark.createDataFrame([(" Finanzas ",), ("nope",), (None,)], "domain string")
+    got = {r["domain"]: (r["eff_domain"], r["row_word"]) for r in TG.vocab_for(req, V.vocab_frame(spark)).collect()}
+    assert got == {" Finanzas ": ("finanzas", "cliente o transaccion"), "nope": ("general", "fila"), None: ("general", "fila")}
+
+
+def test_cluster_traits_text(spark):
+    from tablesight.operators import cluster as C
+    df = spark.createDataFrame([(0, 1.0, 5.0), (0, 3.0, 5.0), (1, 10.0, 6.0)], "cluster int, a double, b double")
+    text = C.traits_text(C.cluster_profile(df, "cluster", ["a", "b"]), ["a", "b"])
+    assert text == "Cluster 0: a bajo; Cluster 1: a alto" and C.traits_text(df, []) == ""

@@ -347,6 +347,7 @@ def plain_silhouettes(data: DataFrame, vec: str, labellings: Sequence[str | np.n
     for bits, apart in refinements:
         found = silhouette_bounds(data, vec, labellings, bits, apart)
         best = [Bounds(max(b.low, f.low), min(b.high, f.high)) for b, f in zip(best, found)]
-        if decided(best):
+        # bounds that meet say the value: equal labellings cannot be told apart further
+        if decided(best) or all(b.high - b.low <= 1e-6 for b in best):
             return best, True
     return best, False

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(names) == set(QUERIES)
 
 

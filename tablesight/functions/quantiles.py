@@ -158,7 +158,7 @@ def group_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     joined = base.join(sketch.select("__k", *[f"__{s}{i}" for s in "nb" for i in range(len(x))]), F.col("__key") == F.col("__k"))
     for small in (SMALL, None):
         counts = _stored(_inside_counts(joined, len(x), len(probs), small))
-        picks = _group_picks(counts, sketch, len(columns), probs, small)
+        picks = _stored(_group_picks(counts, sketch, len(columns), probs, small))  # a row per group, read twice
         # brackets hold their positions unless the sketch broke its bound
         bad = picks.filter(" or ".join(f"(__n{i} > 0 and exists(__q{i}, q -> q is null))" for i in range(len(x))))
         if small is None or bad.isEmpty():

@@ -1,11 +1,14 @@
 """N-best segmentation into SentencePiece pieces, and decoding.
 
 The lattice over a text has an edge for every vocabulary piece that occurs in it, with
-the piece's score; a character without a piece gets an edge of its byte pieces. From the
-end of a word to its start, every position keeps the N best segmentations of what follows
-it, ties included in their order, so no number of ties is too many and the work grows with
-the length of the word. Viterbi scores of many words at once tell the words whose best
-segmentation has no equal; only the others need their lists for the best ids.
+the piece's score; a character without a piece gets an edge of its byte pieces. Forward
+Viterbi gives every position the loss and the fewest pieces of its best beginning: exactly
+what a segmentation that continues to the left from there still has to pay. A backward A*
+search with that heuristic takes partial segmentations from the end of the word in the order
+of their best whole segmentation. A position is taken at most N times (a later one has N
+better ones with the same beginning), so the queue stays within N times the edges, however many
+segmentations tie. Viterbi scores of many words at once tell the words whose best
+segmentation has no equal; only the others are searched for the best ids.
 
 No piece of the vocabulary has the space mark after another character, or a line break
 beside others (checked when the model is read), so the lattice falls apart there: words are searched by
@@ -13,10 +16,11 @@ themselves, and the N best of the text are combined from the words with the smal
 losses, which is exact.
 
 Ties in score go to the segmentation with fewer pieces, then to the smaller ids in
-order. Nulls, empties: a null text counts as empty; an empty text has one segmentation
+order (scores whose sums are not exact in doubles tie up to their rounding). A table that
+already has a column of an added name is refused. Nulls, empties: a null text counts as empty; an empty text has one segmentation
 without pieces and a score of 0. A text with fewer than N segmentations returns all it
 has. Texts of any length are handled whole; a word longer than ``LONG_WORD`` characters is
-searched in pieces' windows like any other but not memorised. Repeated rows get equal results;
+searched like any other but not memorised. Repeated rows get equal results;
 extra columns pass through.
 """
 
@@ -33,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import refuse_clash, text_or_empty
 
 SPACE = "▁"
 MEMO = 400_000
@@ -72,6 +76,9 @@ class PieceLattice:
         #: Every beginning of a piece; with (id, score) where it is a piece itself.
         self.trie: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.edges for k in range(1, len(p) + 1)}
         self.trie.update(self.edges)
+        #: The same for the endings of pieces.
+        self.tails: dict[str, tuple[int, float] | None] = {p[k:]: None for p in self.edges for k in range(len(p))}
+        self.tails.update(self.edges)
         with np.errstate(over="ignore"):
             base, size = 0x9E3779B97F4A7C15, 4096 * LONG_WORD + 1
             self._up = np.cumprod(np.r_[1, np.full(size, base, np.uint64)].astype(np.uint64), dtype=np.uint64)
@@ -102,33 +109,65 @@ class PieceLattice:
             out.append((start + 1, ids, self.byte_score * len(ids)))
         return out
 
-    def word_nbest(self, word: str, n: int) -> list[Segmentation]:
-        """The ``n`` best (score, ids) of a word, best first.
+    def _edges_into(self, word: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """The pieces that end at ``end``, as (start, ids, score)."""
+        tails, out = self.tails, []
+        for start in range(end - 1, -1, -1):
+            hit = tails.get(word[start:end], False)
+            if hit is False:
+                break
+            if hit is not None:
+                out.append((start, (hit[0],), hit[1]))
+        if tails.get(word[end - 1]) is None:
+            raw = word[end - 1].encode("utf-8", "replace")
+            ids = tuple(self.bytes.get(b, self.unknown) for b in raw) if self.bytes else (self.unknown,)
+            out.append((end - 1, ids, self.byte_score * len(ids)))
+        return out
 
-        Every position keeps the ``n`` best segmentations of the rest of the word. Pieces
-        that begin at one position differ in their first id, and segmentations with the
-        same piece there end in the same list, so (loss, pieces, first id, rank in that
-        list) orders them by (loss, pieces, ids) without comparing the ids themselves."""
+    def _forward(self, word: str) -> list[tuple[float, int]]:
+        """(loss, fewest pieces) of the best segmentation of every beginning of the word."""
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            best.append(min((best[start][0] - score, best[start][1] + len(ids)) for start, ids, score in self._edges_into(word, end)))
+        return best
+
+    def word_nbest(self, word: str, n: int) -> list[Segmentation]:
+        """The ``n`` best (score, ids) of a word, best first, by backward A*.
+
+        The queue is ordered by (loss, pieces) of the best whole segmentation that ends with
+        the part found so far, then from right to left, then by (first id, rank of what
+        follows it at its position). Edges lead to the left, so of equal losses and pieces
+        all parts that begin further right are taken before; thus the parts of one position
+        are all in the queue when the first of them is taken, and as pieces that begin
+        at one position differ in their first id, they come out by (loss, pieces, ids)
+        without a comparison of ids."""
         got = self._memo.get(word) if n == self._memo_n else None
         if got is not None:
             return got
-        # (loss, pieces, first id, rank in the list at the end of the first piece, ids as a linked list)
-        rest: list[list[tuple]] = [[] for _ in word] + [[(0.0, 0, 0, 0, None)]]
-        far = self._lengths[-1]
-        for at in range(len(word) - 1, -1, -1):
-            here = [(x[0] - score, x[1] + len(ids), ids[0], rank, (ids, x[4]))
-                    for end, ids, score in self._edges(word, at) for rank, x in enumerate(rest[end])]
-            here.sort()
-            rest[at] = here[:n]
-            if at + far < len(rest):
-                rest[at + far] = []  # no piece from further left reaches it
-        out = []
-        for loss, _, _, _, link in rest[0]:
-            path: list[int] = []
-            while link is not None:
-                ids, link = link
-                path += ids
-            out.append((0.0 - loss, tuple(path)))
+        ahead = self._forward(word)
+        taken = [0] * (len(word) + 1)
+        # (loss and pieces of the whole, -position, first id, rank after it, loss and pieces of the part, ids as a linked list)
+        queue: list[tuple] = [(*ahead[-1], -len(word), 0, 0, 0.0, 0, None)]
+        out: list[Segmentation] = []
+        while queue and len(out) < n:
+            _, _, at, _, _, loss, count, link = heapq.heappop(queue)
+            at = -at
+            if taken[at] == n:
+                continue
+            rank = taken[at]
+            taken[at] += 1
+            if at == 0:
+                path: list[int] = []
+                while link is not None:
+                    ids, link = link
+                    path += ids
+                out.append((0.0 - loss, tuple(path)))
+                continue
+            for start, ids, score in self._edges_into(word, at):
+                if taken[start] < n:
+                    part, pieces = loss - score, count + len(ids)
+                    before = ahead[start]
+                    heapq.heappush(queue, (before[0] + part, before[1] + pieces, -start, ids[0], rank, part, pieces, (ids, link)))
         if len(word) <= LONG_WORD:
             if n != self._memo_n or len(self._memo) >= MEMO:
                 self._memo.clear()
@@ -334,6 +373,7 @@ def encode_nbest(docs: DataFrame, model_file: str, n: int = 3, text_col: str = "
         for s in batches:
             yield s.map(lambda t: [{"score": sc, "ids": list(ids)} for sc, ids in pl.nbest(pl.normalized(t), n)])
 
+    refuse_clash(docs, ["segmentations"])
     kind = "array<struct<score:double,ids:array<int>>>"
     return docs.withColumn("segmentations", F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)(text_or_empty(text_col)))
 
@@ -347,6 +387,7 @@ def decode_ids(docs: DataFrame, ids_col: str, model_file: str, name: str = "deco
         for s in batches:
             yield s.map(lambda ids: pl.model.decode([int(i) for i in ids]) if ids is not None else None)
 
+    refuse_clash(docs, [name])
     return docs.withColumn(name, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col(ids_col)))
 
 
@@ -384,6 +425,7 @@ def segmentation_digest(docs: DataFrame, model_file: str, n: int = 3, text_col:
                     out.append((len(ids), [total, *(_small_sums(near, n, total) if near else [])], zlib.crc32(ids.tobytes()), bool(whole[w].all())))
             yield pd.DataFrame(out, columns=["n_pieces", "scores", "ids_crc32", "round_trip"])
 
+    refuse_clash(docs, ["n_pieces", "scores", "ids_crc32", "round_trip", "__r"])
     kind = "n_pieces long, scores array<double>, ids_crc32 long, round_trip boolean"
     got = docs.withColumn("__r", F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)(text_or_empty(text_col)))
     return got.select(*docs.columns, *[F.col(f"__r.{c}").alias(c) for c in ("n_pieces", "scores", "ids_crc32", "round_trip")])

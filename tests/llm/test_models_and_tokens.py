@@ -174,3 +174,23 @@ def test_nbest_odd_rows(docs_of):
         assert a.text == b.text and b.round_trip and b.n_pieces == len(a.best)
         assert b.scores == pytest.approx([s.score for s in a.segmentations])
     assert nbest.segmentation_digest(docs_of([]), path).count() == 0
+
+
+def test_long_words(lattice):
+    for n in (1, 3):
+        word = "▁" + "thequickbrown-" * 25
+        assert lattice.word_nbest(word, n) == prefix_nbest(lattice, word, n)
+    word = "▁" + "thequickbrown-" * 3_000
+    got = lattice.word_nbest(word, 3)
+    assert all(lattice.decode(ids) == word for _, ids in got) and len(set(got)) == 3
+    assert [s for s, _ in got] == sorted((sum(lattice.model.get_score(i) for i in ids) for _, ids in got), reverse=True)
+    assert got[0][0] == -lattice._forward(word)[-1][0]
+
+
+def test_nbest_clashing_columns(docs_of):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = docs_of([(1, "a b")])
+    with pytest.raises(ValueError):
+        nbest.encode_nbest(docs.withColumn("Segmentations", F.lit(1)), path)
+    with pytest.raises(ValueError):
+        nbest.segmentation_digest(docs.withColumn("scores", F.lit(1)), path)

@@ -17,7 +17,8 @@ a spanning forest of the links found, not the pairs.
 
 Nulls and other odd values: vectors that are null, empty, zero or hold null or
 non-finite components, and rows without a label, link with nothing. Vectors of
-different length do not link. Repeated rows count as vectors of their own. An empty
+different length do not link. Repeated rows, and different vectors with one id, count as
+vectors of their own. An empty
 table gives an empty table; extra columns are left out.
 """
 
@@ -75,17 +76,23 @@ def _cells(label: int, rot: np.ndarray, cosine: float) -> list[tuple[str, bool]]
     return out
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """The vector times the power of two that brings its largest component to 0.5 up to 1:
+    cosines stay, and no square overflows or vanishes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def _spread(cosine: float):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for at in range(0, len(pdf), 1024):
                 out = []
-                for rep, label, mult, emb in pdf.iloc[at:at + 1024][["rep", "label", "mult", "emb"]].itertuples(index=False):
-                    v = np.asarray(emb, dtype=np.float64)
+                for cls, label, mult, emb in pdf.iloc[at:at + 1024][["cls", "label", "mult", "emb"]].itertuples(index=False):
+                    v = _scaled(np.asarray(emb, dtype=np.float64))
                     rot = (rotation(len(v)) @ (v / np.linalg.norm(v))).astype(np.float32)
                     raw, turned = v.tobytes(), rot.tobytes()
-                    out += [(cell, home, rep, mult, raw, turned) for cell, home in _cells(label, rot, cosine)]
-                yield pd.DataFrame(out, columns=["cell", "home", "rep", "mult", "raw", "rot"])
+                    out += [(cell, home, cls, mult, raw, turned) for cell, home in _cells(label, rot, cosine)]
+                yield pd.DataFrame(out, columns=["cell", "home", "cls", "mult", "raw", "rot"])
 
     return run
 
@@ -110,7 +117,7 @@ def _compare(cosine: float):
         u, v = unpack(mine["raw"], np.float64), unpack(other["raw"], np.float64)
         p, q = unpack(mine["rot"], np.float32), unpack(other["rot"], np.float32)
         nu, nv = np.sqrt((u * u).sum(1)), np.sqrt((v * v).sum(1))
-        ids, others = mine["rep"].to_numpy(np.int64), other["rep"].to_numpy(np.int64)
+        ids, others = mine["cls"].to_numpy(np.int64), other["cls"].to_numpy(np.int64)
         mult = other["mult"].to_numpy(np.int64)
         bounds, limit = block_bounds(u.shape[1]), budgets(u.shape[1], cosine)
         lo, hi = bounds[block]
@@ -150,20 +157,24 @@ def link_embeddings(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("emb", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("__fit", fit)
     good = rows.filter("__fit")
-    classes = cut(good.groupBy("label", "emb").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")))
-    spread = classes.select("rep", F.col("label").cast("string").alias("label"), "mult", "emb").mapInPandas(
-        _spread(cosine), "cell string, home boolean, rep long, mult long, raw binary, rot binary")
+    classes = good.groupBy("label", "emb").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"))
+    # numbers of the classes stay as they are once the checkpoint is written
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+    spread = classes.select("cls", F.col("label").cast("string").alias("label"), "mult", "emb").mapInPandas(
+        _spread(cosine), "cell string, home boolean, cls long, mult long, raw binary, rot binary")
     spread = cut(spread)
     sizes = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("homes")).filter("homes > 0 and n > 1")
     chunks = sizes.select(F.col("cell").alias("__cell"), F.ceil(F.col("n") / CHUNK).cast("int").alias("__k"))
-    dealt = spread.join(chunks, F.col("cell") == F.col("__cell")).withColumn("__c", F.pmod(F.xxhash64("rep"), F.col("__k")).cast("int"))
+    dealt = spread.join(chunks, F.col("cell") == F.col("__cell")).withColumn("__c", F.pmod(F.xxhash64("cls"), F.col("__k")).cast("int"))
     every = F.sequence(F.lit(0), F.col("__k") - 1)
-    left = dealt.filter("home").select("cell", F.col("__c").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("left"), "rep", "mult", "raw", "rot")
-    right = dealt.select("cell", F.explode(every).alias("i"), F.col("__c").alias("j"), F.lit(False).alias("left"), "rep", "mult", "raw", "rot")
+    left = dealt.filter("home").select("cell", F.col("__c").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("left"), "cls", "mult", "raw", "rot")
+    right = dealt.select("cell", F.explode(every).alias("i"), F.col("__c").alias("j"), F.lit(False).alias("left"), "cls", "mult", "raw", "rot")
     found = cut(left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(_compare(cosine), "a long, b long, links long"))
     links = found.groupBy("a").agg(F.sum("links").alias("__links"))
-    comps = connected_components(found.filter("a <> b")).select(F.col("node").alias("__node"), F.col("component").alias("__component"))
-    info = classes.join(links, F.col("rep") == F.col("a"), "left").join(comps, F.col("rep") == F.col("__node"), "left").select(
+    comps = connected_components(found.filter("a <> b"))
+    least = (comps.join(classes.select("cls", "rep"), F.col("node") == F.col("cls")).groupBy("component").agg(F.min("rep").alias("__component")))
+    comps = comps.join(least, "component").select(F.col("node").alias("__node"), "__component")
+    info = classes.join(links, F.col("cls") == F.col("a"), "left").join(comps, F.col("cls") == F.col("__node"), "left").select(
         F.col("label").alias("__l"), F.col("emb").alias("__e"),
         (F.coalesce("__links", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"),
         F.coalesce("__component", "rep").alias("component_id"))

@@ -142,3 +142,11 @@ def test_embeddings_against_brute_force(spark, monkeypatch, chunk):
 
 def test_embeddings_empty(spark):
     assert embeddings.link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_embeddings_repeated_ids_and_extreme_sizes(spark):
+    a, b, c = [1.0, 0.0, 0.1, 0.0], [1.0, 0.02, 0.1, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (1, c, 0), (7, [x * 1e200 for x in a], 0), (3, [x * 1e-200 for x in b], 0), (3, c, 1)]
+    out = embeddings.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (1, 0, 1, True), (7, 3, 1, False), (3, 3, 1, False), (3, 0, 3, True)])

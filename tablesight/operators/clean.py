@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from ..functions.columns import adjusted_skew, col, normalize_missing
 from ..functions.ordered import fill_forward_backward
 from ..functions.quantiles import mode_map, quantile_map
+from ..functions.repeats import distinct_rows
 from . import texts as X
 from .profile import missing_counts, profile_columns, quartile_map
 
@@ -40,8 +41,9 @@ METHOD_FFILL, METHOD_CONST = "ffill", "etiqueta 'desconocido'"
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
-    """Drop exact duplicate rows (nulls equal, NaN equal)."""
-    return normalize_missing(df).dropDuplicates()
+    """Drop exact duplicate rows (nulls equal, NaN equal); whole rows are shuffled only
+    where their hash repeats."""
+    return distinct_rows(normalize_missing(df))
 
 
 def drop_sparse_columns(df: DataFrame, threshold_pct: float = DROP_PCT,

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col, is_numeric, normalize_missing, schema_kind
 from ..functions.quantiles import quantile_map
+from ..functions.repeats import duplicates
 
 # Fixed values of the reference's kind rules.
 TEXT_MIN_UNIQUE = 50          # more distinct values than this ...
@@ -49,9 +50,9 @@ def overview(df: DataFrame) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Exact duplicate rows beyond the first (nulls compare equal)."""
-    grouped = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    return grouped.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
+    """Exact duplicate rows beyond the first (nulls compare equal); whole rows meet only
+    where their hash repeats."""
+    return duplicates(df)
 
 
 def _sort_number(dt: T.DataType, c: str) -> Column:

@@ -12,17 +12,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bandit as H
-from ..operators.clean import CleaningPlan
+from ..operators.clean import METHOD_FFILL, CleaningPlan
+from .fill import fill_stream
 
 
-def clean_stream(plan: CleaningPlan, stream: DataFrame) -> DataFrame:
-    return plan.transform_stream(stream)
+def clean_stream(plan: CleaningPlan, stream: DataFrame, event_time: str | None = None, group_by: Sequence[str] = (),
+                 tie_keys: Sequence[str] = (), delay: str = "10 minutes", leading_wait_seconds: float | None = None) -> DataFrame:
+    out = plan.transform_stream(stream)
+    gaps = [c for c, (method, _) in plan.impute.items() if method == METHOD_FFILL]
+    if event_time is None or not gaps:
+        return out
+    return fill_stream(out, gaps, event_time, group_by, tie_keys, delay, leading_wait_seconds)
 
 
 def dedupe_stream(stream: DataFrame, event_time: str, delay: str = "10 minutes") -> DataFrame:

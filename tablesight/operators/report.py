@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, fixed_text
+from ..functions.frequent import frequent_values
 from ..functions.quantiles import group_quantiles, quantile_map
 
 TOP_VALUES = 6
@@ -51,7 +52,13 @@ def _counts(df: DataFrame, target: str, group_by: Sequence[str]) -> DataFrame:
 
 def target_distribution(df: DataFrame, target: str, group_by: Sequence[str] = (), k: int = TOP_VALUES) -> DataFrame:
     """The ``k`` most frequent values with count and % of the non-null values
-    (``row_number() <= k``: Spark keeps at most k rows per group in each map task)."""
+    (``row_number() <= k``: Spark keeps at most k rows per group in each map task). Of a whole
+    table only the candidates of a sketch are counted (``functions.frequent``)."""
+    if not group_by:
+        top, total = frequent_values(df, col(target), k)
+        w = Window.orderBy(F.col("n").desc(), F.col("value"))  # k rows
+        return top.select("value", F.col("n").cast("long").alias("n"), F.round(F.col("n") * 100.0 / F.lit(total), 1).alias("pct"),
+                          F.row_number().over(w).cast("long").alias("rank"))
     w = Window.partitionBy(*[col(x) for x in group_by]).orderBy(F.col("n").desc(), F.col("value"))
     return (_counts(df, target, group_by).withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)

@@ -32,6 +32,24 @@ def q_target_distribution(spark, sf):
     return round_doubles(J.target_distribution(load(spark, sf, "orders"), "o_orderstatus", G))
 
 
+@register("frequent_event_types", """
+SELECT value, n, round(n * 100.0 / sum(n) OVER (), 1) AS pct, row_number() OVER (ORDER BY n DESC, value) AS rank
+FROM (SELECT event_type AS value, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type)
+QUALIFY rank <= 6""")
+def q_frequent_event_types(spark, sf):
+    """J2 of a whole table: the candidates of a sketch, counted."""
+    return round_doubles(J.target_distribution(load(spark, sf, "events"), "event_type"))
+
+
+@register("frequent_customers", """
+SELECT CAST(o_custkey AS VARCHAR) AS value, count(*) AS n, round(count(*) * 100.0 / (SELECT count(o_custkey) FROM orders), 1) AS pct,
+       row_number() OVER (ORDER BY count(*) DESC, CAST(o_custkey AS VARCHAR)) AS rank
+FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey QUALIFY rank <= 6""")
+def q_frequent_customers(spark, sf):
+    """J2 of a column of many values, none of which stands out."""
+    return round_doubles(J.target_distribution(load(spark, sf, "orders"), "o_custkey"))
+
+
 _BAL = f"""{_COUNTS},
 b AS (SELECT o_orderpriority, arg_min(value, rank) AS majority, arg_min(pct, rank) AS majority_pct,
              arg_max(value, rank) AS minority, arg_max(pct, rank) AS minority_pct FROM

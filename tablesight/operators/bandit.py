@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
@@ -107,6 +107,7 @@ class BanditRun:
     rewards: DataFrame          # key, round, u, arm, reward
     state: BanditState
     n_arms: int
+    final: Row | None = None    # its row of ``final_window_reward``, once computed
 
 
 def run_rounds(df: DataFrame, key: str, x: str, label: str, n_arms: int, dim: int,

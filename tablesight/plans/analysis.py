@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,10 @@ class Analysis:
 
 def diagnose(df: DataFrame, name: str = "tabla", order_by: Sequence[str] | None = None,
              target: str | None = None) -> Diagnosis:
-    """O1: fit and apply the cleaning plan, then the router rules on the clean table."""
+    """O1: fit and apply the cleaning plan, then the router rules on the clean table. The
+    clean table is persisted: whoever is done with it may unpersist it."""
     plan = CleaningPlan.fit(df, order_by=order_by)
-    clean = plan.transform(df)
+    clean = plan.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
     catalog = TG.column_catalog({name: clean})
     rules = V.rules_frame(df.sparkSession)
     targets = TG.suggest_target(catalog, rules)
@@ -106,6 +108,7 @@ def _reinforcement(clean, key, target):
                    H.with_intercept(F.array(*[F.col(f"`{n}__z`") for n in names])).alias("x"))
     run = H.run_rounds(ctx, key, "x", "label", n_arms, dim=len(names) + 1)
     fw = H.final_window_reward(H.with_steps(run.rewards, ["round", "u"]), n_arms).first()
+    run.final = fw
     return "ok", float(min(1.0, max(0.0, fw["final_reward"]))), \
         f"acierto {fw['final_reward'] * 100:.0f}% vs azar {fw['baseline'] * 100:.0f}%", run
 
@@ -165,7 +168,7 @@ def _report(clean, key, target, goal, case_id, rec, results, domain):
     n_rows, win = clean.count(), rec.first()
     metrics = sup.metrics.get(sup.best_model, {}) if sup is not None and sup.best_model else {}
     top = sup.importance_table(spark).orderBy(F.col("importance").desc(), "feature").first() if metrics and sup.feature_names else None
-    final = H.final_window_reward(H.with_steps(rl.rewards, ["round", "u"]), rl.n_arms).first() if rl is not None else None
+    final = rl.final if rl is not None else None
     task = sup.task if sup is not None else None
     wide = spark.createDataFrame([(
         case_id, win["winner"], target, task, metrics.get("accuracy"), metrics.get("r2"), top["feature"] if top else None,
@@ -199,5 +202,8 @@ def run_all(df: DataFrame, key: str, goal: str = V.DEFAULT_GOAL, name: str = "ta
     """O3: diagnose, then run every applicable approach, recommend and report. ``domain``
     only labels texts."""
     d = diagnose(df, name=name, order_by=[key], target=target)
-    a = analyze(d.clean, key, d.target, d.applicable, goal, case_id=name, domain=domain)
+    try:
+        a = analyze(d.clean, key, d.target, d.applicable, goal, case_id=name, domain=domain)
+    finally:
+        d.clean.unpersist()
     return d, a

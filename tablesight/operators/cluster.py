@@ -16,6 +16,7 @@ decomposition; ``cluster_fits.plain_silhouettes`` bounds it without point pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -36,6 +37,7 @@ MIN_FEATURES = 2
 SEED = 42
 MAX_CENTROID_VALUES = 1_000_000
 N_STARTS = 10  # starts per k, the lowest cost wins
+ROWS_PER_TASK = 25_000  # points that a task of a round takes
 GOOD, MODERATE = 0.5, 0.25
 
 
@@ -213,6 +215,11 @@ def kmeans_sweep(df: DataFrame, key: str, features_col: str, ks: Sequence[int] |
         n = data.count()
         if n < MIN_ROWS:
             return ClusterResult("skipped", reason="datos insuficientes")
+        if n > ROWS_PER_TASK:  # a small file of very many rows is one task otherwise, in every round
+            spread = data.repartition(math.ceil(n / ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+            spread.count()
+            data.unpersist()
+            data = spread
         ks = list(ks or cluster_counts(n))
         fits = fit_many(data, key, "__v", ks, n_starts, seed)
         bounds, sure = plain_silhouettes(data, "__v", [fits[k][0] for k in ks], decided)

@@ -42,6 +42,8 @@ LEVEL, NEAR = 2, 6
 #: Numbers (centres or cells, times dimensions) that may go to the tasks.
 MOST_VALUES = 20_000_000
 _SLACK = 1e-9
+#: Points whose distances to all centres are held at a time.
+BLOCK = 4_096
 
 
 def _points(pdf: pd.DataFrame, vec: str) -> np.ndarray:
@@ -133,21 +135,30 @@ def _sums(data: DataFrame, vec: str, models: list[np.ndarray]) -> dict[int, dict
     """Per model and centre: points nearest to it, their sum, their squared distances."""
     together = np.concatenate(models)
     edge = np.cumsum([0, *map(len, models)])
+    norm = (together * together).sum(1)[:, None]
 
     def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, cost, total = np.zeros(len(together)), np.zeros(len(together)), np.zeros(together.shape)
         for pdf in it:
-            if not len(pdf):
-                continue
-            x = _points(pdf, "v")
-            square = _squares(x, together)
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                near = square[:, lo:hi].argmin(1)
-                mine = np.zeros((hi - lo, len(x)))
-                mine[near, np.arange(len(x))] = 1.0
-                n[lo:hi] += mine.sum(1)
-                total[lo:hi] += mine @ x
-                cost[lo:hi] += mine @ square[np.arange(len(x)), lo + near]
+            points = _points(pdf, "v") if len(pdf) else np.zeros((0, together.shape[1]))
+            # a row per centre, and few points at a time
+            for x in np.array_split(points, -(-len(points) // BLOCK) or 1):
+                columns = np.ascontiguousarray(x.T)
+                square = -2.0 * together @ columns
+                square += norm
+                square += (x * x).sum(1)
+                np.maximum(square, 0.0, out=square)
+                nearer = np.empty(len(x), bool)
+                for lo, hi in zip(edge[:-1], edge[1:]):
+                    near, least = np.zeros(len(x), np.int64), square[lo]
+                    for c in range(lo + 1, hi):  # of equals the first
+                        np.less(square[c], least, out=nearer)
+                        np.copyto(near, c - lo, where=nearer)
+                        np.minimum(square[c], least, out=least)
+                    n[lo:hi] += np.bincount(near, minlength=hi - lo)
+                    cost[lo:hi] += np.bincount(near, least, hi - lo)
+                    for j, values in enumerate(columns):
+                        total[lo:hi, j] += np.bincount(near, values, hi - lo)
         some = np.nonzero(n)[0]
         if not len(some):
             return

@@ -1,13 +1,10 @@
 """Profiling and data-quality operators (overview, column profile, kinds, IQR).
 
-Everything is computed from at most two aggregate passes over the table:
-
-* one narrow ``agg`` for row count / null counts / duplicate count, and
-* one "long" pass: every cell becomes ``(ordinal, column, num, value)``, which is
-  reduced to distinct ``(column, value) -> count`` pairs with map-side partial
-  aggregation (a hot value costs one row per map task, not one row per cell).
-  Null counts, distinct counts, average length, date-parse share and the
-  smallest sample values all come from that reduced table.
+Missing counts come from one narrow ``agg``. The exact column profile comes from one
+"long" pass: every cell becomes a short row of its column and value, which is reduced to
+distinct ``(column, value) -> count`` rows with map-side partial aggregation (a hot value
+costs one row per map task, not one row per cell). Null counts, distinct counts, average
+length and date-parse share all come from that reduced table.
 """
 
 from __future__ import annotations
@@ -18,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, is_numeric, normalize_missing, schema_kind
+from ..functions.columns import FLOAT_TYPES, col, is_numeric, normalize_missing, schema_kind
 from ..functions.quantiles import quantile_map
 from ..functions.repeats import duplicates
 
@@ -77,13 +74,56 @@ def sample_values(df: DataFrame, k: int = SAMPLE_SIZE, columns: Sequence[str] |
         F.transform(F.sort_array(F.collect_list(F.struct("rn", "value"))), lambda s: s["value"]).alias("sample_values"))
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, n_unique), exact. Long values are compared by their SHA-256, so whole
-    texts are not shuffled."""
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value")) for c in columns])))
-    key = F.when(F.length("value") <= HASH_FROM, F.concat(F.lit("="), F.col("value"))).otherwise(F.sha2("value", 256))
-    keys = cells.filter(F.col("value").isNotNull()).select("column_name", key.alias("key")).distinct()
-    return keys.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique"))
+def _cell(ordinal: int, c: str, dt: T.DataType) -> Column:
+    """(ordinal, whole, real, text) of a cell: equal where the cells of the column are equal,
+    all but ``ordinal`` null where the cell is missing. Integers and dates go as ``whole``,
+    floats as ``real`` (with a zero's sign as ``text``), all others as ``text``, with their
+    length as ``whole``. Long texts go as their SHA-256, so ``real`` tells whether they parse
+    as a date."""
+    x, whole, real, text = col(c), F.lit(None), F.lit(None), F.lit(None)
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        whole = x
+    elif isinstance(dt, T.DateType):
+        whole = F.unix_date(x)
+    elif isinstance(dt, T.TimestampType):
+        whole = F.unix_micros(x)
+    elif isinstance(dt, FLOAT_TYPES):
+        real, text = x, F.when(x == 0, x.cast("string"))
+    elif schema_kind(dt) == "string":
+        whole, long_ = F.length(x), F.length(x) > HASH_FROM
+        real = F.when(long_, F.try_to_timestamp(x).isNotNull().cast("double"))
+        text = F.when(long_, F.sha2(x, 256)).otherwise(x)
+    else:
+        text = x.cast("string")
+    return F.struct(F.lit(ordinal).alias("ordinal"), whole.cast("long").alias("whole"),
+                    real.cast("double").alias("real"), text.cast("string").alias("text"))
+
+
+def _value_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``_narrow_stats`` with exact distinct counts, by one scan: all cells
+    are counted by column and value, and length and date-parse share are taken from the
+    distinct values."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    strings = [i for i, c in enumerate(columns) if schema_kind(types[c]) == "string"]
+    # strings (arrays too) are made once, before several parts of a cell use them
+    texts = df.select(*[(col(c).cast("string") if i in strings else col(c)).alias(c) for i, c in enumerate(columns)])
+    cells = texts.select(F.inline(F.array(*[_cell(i, c, types[c]) for i, c in enumerate(columns)])))
+    counts = cells.groupBy("ordinal", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+    # a row without copies for each column, so that an empty table has its columns
+    none = df.sparkSession.range(1).select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("ordinal"), F.lit(None).cast("long").alias("whole"), F.lit(None).cast("double").alias("real"),
+        F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n")) for i in range(len(columns))])))
+    there = F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull(), F.lit(False))
+    string = F.col("ordinal").isin(strings) & there
+    dated = F.coalesce("real", F.try_to_timestamp(F.col("text")).isNotNull().cast("double"))
+    n_strings = F.sum(F.when(string, F.col("n")))
+    return counts.unionByName(none).groupBy("ordinal").agg(
+        F.sum(F.when(there, 0).otherwise(F.col("n"))).alias("n_missing"),
+        F.count(F.when(there, 1)).alias("n_unique"),
+        F.sum(F.when(there, F.col("n")).otherwise(0)).alias("n_non_null"),
+        (F.sum(F.when(string, F.col("whole") * F.col("n"))) / n_strings).alias("avg_len"),
+        (F.sum(F.when(string, dated * F.col("n"))) / n_strings).alias("date_share"),
+    ).withColumn("column_name", F.get(F.array(*[F.lit(c) for c in columns]), F.col("ordinal")))
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -126,19 +166,17 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None,
     n_unique, n_non_null, avg_len, date_share (the last two for string columns), and
     sample_values.
 
-    One narrow aggregate gives all but the distinct counts; those are exact by default
-    (``distinct_counts``), and HyperLogLog estimates with ``approx_rsd`` (0.05
-    recommended) - for very wide or very large tables."""
+    By default one scan counts every column's values (``_value_stats``), which gives all
+    statistics exactly. With ``approx_rsd`` (0.05 recommended) one narrow aggregate gives
+    them with HyperLogLog estimates of the distinct counts - for very wide or very large
+    tables."""
     df = normalize_missing(df)
     columns = list(columns or df.columns)
     fields = {f.name: f for f in df.schema.fields}
-    per_col = _narrow_stats(df, columns, approx_rsd)
-    if approx_rsd is None:
-        per_col = per_col.drop("n_unique").join(distinct_counts(df, columns), "column_name", "left").withColumn(
-            "n_unique", F.coalesce("n_unique", F.lit(0)).cast("long"))
-    types = df.sparkSession.createDataFrame(
-        [(c, fields[c].dataType.simpleString(), schema_kind(fields[c].dataType)) for c in columns],
-        "column_name string, spark_type string, type_kind string")
+    per_col = _value_stats(df, columns) if approx_rsd is None else _narrow_stats(df, columns, approx_rsd)
+    of = lambda names: F.get(F.array(*[F.lit(x) for x in names]), F.col("ordinal"))
+    per_col = per_col.withColumn("spark_type", of([fields[c].dataType.simpleString() for c in columns])).withColumn(
+        "type_kind", of([schema_kind(fields[c].dataType) for c in columns]))
     kind = (F.when(F.col("n_non_null") == 0, F.lit("text"))
             .when(F.col("type_kind") != "string", F.col("type_kind"))
             .when(F.coalesce(F.col("date_share"), F.lit(0.0)) > DATE_SHARE, F.lit("datetime"))
@@ -146,8 +184,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None,
                   & (F.col("n_unique") / F.col("n_non_null") > TEXT_MIN_UNIQUE_SHARE)
                   & (F.col("avg_len") > TEXT_MIN_AVG_LEN), F.lit("text"))
             .otherwise(F.lit("categorical")))
-    out = (per_col.join(F.broadcast(types), "column_name")
-           .select("ordinal", "column_name", "spark_type", kind.alias("kind"), "n_missing", _pct_missing().alias("pct_missing"),
+    out = (per_col.select("ordinal", "column_name", "spark_type", kind.alias("kind"), "n_missing", _pct_missing().alias("pct_missing"),
                    "n_unique", "n_non_null", "avg_len", "date_share"))
     if with_samples:
         out = out.join(sample_values(df, columns=columns), "column_name", "left")

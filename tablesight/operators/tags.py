@@ -88,13 +88,14 @@ def categorical_like(catalog: DataFrame) -> DataFrame:
 def applicable_analyses(catalog: DataFrame, targets: DataFrame) -> DataFrame:
     """Per table, which analyses apply and why (one diagnosis row per table)."""
     cat = categorical_like(catalog)
+    # the few columns of a table go along with it, so that the catalogue is computed once
     per_table = cat.groupBy("table_name").agg(
         F.max("n_rows").alias("n_rows"),
         F.sum(F.when(F.col("kind") == "numeric", 1).otherwise(0)).alias("n_numeric"),
-        F.sum(F.when(F.col("kind") == "datetime", 1).otherwise(0)).alias("n_datetime"))
-    tgt = targets.join(cat.select("table_name", F.col("column_name").alias("target_column"),
-                                  "looks_categorical", "type_class"), ["table_name", "target_column"], "left")
-    d = per_table.join(tgt, "table_name", "left")
+        F.sum(F.when(F.col("kind") == "datetime", 1).otherwise(0)).alias("n_datetime"),
+        F.collect_list(F.struct("column_name", "looks_categorical", "type_class")).alias("columns"))
+    d = per_table.join(targets.select("table_name", "target_column"), "table_name", "left")
+    d = d.select("*", F.inline_outer(F.filter("columns", lambda c: c["column_name"] == F.col("target_column"))))
     enough = F.col("target_column").isNotNull() & (F.col("n_rows") >= MIN_ROWS_SUPERVISED)
     task = (F.when(enough & F.col("looks_categorical"), F.lit("clasificacion"))
             .when(enough & (F.col("type_class") == "numeric"), F.lit("regresion")))

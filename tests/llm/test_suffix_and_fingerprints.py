@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,6 +87,24 @@ def test_repeats_odd_rows(docs_of):
     assert out.count() == len(ODD_ROWS)
 
 
+def test_periodic_text_is_few_rows(docs_of, spark):
+    """A unit written over and over is a row or so of each text, not one for each time."""
+    texts = ["of " * 3000, "x" + "of " * 2000, "ab" * 50 + " and then " + "of " * 900 + "some end " + "of " * 500, "no repeat here at all " + "z" * 30]
+    rows = list(enumerate(texts))
+    raw = pd.DataFrame({"tk": range(len(texts)), "text": texts})
+    found = pd.concat(suffix_dedup._find_anchors(64)(iter([raw])))
+    every = [suffix_dedup.anchors(t.encode(), 64) for t in texts]
+    assert len(found) < 60 < 2000 < sum(len(x[0]) for x in every)
+    assert (1 + (found["again"] & (2 ** 32 - 1))).sum() == sum(len(x[0]) for x in every)
+    for tk, (_, run, _, s, e) in enumerate(every):  # the rows of a run cover what its anchors cover
+        own = found[found["tk"] == tk]
+        for r in np.unique(run):
+            covered = {x for a, b in zip(s[run == r], e[run == r]) for x in range(a, b + 64)}
+            of = own[own["run"] == r.astype(np.int64)]
+            assert covered == {x for p, g in zip(of["place"], of["again"]) for x in range(p >> 24, (p >> 24) + (p & 4095) + 64 + (g >> 32))}
+    check_repeats(docs_of, rows + [(9, texts[0]), (10, "of " * 25)], 64)
+
+
 def test_repeats_in_chunks(docs_of, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 150)
     rnd = random.Random(8)

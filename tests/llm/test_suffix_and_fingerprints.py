@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tablesight.llm import fingerprints as fp
 from tablesight.llm import suffix_dedup
 from tablesight.llm.common import table
+from tablesight.llm.queries import QUERIES
 from tablesight.llm.suffix_sort import blind_trie_order, common_prefix, deep_shallow_sort
 
 from llm_rows import ODD_ROWS
@@ -87,6 +88,30 @@ def test_repeats_odd_rows(docs_of):
     assert out.count() == len(ODD_ROWS)
 
 
+def test_windows_of_large_buckets_are_spread(spark):
+    """Each window comes once, from more than one task, a frame for many strings."""
+    rnd = random.Random(12)
+    size, rows = 64, []
+    for k in range(300):
+        further = rnd.randint(0, 30)
+        a = rnd.randint(further, 32)  # the gram of 32 bytes lies in every window
+        s = rnd.randint(0, 500)
+        rows.append((k % 2 - 1, k, (s << 24) | (a << 12) | further, k % 3 > 0, k % 50 > 0, bytes(rnd.choice(b"ab") for _ in range(size + further))))
+    frame = pd.DataFrame(rows, columns=["h", "tk", "place", "single", "large", "string"])
+    assert len(list(suffix_dedup._windows(size)(iter([frame[:100]])))) == 1
+    fetched = spark.createDataFrame([*rows, *rows[:40]], "h long, tk long, place long, single boolean, large boolean, string binary")
+    got = suffix_dedup.large_windows(fetched, size).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 1
+    want = [(h, o, tk, p, one, s[i:i + size]) for h, tk, p, one, large, s in rows if large
+            for i, o in enumerate(range((p >> 12) & 4095, ((p >> 12) & 4095) - (p & 4095) - 1, -1))]
+    assert sorted((r.o, r.tk, r.place, r.single) for r in got) == sorted(x[1:5] for x in want)
+    by = {(r.tk, r.o): r.w for r in got}
+    strings = {}  # equal hashes exactly for equal bucket, offset and bytes
+    for h, o, tk, _, _, b in want:
+        strings.setdefault((h, o, b), set()).add(by[tk, o])
+    assert all(len(x) == 1 for x in strings.values()) and len(set().union(*strings.values())) == len(strings)
+
+
 def test_periodic_text_is_few_rows(docs_of, spark):
     """A unit written over and over is a row or so of each text, not one for each time."""
     texts = ["of " * 3000, "x" + "of " * 2000, "ab" * 50 + " and then " + "of " * 900 + "some end " + "of " * 500, "no repeat here at all " + "z" * 30]
@@ -120,6 +145,23 @@ def test_repeats_empty_and_bounds(docs_of):
         suffix_dedup.repeated_spans(docs_of([]), 10)
 
 
+def test_query_returns_texts_without_passages(docs_of, tmp_path):
+    """The result can be read as documents: ``text`` is what is left of each one, also where
+    ``n_bytes`` says nothing about a removal."""
+    rnd = random.Random(11)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    passage, short = words(55), words(45)  # 439 and 359 bytes
+    rows = [(i, " ".join((words(20), passage, words(20)))) for i in range(4)] + [(i, words(30) + short) for i in (10, 11)]
+    rows += [(20, words(200)), (21, "a few words"), (22, None), (23, "")]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark = docs_of([]).sparkSession
+    got = {r.doc_id: r for r in QUERIES["op4_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    for (i, text), (n, runs, kept) in zip(rows, brute_keep([t for _, t in rows], 400)):
+        assert (got[i].text, got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (kept.decode(), len(text or ""), n, runs)
+        assert (passage in (text or "")) == (i < 4) == (n > 0)
+        assert passage not in got[i].text
+
+
 def sets_of(text, k=5):
     w = re.findall(r"[^ \t\n\x0b\f\r]+", text or "")
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())

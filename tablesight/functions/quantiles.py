@@ -197,15 +197,17 @@ def _group_picks(counts: DataFrame, sketch: DataFrame, n_columns: int, probs: Se
     for j, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("n") - 1)
         ends += [F.when(is_open | (F.col("j") == j), at) for at in (F.floor(pos), F.ceil(pos))]
-    wanted = F.filter(F.array(*ends), lambda a: (a >= F.col("before")) & (a < F.col("before") + F.col("t")))
-    parts = totals.filter((F.col("part") >= 0) & (F.size(wanted) > 0)).select(
-        *[F.col(c).alias(f"p_{c}") for c in ("__k", "i", "j", "part")], "before", *[e.alias(f"e{m}") for m, e in enumerate(ends)])
+    # one array: Spark's inferred constraints double with every alias of an expression that is filtered on
+    wanted = F.filter("ends", lambda a: (a >= F.col("before")) & (a < F.col("before") + F.col("t")))
+    parts = totals.withColumn("ends", F.array(*ends)).filter((F.col("part") >= 0) & (F.size(wanted) > 0)).select(
+        *[F.col(c).alias(f"p_{c}") for c in ("__k", "i", "j", "part")], "before", "ends")
     same = [F.col(c) == F.col(f"p_{c}") for c in ("__k", "i", "j", "part")]
     ranked = counts.join(parts, same[0] & same[1] & same[2] & same[3]).withColumn(
         "upto", F.col("before") + F.sum("c").over(Window.partitionBy("__k", "i", "j", "part").orderBy("v")))
 
     def at(m: int) -> Column:
-        return F.when((F.col(f"e{m}") < F.col("upto")) & (F.col(f"e{m}") >= F.col("upto") - F.col("c")), F.col("v"))
+        end = F.get("ends", F.lit(m))
+        return F.when((end < F.col("upto")) & (end >= F.col("upto") - F.col("c")), F.col("v"))
 
     found = ranked.groupBy(F.col("__k").alias("__pk"), "i").agg(*[F.max(at(m)).alias(f"v{m}") for m in range(2 * len(probs))])
     row = found.groupBy("__pk").agg(*[F.max(F.when(F.col("i") == i, F.struct(*[f"v{m}" for m in range(2 * len(probs))]))).alias(f"__v{i}")

@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -37,17 +38,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frames, refuse_clash, stored, text_or_empty
+from .common import frames, give_back, refuse_clash, stored, text_or_empty
 from .tokenization import library_tokenizer, odd_text, rank_encoder, read_ranks
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-#: Words kept in a worker's memo; it changes speed only.
-MEMO = 400_000
+#: Characters of the words in a worker's memo; it changes speed only. The words of one call
+#: are held whole, however many they are.
+MEMO = 1 << 20
 #: Characters of text whose tokens are handled together.
 BLOCK = 1 << 18
-#: Distinct pairs of its documents, at least, that close a bundle.
+#: Distinct pairs of its documents, at least, that close a bundle, ...
 BUNDLE = 600_000
+#: ... or so many documents: short or empty ones have few pairs or none.
+BUNDLE_DOCS = 10_000
 
 
 class Aligned(NamedTuple):
@@ -123,6 +127,7 @@ class CrossTokenizer:
         self.spread = len(self.b_bytes)
         self._line = m.encode("\n")[1]
         self._words: dict[str, int] = {}  # a word's number; its ids are a stretch of _flat
+        self._chars = 0
         self._flat, self._start, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         #: Ids as text with what may follow them: "," or "|" in A, "," or ";" in B.
         self._text = np.array([f"{i}{sep}" for n, last in ((len(self.a_bytes), "|"), (self.spread, ";")) for i in range(n) for sep in (",", last)], "S")
@@ -136,9 +141,12 @@ class CrossTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words, all in one call: pieces do not go over line breaks."""
-        if len(self._words) + len(words) > MEMO:  # begun anew
+        size = sum(map(len, words))
+        if self._chars + size > MEMO:  # begun anew
             self._words.clear()
-            self._flat, self._start, self._size = (x[:0] for x in (self._flat, self._start, self._size))
+            self._flat, self._start, self._size = (np.zeros(0, np.int64) for _ in range(3))
+            self._chars = 0
+        self._chars += size
         apart = [w for w in words if w != "\n"]
         ids = np.array(self.model.encode("\n".join(["", *apart, ""]))[1:], np.int64)  # without the mark that the model adds
         line = np.nonzero(ids == self._line)[0]
@@ -161,7 +169,7 @@ class CrossTokenizer:
         words, known = set().union(*split), self._words
         new = [w for w in words if w not in known]
         if new:
-            self._learn(sorted(words) if len(known) + len(new) > MEMO else sorted(new))
+            self._learn(sorted(words) if self._chars + sum(map(len, new)) > MEMO else sorted(new))
         word = np.fromiter(map(self._words.__getitem__, chain.from_iterable(split)), np.int64)
         size, start = self._size[word], self._start[word]
         ids = self._flat[_ragged(start, start + size)[0]]
@@ -263,10 +271,20 @@ def align_documents(docs: DataFrame, tokenizer_json: str, ranks: str, pattern: s
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_pairs")
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits as compressed differences: the JVM handles them as one short value,
+    where an array of them would be copied and kept by number."""
+    return zlib.compress(np.diff(x, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), "<i4"), dtype=np.int64)
+
+
 def _bundles(docs: DataFrame, files: tuple[str, str, str, str], text_col: str, id_col: str) -> DataFrame:
     """Bundles of documents: their counts and digests as arrays, the distinct pairs of the
-    bundle (``keys``, ascending) with the documents that hold each (``held``), and for all
-    documents one after another their pairs as places in ``keys`` with how often each occurs."""
+    bundle (``keys``, ascending) with the documents that hold each (``held``), and, packed, for
+    all documents one after another their pairs as places in ``keys`` with how often each occurs."""
     from pyspark import TaskContext
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,7 +300,7 @@ def _bundles(docs: DataFrame, files: tuple[str, str, str, str], text_col: str, i
             distinct, place, held = np.unique(every, return_inverse=True, return_counts=True)
             one = {"bundle": number, "id": [r[0] for r in rows], "groups_sha256": [r[1] for r in rows],
                    **{c: [r[2 + i] for r in rows] for i, c in enumerate(_COUNTS)},
-                   "keys": distinct, "held": held, "place": place.astype(np.int32), "times": np.concatenate(times).astype(np.int32)}
+                   "keys": distinct, "held": held, "place": _packed(place), "times": _packed(np.concatenate(times))}
             number += 1
             rows.clear(), keys.clear(), times.clear()
             return pd.DataFrame({k: [v] for k, v in one.items()})
@@ -296,8 +314,9 @@ def _bundles(docs: DataFrame, files: tuple[str, str, str, str], text_col: str, i
                                  len(x.a_ids), len(x.b_ids), len(x.a_upto), x.links, len(x.keys)))
                     keys.append(x.keys)
                     times.append(x.times)
-                if sum(map(len, keys)) >= BUNDLE:
+                if len(rows) >= BUNDLE_DOCS or sum(map(len, keys)) >= BUNDLE:
                     yield bundle()
+                    give_back()
         if rows:
             yield bundle()
 
@@ -305,7 +324,7 @@ def _bundles(docs: DataFrame, files: tuple[str, str, str, str], text_col: str, i
                            T.StructField("groups_sha256", T.ArrayType(T.StringType())),
                            *[T.StructField(c, T.ArrayType(T.LongType())) for c in _COUNTS],
                            T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("held", T.ArrayType(T.LongType())),
-                           T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
+                           T.StructField("place", T.BinaryType()), T.StructField("times", T.BinaryType())])
     return stored(docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, schema))
 
 
@@ -347,11 +366,11 @@ def alignment_digest(docs: DataFrame, tokenizer_json: str, ranks: str, pattern:
     kind = docs.schema[id_col].dataType
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in frames(it):
             for r in pdf.itertuples(index=False):
                 value = np.sort(np.asarray(r.values if r.values is not None else [], np.int64)) & ((1 << 42) - 1)
-                times = np.asarray(r.times, np.int64)
-                mine = value[np.asarray(r.place, np.int64)] if len(times) else times
+                times = _unpacked(r.times)
+                mine = value[_unpacked(r.place)] if len(times) else times
                 upto = np.r_[0, np.cumsum(np.asarray(r.n_pairs, np.int64))]
                 best, total = (np.r_[0, np.cumsum(x * times)] for x in (mine & 1, mine >> 1))
                 yield pd.DataFrame({"id": pd.Series(list(r.id), dtype=object), **{c: getattr(r, c) for c in _COUNTS[:4]},

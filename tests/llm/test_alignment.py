@@ -126,6 +126,37 @@ def test_small_bundles(spark, docs_of, monkeypatch):
     assert all(np.array_equal(p, q) for x, y in zip(cut, whole) for p, q in zip(x, y))
 
 
+def test_memo_holds_few_characters():
+    """Words of any length: what a worker keeps is bounded by their characters."""
+    from tablesight.llm import alignment
+
+    ct = alignment.CrossTokenizer(**FILES)
+    for k in range(8):
+        text = " ".join(f"{k}x{i}" * 500 for i in range(60))
+        (x,) = ct.align([text])
+        assert len(x.b_ids) and b"".join(ct.b_bytes[i] for i in x.b_ids) == b" " + text.encode()
+        assert sum(map(len, ct._words)) <= alignment.MEMO
+
+
+def test_many_documents_without_tokens(spark):
+    """Documents without pairs close a bundle too, and a bundle's pairs are short values."""
+    from tablesight.llm import alignment
+
+    docs = spark.range(10_500).selectExpr("id as doc_id", "if(id = 7, 'some text here', '') as text").coalesce(1)
+    bundles = alignment._bundles(docs, tuple(FILES[k] for k in ("tokenizer_json", "ranks", "pattern", "model_file")), "text", "doc_id")
+    kinds = dict(bundles.dtypes)
+    assert bundles.count() == 2 and kinds["place"] == kinds["times"] == "binary"
+    got = alignment_digest(docs, **FILES).filter("n_a > 0 or n_links > 0 or groups_sha256 <> ''").collect()
+    assert list(map(tuple, got)) == [r for r in brute([(7, "some text here")])[0]]
+
+
+def test_packed_numbers():
+    from tablesight.llm.alignment import _packed, _unpacked
+
+    for x in ([], [0], [5, 5, 2, 900, 0], [2**31 - 1, 0, 2**31 - 1]):
+        assert _unpacked(_packed(np.array(x, np.int64))).tolist() == x
+
+
 def test_documents_with_groups(spark, docs_of):
     rows = ODD_ROWS + MORE
     got = align_documents(docs_of(rows), **FILES).collect()

@@ -1,6 +1,8 @@
 """A candidate that fails may not leave a result that looks whole."""
 
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegressionModel
 from pyspark.sql import functions as F
 
@@ -54,3 +56,23 @@ def test_analysis_reports_the_failure(spark, monkeypatch):
     df = spark.range(80).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") * 1.5).alias("y"))
     (row,) = analyze(df, "id", "y", ["supervised"], goal="predecir").status.collect()
     assert row["status"] == "failed" and "no room" in row["detail"] and row["score_norm"] == 0.0
+
+
+def test_importances_without_one_candidate(spark, monkeypatch, tmp_path):
+    """The importances are those of the best of all candidates, or none are returned."""
+    monkeypatch.setattr(RandomForestClassifier, "_fit", broken)
+    spark.range(120).selectExpr("id as doc_id", "cast(id % 2 as int) as quality").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(120).selectExpr("id as doc_id", "id % 31 as n_chars", "concat('l', id % 3) as lang", "concat('s', id % 2) as source").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    with pytest.raises(RuntimeError, match="Random Forest: no room"):
+        registry.queries()["feature_importance"](spark, str(tmp_path))
+
+
+def test_no_importances_are_not_zeros(spark):
+    class Plain:
+        pass
+
+    with pytest.raises(ValueError, match="Plain"):
+        supervised.model_importances(PipelineModel(stages=[Plain()]), 2)
+    with pytest.raises(ValueError):
+        supervised.SupervisedResult("ok", feature_names=["a", "b"], importances=[1.0]).importance_table(spark)
